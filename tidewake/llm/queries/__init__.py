@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1",)
+MODULES = ("op1", "op2", "op10")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
