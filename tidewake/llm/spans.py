@@ -23,8 +23,15 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def placed(text: Column, pattern: str, matches: Column) -> Column:
-    """matches: the column of found(text, pattern). An array of structs (start, end, value); code points, end exclusive."""
-    zipped = F.zip_with(matches, F.split(text, pattern, -1), lambda m, p: F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.length(p).alias("p")))
+    """matches: the column of found(text, pattern). An array of structs (start, end, value, before, after), null if empty.
+
+    Code points, end exclusive; before and after are the neighbouring characters up to the next match, or empty.
+    """
+
+    def piece(m: Column, p: Column) -> Column:
+        return F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.length(p).alias("p"), F.right(p, F.lit(1)).alias("last"), F.left(p, F.lit(1)).alias("first"))
+
+    zipped = F.zip_with(matches, F.split(text, pattern, -1), piece)
     lengths = F.transform(zipped, lambda x: x["m"] + x["p"])
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: _total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
     return F.when(F.size(matches) == 0, F.lit(None)).otherwise(_inner(matches, zipped, lengths, blocks))
@@ -36,8 +43,9 @@ def _inner(matches: Column, zipped: Column, lengths: Column, blocks: Column) ->
         def one(m: Column, i: Column) -> Column:
             at = F.floor(i / BLOCK).cast("int")
             before = F.get(x["bases"], at) + _total(F.slice(x["lengths"], at * BLOCK + 1, i - at * BLOCK))
-            start = before + F.get(x["zipped"], i)["p"]
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
+            here = F.get(x["zipped"], i)
+            start = before + here["p"]
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), here["last"].alias("before"), F.get(x["zipped"], i + 1)["first"].alias("after"))
 
         return F.transform(x["matches"], one)
 
