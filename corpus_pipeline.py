@@ -1,12 +1,68 @@
-"""A corpus pipeline of stages, each writing what the next one reads."""
+"""A corpus pipeline: quality rules, near duplicates, benchmark decontamination, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with all their columns; the last returns the
+packed batches. A stage's result is written as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewake.llm.decontaminate import decontaminate
+from tidewake.llm.jaccard import ngram_jaccard
+from tidewake.llm.packing import pack, word_count
+from tidewake.llm.quality import quality_rules
+from tidewake.llm.runtime import workspace, written
+from tidewake.llm.secrets import secret_scan
+
+
+
+def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The documents whose doc_id the verdict keeps; rows without an id can't be told apart and stay out."""
+    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return _kept(docs, quality_rules(docs).where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate component."""
+    return _kept(docs, ngram_jaccard(docs, k=5, percent=80).where("doc_id = component_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return _kept(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10).where("not contaminated"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without secrets that look live."""
+    return _kept(docs, secret_scan(docs, owner="source", repository="source", common_owners=3, common_repositories=5).where("n_live = 0"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents that are left, in batches of like length."""
+    return pack(docs, word_count(F.col("text")), buckets=16, budget=65_536)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("secret scans", secrets),
+    ("packing", packing),
+]
+
+#: Packing's dynamic programme has no SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    home, docs = workspace(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"{home}/stage{k}")
     return docs
