@@ -7,9 +7,11 @@
 3. Classes that share a prefix shingle and whose sizes leave no gap wider than the threshold allows make a run. All
    of a run go to the tile of its leader (the member of lowest key), where every linked pair meets.
 4. In a tile, sets are sorted by size; a pair's parity bitmaps bound its overlap from above by the count of differing
-   bits, and only pairs that pass have their sorted arrays intersected. Pairs already connected are skipped, and a tile
-   returns a spanning forest of its links instead of all pairs. Large tiles are cut into blocks that meet two by two.
-5. Connected components of the links give each document the smallest id it reaches.
+   bits. First only bitmaps go to the tiles, and members for which no partner passes are left out. Large tiles are cut
+   into blocks that meet two by two.
+5. The texts of the others follow. Pairs that pass the bound have their sorted arrays intersected; pairs already
+   connected are skipped, and a tile returns a spanning forest of its links instead of all pairs.
+6. Connected components of the links give each document the smallest id it reaches.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ LOAD, REPEATED = 4_000_000, 4
 FREQUENT = 1 << 19
 #: Prefix entries of a bucket, and classes of a tile that is handled whole.
 BUCKET_ENTRIES, TILE = 250_000, 4000
+#: Bits of a bitmap are a power of two between these.
+FEWEST_BITS, MOST_BITS = 64, 4096
+#: Rows (tile, key, doc_id) that are broadcast to fetch texts; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 ENTRY = np.dtype([("gram", "<u8"), ("key", "<u8"), ("n", "<u4")])
 
 
@@ -50,19 +56,20 @@ def _digest(k: int):
         def counted() -> pa.RecordBatch:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
             grams, n = signed(grams[n >= REPEATED]), n[n >= REPEATED]
-            return _rows("gram", np.zeros(len(grams), np.int64), grams, n)
+            return _rows("gram", np.zeros(len(grams), np.int64), grams, n, [b""] * len(grams))
 
         for batch in batches:
             ids = batch.column(0)
             for a, b in sliced(batch.column(1)):
                 words = find_words(batch.column(1).slice(a, b - a))
-                keys, sizes = [], []
+                keys, sizes, maps = [], [], []
                 for own, grams in text_grams(words, k):
                     keys.append(sequence_hash(own) if len(own) else 0)
                     sizes.append(len(grams))
+                    maps.append(parity_bitmap(grams).tobytes())
                     held.append(grams)
                     size += len(grams)
-                yield _rows("doc", ids.slice(a, b - a), signed(np.array(keys, np.uint64)), np.array(sizes))
+                yield _rows("doc", ids.slice(a, b - a), signed(np.array(keys, np.uint64)), np.array(sizes), maps)
                 if size > LOAD:
                     yield counted()
                     held, size = [], 0
@@ -72,11 +79,9 @@ def _digest(k: int):
     return run
 
 
-def _rows(kind: str, ids, keys, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(keys)), pa.array(ids, pa.int64()) if isinstance(ids, np.ndarray) else ids.cast(pa.int64()), pa.array(keys), pa.array(np.asarray(n, np.int64))],
-        ["kind", "doc_id", "key", "n"],
-    )
+def _rows(kind: str, ids, keys: np.ndarray, n: np.ndarray, maps: list[bytes]) -> pa.RecordBatch:
+    ids = pa.array(ids) if isinstance(ids, np.ndarray) else ids.cast(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), ids, pa.array(keys), pa.array(np.asarray(n, np.int64)), pa.array(maps, pa.binary())], ["kind", "doc_id", "key", "n", "map"])
 
 
 def _entries(k: int, percent: int, buckets: int, frequent):
@@ -167,12 +172,52 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def parity_bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """A row of 64-bit words for each set: bit i is the parity of how many members hash to i."""
-    out = np.zeros((len(sets), bits // 8), np.uint8)
-    for row, s in zip(out, sets):
-        row[:] = np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool))
-    return out.view(np.uint64)
+def parity_bitmap(grams: np.ndarray) -> np.ndarray:
+    """64-bit words: bit i is the parity of how many members hash to i, of as many bits as members or more."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << max(0, len(grams) - 1).bit_length()))
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+class Bitmaps:
+    """Bitmaps of sets in order of size, for upper bounds of overlaps. A bitmap folds in half to the next smaller size."""
+
+    def __init__(self, maps: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.width = np.array([len(m) for m in maps], np.int64)
+        # sizes ascend, so sets of one width are neighbours
+        self.own, self.half = {}, {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            block = np.stack([maps[i] for i in at])
+            self.own[w] = (at[0], block)
+            if w > 1:
+                self.half[w // 2] = (at[0], block[:, : w // 2] ^ block[:, w // 2 :])
+        self.last = np.searchsorted(100 * sizes, 100 * sizes * 100 // percent, "right")  # end of each set's size band
+
+    def partners(self, i: int) -> np.ndarray:
+        """The larger sets of i's size band whose overlap with i may suffice."""
+        w, found = int(self.width[i]), []
+        mine = self.own[w][1][i - self.own[w][0]]
+        for first, block in filter(None, (self.own.get(w), self.half.get(w))):
+            a, b = max(i + 1, first), min(int(self.last[i]), first + len(block))
+            if a < b:
+                differ = np.bitwise_count(block[a - first : b - first] ^ mine).sum(1, dtype=np.int64)
+                both = self.sizes[a:b] + self.sizes[i]
+                found.append(a + np.flatnonzero((100 + self.percent) * ((both - differ) // 2) >= self.percent * both))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def hopeful(maps: list[np.ndarray], sizes: list[int], percent: int) -> list[int]:
+    """Positions of the sets with at least one partner that the bitmaps don't rule out."""
+    n = np.array(sizes, np.int64)
+    order = np.argsort(n, kind="stable")
+    bitmaps, alive = Bitmaps([maps[i] for i in order], n[order], percent), np.zeros(len(maps), bool)
+    for i in range(len(maps)):
+        j = bitmaps.partners(i)
+        alive[j] = True
+        alive[i] |= len(j) > 0
+    return order[alive].tolist()
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -183,22 +228,48 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     if len(sets) == 2:
         i, j = order.tolist()
         return [(i, j)] if 100 * n[i] >= percent * n[j] and enough(i, j) else []
-    bits = 1 << min(12, max(6, int(n.max() - 1).bit_length()))
-    maps, sizes, forest, links = parity_bitmaps(sets, bits)[order], n[order], Forest(len(sets)), []
-    last = np.searchsorted(100 * sizes, 100 * sizes * 100 // percent, "right")  # size band of each
+    bitmaps, forest, links = Bitmaps([parity_bitmap(sets[i]) for i in order], n[order], percent), Forest(len(sets)), []
     for i in range(len(sets)):
-        j = np.arange(i + 1, last[i])
-        j = j[forest.label[j] != forest.label[i]]
-        if len(j):
-            differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
-            both = sizes[j] + sizes[i]
-            for k in j[(100 + percent) * ((both - differ) // 2) >= percent * both].tolist():
-                if forest.label[i] != forest.label[k] and enough(order[i], order[k]):
-                    forest.join(i, k)
-                    links.append((int(order[i]), int(order[k])))
+        for k in bitmaps.partners(i).tolist():
+            if forest.label[i] != forest.label[k] and enough(order[i], order[k]):
+                forest.join(i, k)
+                links.append((int(order[i]), int(order[k])))
     return links
 
 
+def _prune(percent: int):
+    """Rows (tile, key, doc_id, n, map) in order of tile to rows (tile, key, doc_id) of the members that stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, seen = None, [], set()
+        out: list[tuple[int, int, int]] = []
+
+        def close() -> None:
+            if len(rows) > 1:
+                out.extend((tile, *rows[i][:2]) for i in hopeful([r[3] for r in rows], [r[2] for r in rows], percent))
+
+        for batch in batches:
+            tiles, keys, ids, n = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))
+            for i, data in enumerate(batch.column(4)):
+                if tiles[i] != tile:
+                    close()
+                    tile, rows, seen = tiles[i], [], set()
+                if keys[i] not in seen:
+                    seen.add(keys[i])
+                    rows.append((keys[i], ids[i], n[i], np.frombuffer(data.as_py(), np.uint64)))
+            if len(out) > 10_000:
+                yield _longs(out, "tile", "key", "doc_id")
+                out.clear()
+        close()
+        yield _longs(out, "tile", "key", "doc_id")
+
+    return run
+
+
+def _longs(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], list(names))
+
+
 def _tiles(k: int, percent: int):
     """Rows (tile, doc_id, key, text) in order of tile to links (a, b) of doc_ids."""
 
@@ -207,7 +278,7 @@ def _tiles(k: int, percent: int):
         out: list[tuple[int, int]] = []
 
         def close() -> None:
-            out.extend((ids[i], ids[j]) for i, j in linked(sets, percent) if len(sets) > 1)
+            out.extend((ids[i], ids[j]) for i, j in linked(sets, percent))
 
         for batch in batches:
             tiles, docs, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -225,12 +296,11 @@ def _tiles(k: int, percent: int):
                         ids.append(int(docs[i]))
                         sets.append(grams)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                yield _longs(out, "a", "b")
                 out.clear()
         if len(sets) > 1:
             close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        yield _longs(out, "a", "b")
 
     return run
 
@@ -258,13 +328,14 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     prepare(spark)
     home = workspace(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = written(docs.mapInArrow(_digest(k), "kind string, doc_id long, key long, n long"), f"{home}/digest")
+    digest = written(docs.mapInArrow(_digest(k), "kind string, doc_id long, key long, n long, map binary"), f"{home}/digest")
     own = digest.where("kind = 'doc'").drop("kind")
     entries_in_all = own.agg(F.sum(F.col("n") * (100 - percent) / 100 + 2)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries_in_all / BUCKET_ENTRIES))
     entries = docs.select("text").mapInArrow(_entries(k, percent, buckets, _frequent(spark, digest)), "bucket int, entries binary")
     runs = entries.groupBy("bucket").applyInPandas(_runs(percent), "tile long, key long").distinct()
-    classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).where("doc_id is not null")
+    maps = own.where("n > 0").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "map")
     runs = written(runs, f"{home}/runs")
     # large tiles: blocks of at most TILE / 2 members, and a tile for each two blocks
     sizes = runs.groupBy("tile").agg(F.ceil(F.count("*") * 2 / TILE).cast("int").alias("blocks")).where("blocks > 2")
@@ -275,13 +346,17 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("blocks").isNull(), 0).otherwise(F.col("blocks") - 1))))
         .select(F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "key")
     )
-    members = members.join(classes, "key").join(docs, "doc_id").select("tile", "doc_id", "key", "text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 2)
-    links = members.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(k, percent), "a long, b long")
+    members = members.join(classes.join(maps, ["doc_id", "key"]), "key").select("tile", "key", "doc_id", "n", "map")
+    pruned = members.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_prune(percent), "tile long, key long, doc_id long")
+    pruned = written(pruned, f"{home}/pruned")
+    small = pruned.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(pruned) if small else pruned, "doc_id").select("tile", "doc_id", "key", "text")
+    links = texts.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(k, percent), "a long, b long")
     links = written(links.distinct(), f"{home}/links")
     parts = connected_components(links)
     label = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))
-    return own.join(label, "key", "left").select(
+    return own.drop("map").join(label, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
