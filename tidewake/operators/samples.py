@@ -78,7 +78,7 @@ def tier_summary(samples: DataFrame) -> DataFrame:
 
 def merge_summaries(parts: DataFrame, counts: list[str], means: list[str], weight: str) -> DataFrame:
     """One row from rows of partial summaries: sums of counts and weighted means."""
-    return parts.agg(*[F.sum(c).alias(c) for c in counts], *[(F.sum(F.col(m) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1))).alias(m) for m in means])
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], *[(F.sum(F.col(m) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1))).alias(m) for m in means])
 
 
 def kinematics(samples: DataFrame) -> DataFrame:

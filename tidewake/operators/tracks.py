@@ -144,7 +144,7 @@ def resample(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     step, us = limits.step_s * 1_000_000, F.unix_micros("timestamp_utc")
     end = F.coalesce(F.unix_micros(F.col("_n.timestamp_utc")) - 1, us)
     low, high = F.ceil(us / step).cast("long"), F.floor(end / step).cast("long")
-    df = df.where(low <= high).withColumn("_g", F.explode(F.sequence(low, high)) * step)
+    df = df.where(low <= high).withColumn("_g", F.explode(F.sequence(low, high))).withColumn("_g", F.col("_g") * step)
     exact = F.col("_g") == us
     alpha = (F.col("_g") - us) / (F.unix_micros(F.col("_n.timestamp_utc")) - us)
     values = {c: F.when(exact, F.col(c)).otherwise(v) for c, v in _blend(alpha, limits).items()}

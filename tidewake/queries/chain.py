@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ingest, samples, tracks
+from ..plans.stages import stage
 from .fixtures import DUCK_RAW, raw_messages
 
 DATA = "lat, lon, sog, cog, heading, nav_status, ship_type, length, width, draught, imo"
@@ -23,24 +24,39 @@ def deduped(spark: SparkSession, d: str, **how) -> DataFrame:
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.co_located(ingest.speed_filter(deduped(spark, d)))
+    def build() -> DataFrame:
+        return tracks.co_located(ingest.speed_filter(deduped(spark, d)))
+
+    return stage(spark, "clean", d, build)
 
 
 def segmented(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.segment_tracks(clean(spark, d))
+    def build() -> DataFrame:
+        return tracks.segment_tracks(clean(spark, d))
+
+    return stage(spark, "segmented", d, build)
 
 
 def underway(spark: SparkSession, d: str) -> DataFrame:
-    seg = segmented(spark, d)
-    return tracks.underway_only(seg, tracks.segment_labels(seg))
+    def build() -> DataFrame:
+        seg = segmented(spark, d)
+        return tracks.underway_only(seg, tracks.segment_labels(seg))
+
+    return stage(spark, "underway", d, build)
 
 
 def gapfilled(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.fill_short_gaps(underway(spark, d))
+    def build() -> DataFrame:
+        return tracks.fill_short_gaps(underway(spark, d))
+
+    return stage(spark, "gapfilled", d, build)
 
 
 def resampled(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.resample(gapfilled(spark, d))
+    def build() -> DataFrame:
+        return tracks.resample(gapfilled(spark, d))
+
+    return stage(spark, "resampled", d, build)
 
 
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +64,10 @@ def reviewed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_enough(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.long_segments(reviewed(spark, d))
+    def build() -> DataFrame:
+        return tracks.long_segments(reviewed(spark, d))
+
+    return stage(spark, "long", d, build)
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +75,10 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    return samples.label_samples(windows(spark, d))
+    def build() -> DataFrame:
+        return samples.label_samples(windows(spark, d))
+
+    return stage(spark, "labelled", d, build)
 
 
 def haversine(a: str, b: str, c: str, d: str) -> str:
@@ -146,8 +168,8 @@ CHAIN: dict[str, str] = {
     "ordered": f"SELECT mmsi, segment_id, ship_type, gap_class, us, lat, lon, sog, cog, heading, grid_interp, gap_imputed, row_number() OVER ({SEG}) - 1 AS i, count(*) OVER (PARTITION BY segment_id) AS n FROM kept",
     "starts": "SELECT segment_id, i AS s FROM ordered WHERE i % 5 = 0 AND i + 60 <= n",
     "points": "SELECT printf('%s_%05d', segment_id, s) AS sample_id, s, o.i - s AS step, o.* EXCLUDE (i, n) FROM starts JOIN ordered o USING (segment_id) WHERE o.i BETWEEN s AND s + 59",
-    "placed": """SELECT p.*, rint(radians(p.lon - a.lon) * cos(radians(a.lat)) * 6371000.0 * 1000) / 1000 AS x, rint(radians(p.lat - a.lat) * 6371000.0 * 1000) / 1000 AS y
-      FROM points p JOIN (SELECT sample_id, rint(lat * 1e7) / 1e7 AS lat, rint(lon * 1e7) / 1e7 AS lon FROM points WHERE step = 29) a USING (sample_id)""".replace("p.lon - a.lon", "rint(p.lon * 1e7) / 1e7 - a.lon").replace("p.lat - a.lat", "rint(p.lat * 1e7) / 1e7 - a.lat"),
+    "placed": """SELECT p.*, round_even(radians(p.lon - a.lon) * cos(radians(a.lat)) * 6371000.0 * 1000, 0) / 1000 AS x, round_even(radians(p.lat - a.lat) * 6371000.0 * 1000, 0) / 1000 AS y
+      FROM points p JOIN (SELECT sample_id, round_even(lat * 1e7, 0) / 1e7 AS lat, round_even(lon * 1e7, 0) / 1e7 AS lon FROM points WHERE step = 29) a USING (sample_id)""".replace("p.lon - a.lon", "round_even(p.lon * 1e7, 0) / 1e7 - a.lon").replace("p.lat - a.lat", "round_even(p.lat * 1e7, 0) / 1e7 - a.lat"),
     "gaps": "SELECT sample_id, step, us - lag(us) OVER (PARTITION BY sample_id ORDER BY step) AS d FROM points",
     "measured": """SELECT sample_id, any_value(mmsi) AS mmsi, any_value(segment_id) AS segment_id, max(ship_type) FILTER (step = 59) AS ship_type, max(us) FILTER (step = 29) AS hist_end, max(us) FILTER (step = 59) AS pred_end,
       avg(CAST(gap_imputed AS INT)) FILTER (step < 30) AS ih, avg(CAST(gap_imputed AS INT)) FILTER (step >= 30) AS if, avg(CAST(gap_imputed AS INT)) AS it,

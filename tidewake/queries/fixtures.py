@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stages import stage
+
 #: Sixteen vessels in four groups that sail together. Every field has its sentinels, nulls, duplicates and jumps.
 FIX = """
   SELECT event_id, 219001000 + k AS mmsi, k, j, g, rn, epoch, v, dir,
@@ -13,7 +15,7 @@ FIX = """
     10.0 + g * 0.4 + j * 0.003 + v * sin(dir) * (epoch - 1704067200) / 63400.0 AS lon
   FROM (
     SELECT event_id, k, rn, CAST(k % 4 AS BIGINT) AS j, CAST(floor(k / 4) AS BIGINT) AS g,
-      1704067200 + rn * 20 + (event_id % 3) * 5 + CAST(floor(rn / 31) AS BIGINT) * 80 + CAST(floor(rn / 97) AS BIGINT) * 700 + CAST(floor(rn / 61) AS BIGINT) * 160 AS epoch,
+      1704067200 + rn * 20 + (event_id % 3) * 5 + CAST(floor(rn / 31) AS BIGINT) * 80 + CAST(floor(rn / 97) AS BIGINT) * 700 + CAST(floor(rn / 433) AS BIGINT) * 160 AS epoch,
       CASE WHEN k = 15 THEN 0.05 WHEN k < 4 THEN 6.0 WHEN k < 8 THEN 17.0 WHEN k < 12 THEN 8.0 ELSE 5.0 END AS v,
       CASE WHEN k < 4 THEN 0.6 WHEN k < 8 THEN 2.1 WHEN k < 12 THEN 4.0 ELSE 5.2 END AS dir
     FROM (SELECT event_id, user_id % 16 AS k, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) - 1 AS rn FROM {events}) e
@@ -42,18 +44,22 @@ HEADER = {
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-string messages under the first dialect's header."""
+    """All-string messages under the first dialect's header; a stage, as it stands for a source."""
+    return stage(spark, "raw", sf_dir, lambda: _raw(spark, sf_dir))
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.sql(RAW, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     raw = raw.withColumnsRenamed(HEADER).withColumn("# Timestamp", F.date_format(F.timestamp_seconds("epoch"), "dd/MM/yyyy HH:mm:ss"))
-    return raw.dropDuplicates(["_ingest_order"])  # stands for a source: what follows isn't merged into the fixture's expressions
+    return raw
 
 
-def settled(df: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For comparison across engines: times as microseconds, doubles to 6 decimals."""
+def settled(df: DataFrame, *, keep: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
+    """For comparison across engines: times as microseconds, doubles to some decimals."""
     def column(name: str, kind: str) -> Column:
         if kind.startswith("timestamp"):
             return F.unix_micros(name).alias(name)
-        return F.round(name, 6).alias(name) if kind == "double" else F.col(name)
+        return F.round(name, digits).alias(name) if kind == "double" else F.col(name)
 
     return df.select(*[column(n, k) for n, k in df.dtypes if not keep or n in keep])
 
