@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from ..plans.stages import stage
 
-#: Sixteen vessels in four groups that sail together. Every field has its sentinels, nulls, duplicates and jumps.
+#: Numbers are in scientific notation, which both engines read as doubles. Sixteen vessels in four groups that sail together. Every field has its sentinels, nulls, duplicates and jumps.
 FIX = """
   SELECT event_id, 219001000 + k AS mmsi, k, j, g, rn, epoch, v, dir,
-    55.0 + g * 0.5 + j * 0.008 + v * cos(dir) * (epoch - 1704067200) / 111194.93 + 0.004 * sin((epoch - 1704067200) / 900.0)
-      + CASE WHEN g = 1 AND event_id % 31 = 0 THEN 0.003 WHEN event_id % 307 = 0 THEN 0.05 ELSE 0.0 END AS lat,
-    10.0 + g * 0.4 + j * 0.003 + v * sin(dir) * (epoch - 1704067200) / 63400.0 AS lon
+    5.5e1 + g * 5e-1 + j * 8e-3 + v * cos(dir) * (epoch - 1704067200) / 1.1119493e5 + 4e-3 * sin((epoch - 1704067200) / 9e2)
+      + CASE WHEN g = 1 AND event_id % 31 = 0 THEN 3e-3 WHEN event_id % 307 = 0 THEN 5e-2 ELSE 0e0 END AS lat,
+    1e1 + g * 4e-1 + j * 3e-3 + v * sin(dir) * (epoch - 1704067200) / 6.34e4 AS lon
   FROM (
     SELECT event_id, k, rn, CAST(k % 4 AS BIGINT) AS j, CAST(floor(k / 4) AS BIGINT) AS g,
       1704067200 + rn * 20 + (event_id % 3) * 5 + CAST(floor(rn / 31) AS BIGINT) * 80 + CAST(floor(rn / 97) AS BIGINT) * 700 + CAST(floor(rn / 433) AS BIGINT) * 160 AS epoch,
-      CASE WHEN k = 15 THEN 0.05 WHEN k < 4 THEN 6.0 WHEN k < 8 THEN 17.0 WHEN k < 12 THEN 8.0 ELSE 5.0 END AS v,
-      CASE WHEN k < 4 THEN 0.6 WHEN k < 8 THEN 2.1 WHEN k < 12 THEN 4.0 ELSE 5.2 END AS dir
+      CASE WHEN k = 15 THEN 5e-2 WHEN k < 4 THEN 6e0 WHEN k < 8 THEN 1.7e1 WHEN k < 12 THEN 8e0 ELSE 5e0 END AS v,
+      CASE WHEN k < 4 THEN 6e-1 WHEN k < 8 THEN 2.1e0 WHEN k < 12 THEN 4e0 ELSE 5.2e0 END AS dir
     FROM (SELECT event_id, user_id % 16 AS k, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) - 1 AS rn FROM {events}) e
   ) m
 """

@@ -60,7 +60,7 @@ def gap_counts(spark, d):
     return chain.gapfilled(spark, d).agg(F.count_if(real & (c == "short")).alias("short_gaps"), F.count_if(c == "medium").alias("medium_gaps"), F.count_if(c == "long").alias("long_gaps"), F.count_if(~real).alias("inserted_points"))
 
 
-POINT = "round(lat, 8) AS lat, round(lon, 8) AS lon, round(sog, 4) AS sog, round(cog, 4) AS cog, round(heading, 4) AS heading"
+POINT = "round(lat, 10) AS lat, round(lon, 10) AS lon, round(sog, 4) AS sog, round(cog, 4) AS cog, round(heading, 4) AS heading"
 
 
 def _point(df):
@@ -69,12 +69,12 @@ def _point(df):
 
 @query(chain.sql(f"SELECT segment_id, us AS timestamp_utc, {POINT}, gap_class AS gap_class_before, filled AS is_interpolated_obs FROM gapfilled", "gapfilled"))
 def fill_short_gaps(spark, d):
-    return settled(_point(chain.gapfilled(spark, d)), keep=("segment_id", "timestamp_utc", "lat", "lon", "sog", "cog", "heading", "gap_class_before", "is_interpolated_obs"), digits=8)
+    return settled(_point(chain.gapfilled(spark, d)), keep=("segment_id", "timestamp_utc", "lat", "lon", "sog", "cog", "heading", "gap_class_before", "is_interpolated_obs"), digits=10)
 
 
 @query(chain.sql(f"SELECT segment_id, us AS timestamp_utc, {POINT}, gap_class AS gap_class_before, grid_interp AS is_grid_interpolated_point, gap_imputed AS is_gap_imputed_point FROM resampled", "resampled"))
 def resample_20s(spark, d):
-    return settled(_point(chain.resampled(spark, d)), keep=("segment_id", "timestamp_utc", "lat", "lon", "sog", "cog", "heading", "gap_class_before", "is_grid_interpolated_point", "is_gap_imputed_point"), digits=8)
+    return settled(_point(chain.resampled(spark, d)), keep=("segment_id", "timestamp_utc", "lat", "lon", "sog", "cog", "heading", "gap_class_before", "is_grid_interpolated_point", "is_gap_imputed_point"), digits=10)
 
 
 @query(chain.sql("SELECT segment_id, CAST(max(piece) AS BIGINT) AS pieces, count(*) AS n FROM pieces GROUP BY 1", "pieces"))
