@@ -1 +1,89 @@
-"""Queries."""
+"""Queries of the interaction operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import social
+from ..plans.stages import stage
+from ..registry import query
+from . import chain
+from .fixtures import settled
+from .samples import SPLIT
+from .spatial import env_of
+
+SPEED = "coalesce(sog * 0.514444 * {f}(radians(cog)), 0)"
+MORE = {
+    "snaps": "SELECT us, mmsi, segment_id, ship_type, lat, lon, sog, cog, heading FROM ordered WHERE i >= 29 AND us IN (SELECT hist_end FROM samples)",
+    "moving": f"SELECT *, {SPEED.format(f='sin')} AS vx, {SPEED.format(f='cos')} AS vy FROM snaps",
+    "met": """SELECT s.sample_id, n.mmsi AS n_mmsi, n.segment_id AS n_segment_id, (n.lon - o.lon) * 111320.0 * cos(radians(o.lat)) AS x, (n.lat - o.lat) * 110540.0 AS y, n.vx - o.vx AS vx, n.vy - o.vy AS vy
+      FROM samples s JOIN moving o ON o.us = s.hist_end AND o.segment_id = s.segment_id JOIN moving n ON n.us = o.us AND n.mmsi <> o.mmsi""",
+    "near": """SELECT *, sqrt(x * x + y * y) AS dist, CASE WHEN vx * vx + vy * vy > 1e-8 THEN -(x * vx + y * vy) / (vx * vx + vy * vy) END AS tcpa, count(*) OVER (PARTITION BY sample_id) AS total,
+      row_number() OVER (PARTITION BY sample_id ORDER BY sqrt(x * x + y * y), n_mmsi, n_segment_id) AS nr FROM met WHERE sqrt(x * x + y * y) <= 3000""",
+    "each": """SELECT sample_id, any_value(total) AS total, min(dist) AS min_d, avg(dist) AS mean_d, min(sqrt(pow(x + tcpa * vx, 2) + pow(y + tcpa * vy, 2))) AS min_cpa, min(abs(tcpa)) AS min_t, string_agg(n_mmsi, ',' ORDER BY nr) AS ids FROM near WHERE nr <= 8 GROUP BY 1""",
+    "full_social": "SELECT s.*, coalesce(total, 0) AS n, min_d, mean_d, min_cpa, min_t, coalesce(ids, '') AS ids, o.lat IS NOT NULL AS here FROM samples s LEFT JOIN each USING (sample_id) LEFT JOIN snaps o ON o.us = s.hist_end AND o.segment_id = s.segment_id",
+}
+BIN = "CASE WHEN n >= 7 THEN 'dense' WHEN n >= 4 THEN 'medium' WHEN n >= 1 THEN 'sparse' ELSE 'isolated' END"
+
+
+def over(body: str, last: str) -> str:
+    names = list(MORE)
+    return chain.sql(body, "samples", **{n: MORE[n] for n in names[: names.index(last) + 1]})
+
+
+def targets(spark, d):
+    return chain.labelled(spark, d).select("sample_id", "mmsi", "segment_id", "ship_type", "hist_end_ts")
+
+
+def snaps_of(spark, d):
+    return stage(spark, "snaps", d, lambda: social.snapshots(chain.long_enough(spark, d), targets(spark, d).select(F.col("hist_end_ts").alias("timestamp_utc"))))
+
+
+def social_of(spark, d):
+    return stage(spark, "social", d, lambda: social.social_features(targets(spark, d), snaps_of(spark, d)).withColumn("split", text.split_of(F.col("mmsi"))))
+
+
+@query(over("SELECT us AS timestamp_utc, mmsi, segment_id, CAST(30 AS BIGINT) AS history, round(lat, 6) AS lat, round(lon, 6) AS lon FROM snaps", "snaps"))
+def snapshots(spark, d):
+    df = snaps_of(spark, d)
+    return settled(df.select("timestamp_utc", "mmsi", "segment_id", F.size("hist_lat").cast("long").alias("history"), "lat", "lon"))
+
+
+@query(over("SELECT sample_id, n_mmsi, CAST(nr AS INT) AS rank, total, round(dist, 2) AS distance_m FROM near WHERE nr <= 8", "near"))
+def neighbours_topk(spark, d):
+    return social.nearest(social.neighbours(targets(spark, d), snaps_of(spark, d))).select("sample_id", "n_mmsi", "rank", "total", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(over("SELECT sample_id, n_mmsi, round(sqrt(pow(x + tcpa * vx, 2) + pow(y + tcpa * vy, 2)), 2) AS cpa_m, round(tcpa, 2) AS tcpa_s FROM near", "near"))
+def cpa_tcpa(spark, d):
+    return social.neighbours(targets(spark, d), snaps_of(spark, d)).select("sample_id", "n_mmsi", F.round("cpa_m", 2).alias("cpa_m"), F.round("tcpa_s", 2).alias("tcpa_s"))
+
+
+@query(over(f"SELECT sample_id, n AS neighbor_count_total, least(n, 8) AS neighbor_count_used, {BIN} AS neighbor_density_bin, ids, CAST(here AS INT) AS social_context_available, CAST(n >= 3 AS INT) AS interaction_candidate, round(min_d, 2) AS min_d, round(mean_d, 2) AS mean_d, round(min_cpa, 2) AS min_cpa, round(min_t, 2) AS min_t FROM full_social", "full_social"))
+def social_features(spark, d):
+    names = {"min_neighbor_distance_m": "min_d", "mean_neighbor_distance_m": "mean_d", "min_cpa_m": "min_cpa", "min_abs_tcpa_s": "min_t"}
+    return social_of(spark, d).select("sample_id", "neighbor_count_total", "neighbor_count_used", "neighbor_density_bin", F.array_join("neighbor_mmsi", ",").alias("ids"), "social_context_available", "interaction_candidate", *[F.round(k, 2).alias(v) for k, v in names.items()])
+
+
+@query(over(f"SELECT {SPLIT} AS split, count(*) AS samples, count(*) FILTER (here) AS available, count(*) FILTER (n >= 3) AS candidates, count(*) FILTER (n > 0) AS with_neighbours, round(avg(n), 6) AS mean_count, count(*) FILTER (n = 0) AS isolated, count(*) FILTER (n BETWEEN 1 AND 3) AS sparse, count(*) FILTER (n BETWEEN 4 AND 6) AS medium, count(*) FILTER (n >= 7) AS dense FROM full_social GROUP BY 1", "full_social"))
+def social_summary(spark, d):
+    return settled(social.social_summary(social_of(spark, d)))
+
+
+@query(over("SELECT sample_id, arg_min(o.us, {'d': abs(o.us - s.hist_end), 't': o.us}) AS timestamp_utc FROM samples s JOIN ordered o USING (segment_id) GROUP BY 1", "snaps"))
+def nearest_time(spark, d):
+    return settled(social.nearest_in_time(chain.long_enough(spark, d), targets(spark, d)).select("sample_id", "timestamp_utc"))
+
+
+@query(over("""SELECT sample_id, k.n_segment_id AS segment_id, o.us AS timestamp_utc FROM (SELECT DISTINCT s.sample_id, n.segment_id AS n_segment_id, s.hist_end FROM samples s JOIN snaps t ON t.us = s.hist_end AND t.segment_id = s.segment_id
+  JOIN snaps n ON n.us = t.us AND n.segment_id <> t.segment_id WHERE sqrt(pow((n.lon - t.lon) * 111320.0 * cos(radians(t.lat)), 2) + pow((n.lat - t.lat) * 110540.0, 2)) <= 2000) k
+  JOIN ordered o ON o.segment_id = k.n_segment_id AND o.us <= k.hist_end QUALIFY row_number() OVER (PARTITION BY sample_id, k.n_segment_id ORDER BY o.us DESC) <= 15""", "snaps"))
+def nearby_tracks(spark, d):
+    return settled(social.nearby_tracks(targets(spark, d), snaps_of(spark, d), chain.long_enough(spark, d)).select("sample_id", "segment_id", "timestamp_utc"))
+
+
+@query(over("SELECT sample_id, n AS neighbor_count_total, ids FROM full_social", "full_social"))
+def augmented_samples(spark, d):
+    df = social.left_one_to_one(social_of(spark, d), env_of(spark, d), ["sample_id"], required=True)
+    return df.select("sample_id", "neighbor_count_total", F.array_join("neighbor_mmsi", ",").alias("ids"))
