@@ -81,7 +81,7 @@ def _digest(k: int):
 
 def _rows(kind: str, ids, keys: np.ndarray, n: np.ndarray, maps: list[bytes]) -> pa.RecordBatch:
     ids = pa.array(ids) if isinstance(ids, np.ndarray) else ids.cast(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), ids, pa.array(keys), pa.array(np.asarray(n, np.int64)), pa.array(maps, pa.binary())], ["kind", "doc_id", "key", "n", "map"])
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), ids, pa.array(keys, pa.int64()), pa.array(np.asarray(n, np.int64)), pa.array(maps, pa.binary())], ["kind", "doc_id", "key", "n", "map"])
 
 
 def _entries(k: int, percent: int, buckets: int, frequent):

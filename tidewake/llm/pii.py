@@ -18,13 +18,16 @@ from .runtime import prepare, workspace, written
 from .spans import found, listed, numbered, placed
 
 #: A local part starts where the last match ended or where no character of its class stands before: no other start is leftmost.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
+#: Repeated groups are possessive: nothing follows them, so none is ever given back, and Java matches them in a loop
+#: instead of a call for each repetition, which a chain of thousands would not survive.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: A match ends with its last digit, so the next one starts where a run of digits does.
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 #: Chains of 12 digits or more: a chain is taken whole, so shorter ones can't hold a longer one.
-CARD = r"[0-9](?:[\x20-]?[0-9]){11,}"
+CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-NUMBER = r"\+?\(?[0-9](?:[\x20().-]{0,3}[0-9]){6,}"
-ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]+)+"
+NUMBER = r"\+?\(?[0-9](?:[\x20().-]{0,3}[0-9]){6,}+"
+ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]++)++"
 KINDS = ("email", "ip", "card", "phone", "other")
 #: Feature i of a candidate is a whole number below LEVELS[i].
 FEATURES = ("generator", "length", "groups", "brackets", "dots", "before", "after")

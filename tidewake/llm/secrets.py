@@ -18,13 +18,16 @@ ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][E
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 #: Fixed formats of issued keys, bearer headers, private key blocks and passwords in addresses.
 VENDOR = r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|[Bb]earer\x20{1,9}[A-Za-z0-9._~+/=-]{16,}|://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/@]{1,64}@)"
+SHORTEST = 6
 KINDS = ("assign", "access", "hex", "vendor")
 CANDIDATE = "array<struct<start:int,kind:int,end:int,value:bigint>>"
 
 
-def _values(spans: Column, kind: int, values: Column) -> Column:
-    """Spans with the hash of the secret itself."""
-    return F.coalesce(F.zip_with(spans, values, lambda s, v: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.xxhash64(v).alias("value"))), F.array().cast(CANDIDATE))
+def _values(spans: Column, kind: int) -> Column:
+    """Placed matches with the hash of the secret itself; assigned values shorter than SHORTEST are left out."""
+    secret = (lambda s: F.regexp_extract(s["value"], ASSIGN, 1)) if kind == 0 else (lambda s: s["value"])
+    kept = F.filter(spans, lambda s: F.length(secret(s)) >= SHORTEST) if kind == 0 else spans
+    return F.coalesce(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.xxhash64(secret(s)).alias("value"))), F.array().cast(CANDIDATE))
 
 
 def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
@@ -33,12 +36,8 @@ def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
     patterns = (ASSIGN, ACCESS, HEX, VENDOR)
     named = named.select("*", *[found(F.col("text"), p).alias(f"m{i}") for i, p in enumerate(patterns)])
-    spans = [placed(F.col("text"), p, F.col(f"m{i}")) for i, p in enumerate(patterns)]
-    secret = F.transform(F.col("m0"), lambda m: F.regexp_extract(m, ASSIGN, 1))
-    named = named.select("doc_id", F.xxhash64("text").alias("text"), "owner", "repository", secret.alias("m0"), "m1", "m2", "m3", *[s.alias(f"s{i}") for i, s in enumerate(spans)])
-    long = F.filter(F.zip_with("s0", "m0", lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value"))), lambda s: F.length(s["value"]) >= 6)
-    named = named.withColumn("s0", F.when(F.size("m0") > 0, long)).withColumn("m0", F.transform("s0", lambda s: s["value"]))
-    return named.select("doc_id", "text", "owner", "repository", F.array_sort(F.concat(*[_values(F.col(f"s{i}"), i, F.col(f"m{i}")) for i in range(4)])).alias("spans"))
+    spans = [_values(placed(F.col("text"), p, F.col(f"m{i}")), i) for i, p in enumerate(patterns)]
+    return named.select("doc_id", F.xxhash64("text").alias("text"), "owner", "repository", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "source", common_owners: int = 3, common_repositories: int = 5) -> DataFrame:

@@ -9,13 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lengths are summed in blocks of so many, so that the work grows little faster than the number of matches.
-BLOCK = 256
-
-
-def _total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0), lambda x, y: x + y)
-
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches (or a group of each), as an array of strings."""
@@ -31,30 +24,22 @@ def placed(text: Column, pattern: str, matches: Column) -> Column:
     def piece(m: Column, p: Column) -> Column:
         return F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.length(p).alias("p"), F.right(p, F.lit(1)).alias("last"), F.left(p, F.lit(1)).alias("first"))
 
-    zipped = F.zip_with(matches, F.split(text, pattern, -1), piece)
-    lengths = F.transform(zipped, lambda x: x["m"] + x["p"])
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: _total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    return F.when(F.size(matches) == 0, F.lit(None)).otherwise(_inner(matches, zipped, lengths, blocks))
+    # a one-element array names the intermediate arrays, so that each is computed once for a text
+    zipped = F.array(F.struct(matches.alias("matches"), F.zip_with(matches, F.split(text, pattern, -1), piece).alias("pieces")))
 
+    def summed(x: Column) -> Column:
+        sums = F.aggregate(x["pieces"], F.array(F.lit(0)), lambda seen, y: F.array_append(seen, F.element_at(seen, -1) + y["m"] + y["p"]))
+        return F.struct(x["matches"], x["pieces"], sums.alias("sums"))
 
-def _inner(matches: Column, zipped: Column, lengths: Column, blocks: Column) -> Column:
-    # one-element arrays name the intermediate arrays, so that each is computed once for a text
     def within(x: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
-            at = F.floor(i / BLOCK).cast("int")
-            before = F.get(x["bases"], at) + _total(F.slice(x["lengths"], at * BLOCK + 1, i - at * BLOCK))
-            here = F.get(x["zipped"], i)
-            start = before + here["p"]
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), here["last"].alias("before"), F.get(x["zipped"], i + 1)["first"].alias("after"))
+            here = F.get(x["pieces"], i)
+            start = F.get(x["sums"], i) + here["p"]
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), here["last"].alias("before"), F.get(x["pieces"], i + 1)["first"].alias("after"))
 
         return F.transform(x["matches"], one)
 
-    def bases(x: Column) -> Column:
-        sums = F.transform(x["blocks"], lambda _, b: _total(F.slice(x["blocks"], F.lit(1), b)))
-        return F.struct(x["matches"], x["zipped"], x["lengths"], sums.alias("bases"))
-
-    named = F.array(F.struct(matches.alias("matches"), zipped.alias("zipped"), lengths.alias("lengths"), blocks.alias("blocks")))
-    return F.get(F.transform(F.transform(named, bases), within), F.lit(0))
+    return F.when(F.size(matches) == 0, F.lit(None)).otherwise(F.get(F.transform(F.transform(zipped, summed), within), F.lit(0)))
 
 
 def listed(spans: Column, kinds: tuple[str, ...]) -> Column:
