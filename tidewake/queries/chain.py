@@ -97,7 +97,7 @@ def ship_class(c: str) -> str:
 
 
 def cap(c: str) -> str:
-    return f"CASE WHEN {c} IN ('cargo', 'tanker', 'bulk', 'container') THEN 35.0 WHEN {c} IN ('passenger', 'ferry') THEN 45.0 WHEN {c} = 'fishing' THEN 25.0 WHEN {c} IN ('tug', 'service') THEN 20.0 END"
+    return f"CAST(CASE WHEN {c} IN ('cargo', 'tanker', 'bulk', 'container') THEN 35.0 WHEN {c} IN ('passenger', 'ferry') THEN 45.0 WHEN {c} = 'fishing' THEN 25.0 WHEN {c} IN ('tug', 'service') THEN 20.0 END AS DOUBLE)"
 
 
 def number(c: str) -> str:
