@@ -148,6 +148,14 @@ def test_language_model(documents, prose):
     assert p.sum(1) == pytest.approx(1)
 
 
+def test_language_model_partitions(documents, prose):
+    """A history of one place of the corpus weighs alike at every partition count."""
+    rows = [(i, f"{prose(12, 25)} the end of line") for i in range(120)] + [(i, "zig zag zog " * 8) for i in (1001, 1002)]
+    few, many = ({r.doc_id: (r.score, r.base_score) for r in language_model.score_texts(documents(rows).repartition(n, "doc_id")).collect()} for n in (1, 24))
+    assert all(many[i][0] == pytest.approx(few[i][0], abs=1e-3) for i, _ in rows)
+    assert all(many[i][0] > many[i][1] + 1 for i in (1001, 1002))
+
+
 def test_secrets(documents):
     rows = [(i, "password = hunter2xyz and token: 'abc' API_KEY=abcdef") for i in range(4)]
     rows += [(10, "é🙂 AKIA" + "Z9" * 8 + "x AKIA12 " + "0123456789abcdef" * 2 + " deadbeef"), (11, 'Secret"  :  "s3cr3t/+==" passwd:=zzzzzzz'), (12, None), (13, "token=tokens=password=abcdefgh"), (14, "token = q1w2e3r4 " * 600), (15, "ghp_" + "a1B2" * 8)]

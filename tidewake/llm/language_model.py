@@ -2,8 +2,9 @@
 
 A token's probability given its history is that of its class given the history, times that of the token in its class.
 Classes are bands of tokens by frequency. The softmax over classes sums the rows of a hashed weight table for the features
-of the history (last token, the one before as a skip feature, and both); it is trained by distributed updates: in each
-round every task runs gradient steps over its share of the corpus from common weights, and the changes are averaged.
+of the history (last token, the one before as a skip feature, and both); it is trained by generalised iterative scaling:
+in each round all tasks sum the probabilities of the classes by row, and each weight moves by how far the sum over the
+whole corpus is from the count, so the weights don't depend on how the corpus is split (but for rounding).
 Within a class tokens keep their smoothed unigram rates, so a text's log-probability is its unigram score plus, for each
 token, the log of the class's probability given the history over its overall rate.
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import prepare, workspace, written
@@ -29,7 +30,9 @@ END = 0x5EED0FE4D
 #: Tokens of the broadcast table (17 bytes each), and tokens that a task counts before it passes counts on.
 TOP, LOAD = 1 << 20, 4_000_000
 CLASSES, ROWS = 32, 1 << 16
-STEP, BATCH, ROUNDS, CHUNKS, TREE = 0.15, 1 << 14, 1, 64, 64
+#: Tokens that both sides of a weight's ratio of counts get, so that a row seen once moves little.
+DAMP = 1.0
+BATCH, ROUNDS, CHUNKS, TREE = 1 << 14, 3, 64, 64
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -102,60 +105,71 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def _update(model):
-    """Gradient steps over a task's texts; rows (chunk, group of tasks, tasks, change of weights)."""
+def _gather(model):
+    """Sums over a task's texts by row and class: of the tokens themselves, or of all classes' probabilities where there are weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocabulary, start = model.value
-        weights, seen = start.copy(), np.full(ROWS, 1e-6, np.float32)
+        vocabulary, weights = model.value
         bias = vocabulary.log_rate.astype(np.float32)
+        total = np.zeros((ROWS, CLASSES))
         for batch in batches:
             for a, b in sliced(batch.column(0)):
                 token, bounds = tokens(find_words(batch.column(0).slice(a, b - a)))
-                rows, (_, own) = histories(token, bounds).astype(np.int64), vocabulary.look_up(token)
+                rows = histories(token, bounds).astype(np.int64)
+                if weights is None:
+                    np.add.at(total.reshape(-1), (rows * CLASSES + vocabulary.look_up(token)[1]).reshape(-1), 1.0)
+                    continue
                 for at in range(0, len(token), BATCH):
-                    r, y = rows[:, at : at + BATCH], own[at : at + BATCH]
+                    r = rows[:, at : at + BATCH]
                     p = np.exp(log_softmax(weights, bias, r))
-                    p[np.arange(len(y)), y] -= 1
                     for feature in r:
                         order = np.argsort(feature, kind="stable")
                         first = np.flatnonzero(np.diff(feature[order], prepend=-1))
-                        row = feature[order][first]
-                        gradient = np.add.reduceat(p[order], first, axis=0)
-                        seen[row] += (gradient**2).mean(1)
-                        weights[row] -= STEP * gradient / np.sqrt(seen[row])[:, None]
-        change = np.split((weights - start).astype(np.float16), CHUNKS)
+                        total[feature[order][first]] += np.add.reduceat(p[order], first, axis=0, dtype=np.float64)
         group = TaskContext.get().partitionId() // TREE
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(CHUNKS), pa.int32()), pa.array([group] * CHUNKS, pa.int32()), pa.array([1] * CHUNKS, pa.int64()), pa.array([c.astype(np.float32).tobytes() for c in change], pa.binary())],
-            ["chunk", "part", "tasks", "change"],
+            [pa.array(range(CHUNKS), pa.int32()), pa.array([group] * CHUNKS, pa.int32()), pa.array([c.astype(np.float32).tobytes() for c in np.split(total, CHUNKS)], pa.binary())],
+            ["chunk", "part", "total"],
         )
 
     return run
 
 
-CHANGE = "chunk int, part int, tasks long, change binary"
+TOTAL = "chunk int, part int, total binary"
 
 
 def _sum(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(ROWS // CHUNKS * CLASSES, np.float32)
-    for c in group["change"]:
+    total = np.zeros(ROWS // CHUNKS * CLASSES)
+    for c in group["total"]:
         total += np.frombuffer(c, np.float32)
-    return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "part": [group["part"].iloc[0]], "tasks": [group["tasks"].sum()], "change": [total.tobytes()]})
+    return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "part": [group["part"].iloc[0]], "total": [total.astype(np.float32).tobytes()]})
+
+
+def _sums(texts: DataFrame, vocabulary: Vocabulary, weights: np.ndarray | None) -> np.ndarray:
+    """The sums of _gather over all texts."""
+    model = texts.sparkSession.sparkContext.broadcast((vocabulary, weights))
+    sums = texts.mapInArrow(_gather(model), TOTAL).groupBy("chunk", "part").applyInPandas(_sum, TOTAL).withColumn("part", F.lit(0))
+    parts = {r.chunk: np.frombuffer(r.total, np.float32) for r in sums.groupBy("chunk").applyInPandas(_sum, TOTAL).collect()}
+    model.unpersist()
+    return np.concatenate([parts[k] for k in range(CHUNKS)]).reshape(ROWS, CLASSES).astype(float) if parts else np.zeros((ROWS, CLASSES))
 
 
-def train(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary, rounds: int) -> np.ndarray:
-    """The weight table after some rounds of averaged updates over all texts."""
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    for _ in range(rounds):
-        changes = texts.mapInArrow(_update(spark.sparkContext.broadcast((vocabulary, weights))), CHANGE)
-        changes = changes.groupBy("chunk", "part").applyInPandas(_sum, CHANGE).withColumn("part", F.lit(0))
-        parts = {r.chunk: np.frombuffer(r.change, np.float32) / r.tasks for r in changes.groupBy("chunk").applyInPandas(_sum, CHANGE).collect()}
-        if parts:
-            weights = weights + np.concatenate([parts[k] for k in range(CHUNKS)]).reshape(ROWS, CLASSES)
-    return weights
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int) -> np.ndarray:
+    """The weight table after some rounds of iterative scaling over all texts.
+
+    Each token has three rows, so a round adds a third of log(count / expected count) to each weight. Both are sums over
+    all texts: a row's change depends on its own tokens alone, neither on how the texts are split nor on their number.
+    """
+    weights = np.zeros((ROWS, CLASSES))
+    if rounds:
+        count = _sums(texts, vocabulary, None)
+    for k in range(rounds):
+        # without weights a class has its overall rate in every row
+        expected = _sums(texts, vocabulary, weights.astype(np.float32)) if k else count.sum(1, keepdims=True) * np.exp(log_softmax(weights[:1], vocabulary.log_rate, np.zeros((3, 1), int)))
+        weights += np.log((count + DAMP) / (expected + DAMP)) / 3
+    return weights.astype(np.float32)
 
 
 def _score(model):
@@ -213,7 +227,7 @@ def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0, rounds: int
     train_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rows = counts.orderBy(F.desc("n"), "token").limit(top).toArrow()
     vocabulary = Vocabulary(rows.column("token").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy().astype(np.int64), train_tokens, distinct)
-    weights = train(spark, texts, vocabulary, rounds)
+    weights = train(texts, vocabulary, rounds)
     scored = docs.select("doc_id", "held_out", "text").mapInArrow(_score(spark.sparkContext.broadcast((vocabulary, weights))), SCORED)
     scored = written(scored.withColumn("row", F.xxhash64("doc_id", "key")), f"{home}/scored")
     # tokens beyond the table: repeated rows bring theirs several times, so sums are divided by how often a row came
