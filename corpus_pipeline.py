@@ -6,7 +6,7 @@ packed batches. A stage's result is written as Parquet and read again as the nex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm.decontaminate import decontaminate
@@ -17,30 +17,44 @@ from tidewake.llm.runtime import workspace, written
 from tidewake.llm.secrets import secret_scan
 
 
+#: A row's key, which the operators carry as its doc_id: of the id and the text, either of which may be null. Rows of one key
+#: are repeated rows, and all verdicts on them are the same.
+KEY = F.xxhash64(F.isnull("doc_id"), F.col("doc_id").cast("long"), F.isnull("text"), F.col("text").cast("string"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", KEY)
+
 
 def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The documents whose doc_id the verdict keeps; rows without an id can't be told apart and stay out."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The rows whose key, the verdict's doc_id, the verdict keeps."""
+    return docs.withColumn("_key", KEY).join(verdict.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _kept(docs, quality_rules(docs).where("kept"))
+    return _kept(docs, quality_rules(_keyed(docs)).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate component."""
-    return _kept(docs, ngram_jaccard(docs, k=5, percent=80).where("doc_id = component_id"))
+    """One row of each near-duplicate component: that of the smallest id, of rows without any only if there is no id."""
+    component = ngram_jaccard(_keyed(docs), k=5, percent=80).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = docs.select(KEY.alias("key"), "doc_id").distinct()
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")
+    kept = _kept(docs, ids.join(component, "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("doc_id")))
+    # of repeated rows the first by the other columns
+    order = Window.partitionBy("_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
+    return kept.withColumn("_key", KEY).withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_key", "_row")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    return _kept(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10).where("not contaminated"))
+    return _kept(docs, decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10).where("not contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without secrets that look live."""
-    return _kept(docs, secret_scan(docs, owner="source", repository="source", common_owners=3, common_repositories=5).where("n_live = 0"))
+    return _kept(docs, secret_scan(_keyed(docs), owner="source", repository="source", common_owners=3, common_repositories=5).where("n_live = 0"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_stages_keep_columns(spark, documents, prose, tmp_path):
     for docs in (documents([(1, prose(50)), (1, prose(50)), (None, prose(30)), (2, None)]), documents([])):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_null_and_repeated_ids(spark, documents, prose, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d, e, item = (prose(n, 9000) for n in (40, 50, 60, 70, 80, 30))
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, "too short"), (None, b + " tail"), (None, c), (None, c), (None, "short too")]
+    rows += [(3, d), (3, f"{prose(33, 9000)} {item}"), (4, e), (4, f"{prose(35, 9000)} token: onlyhere1")]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == [(1, 40), (2, 50), (3, 70), (4, 80), (None, 60)]
