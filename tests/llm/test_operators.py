@@ -134,6 +134,16 @@ def test_packing(documents, prose, monkeypatch):
         assert places == [divmod(i, most) for i in range(len(places))]
 
 
+def test_packing_of_long_texts(spark):
+    """Boundaries are optimal and buckets no longer than a text beyond 1,024 words too."""
+    chance = random.Random(3)
+    lengths = [chance.randrange(900, 30_000) for _ in range(60)] + [20_020] * 9
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    got = packing.pack(docs, F.col("n"), buckets=4, budget=65_536).collect()
+    assert sum(r.bucket - r.n_tokens for r in got) == brute.least_padding(lengths, 4)
+    assert {r.bucket for r in got} <= set(lengths) and max(r.bucket for r in got) == max(lengths)
+
+
 def test_language_model(documents, prose):
     rows = [(i, f"{prose(12, 25)} the end of line" if i % 5 else None) for i in range(120)]
     want = brute.unigram_scores(rows)

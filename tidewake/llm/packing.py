@@ -1,52 +1,61 @@
 """Packing into optimal length buckets.
 
-A global histogram of lengths, at most CLASSES wide, goes to the driver. Dynamic programming over it chooses the bucket
-boundaries that minimise padding, exactly for the histogram's classes. Each text joins the smallest bucket that holds it,
+The global histogram of lengths goes to the driver: D distinct lengths take D * (D - 1) / 2 tokens or more, so a corpus of
+5 billion tokens has at most 100,000. Dynamic programming over it chooses the bucket boundaries that minimise padding,
+exactly, so each bucket ends with the length of its longest text. Each text joins the smallest bucket that holds it,
 and batches of a fixed token budget form inside each bucket: a batch has as many rows as fit when all are padded to the
 bucket's length. Ranks within a bucket come from counts by slice, so a bucket may hold any share of the texts.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import prepare, workspace, written
 
-#: Lengths up to EXACT are classes of their own; beyond it, classes grow by 1 / FINE, so some hundred hold any length.
-EXACT, FINE = 1024, 64
 #: Rows of a slice of a bucket that one task ranks.
 SLICE = 50_000
 
 
-def length_class(n: Column) -> Column:
-    """The largest length of the class of n: n itself up to EXACT, then rounded up to 1 / FINE of its power of two."""
-    step = F.greatest(F.lit(1), F.pow(2, F.floor(F.log2(F.greatest(n - 1, F.lit(1)))) + 1) / (2 * FINE)).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Of ascending lengths those that end a bucket, so that padding every text to its bucket's end costs least."""
-    n = len(lengths)
+    """Of ascending lengths those that end a bucket, so that padding every text to its bucket's end costs least.
+
+    In whole numbers, so exact, with a number of steps in proportion to buckets times lengths.
+    """
+    n, size = len(lengths), [int(x) for x in lengths]
     if not n:
         return []
-    total = np.append(0, np.cumsum(counts.astype(float)))
-    cost = lengths * total[1:]  # one bucket for the first i + 1 classes, real tokens left out: they're the same for all
+    total = [0, *accumulate(int(c) for c in counts)]
+    cost = [size[i] * total[i + 1] for i in range(n)]  # one bucket for the first i + 1 lengths, real tokens left out: they're the same for all
     back = []
     for _ in range(1, min(buckets, n)):
-        # cost[i] = min over j < i of cost[j] + lengths[i] * (total[i + 1] - total[j + 1])
-        table = cost[None, :] + lengths[:, None] * (total[1:][:, None] - total[1:][None, :])
-        table[np.triu_indices(n)] = np.inf
-        last = np.argmin(table, 1)
-        better = np.minimum(cost, table[np.arange(n), last])
-        back.append(np.where(table[np.arange(n), last] < cost, last, -1))
+        # cost[i] = min over j < i of cost[j] + size[i] * (total[i + 1] - total[j + 1]): each j is a line over size[i], whose
+        # slope falls with j, so the lines that are least somewhere follow one another as size[i] grows
+        better, lasts, lines, at = cost[:], [-1] * n, [], 0
+        for i in range(1, n):
+            slope, base = -total[i], cost[i - 1]
+            while len(lines) - at > 1:
+                (u, x, _), (v, y, _) = lines[-2:]
+                if (base - x) * (u - v) > (y - x) * (u - slope):
+                    break
+                lines.pop()
+            lines.append((slope, base, i - 1))
+            while at + 1 < len(lines) and lines[at + 1][0] * size[i] + lines[at + 1][1] <= lines[at][0] * size[i] + lines[at][1]:
+                at += 1
+            least = lines[at][0] * size[i] + lines[at][1] + size[i] * total[i + 1]
+            if least < cost[i]:
+                better[i], lasts[i] = least, lines[at][2]
+        back.append(lasts)
         cost = better
-    out, i = [int(lengths[-1])], n - 1
-    for last in reversed(back):
-        if last[i] >= 0:
-            i = int(last[i])
-            out.append(int(lengths[i]))
+    out, i = [size[-1]], n - 1
+    for lasts in reversed(back):
+        if lasts[i] >= 0:
+            i = lasts[i]
+            out.append(size[i])
     return sorted(out)
 
 
@@ -61,10 +70,10 @@ def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_53
     spark = docs.sparkSession
     prepare(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"))
-    own = written(own.withColumn("class", length_class(F.col("n_tokens"))), f"{workspace(spark)}/lengths")
-    seen = sorted((r["class"], r["count"]) for r in own.groupBy("class").count().collect())
-    ends = boundaries(np.array([c for c, _ in seen], float), np.array([k for _, k in seen]), buckets)
-    bucket = F.coalesce(*[F.when(F.col("class") <= e, F.lit(e)) for e in ends]) if ends else F.lit(0)
+    own = written(own, f"{workspace(spark)}/lengths")
+    seen = sorted((r["n_tokens"], r["count"]) for r in own.groupBy("n_tokens").count().collect())
+    ends = boundaries(np.array([c for c, _ in seen]), np.array([k for _, k in seen]), buckets)
+    bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(e)) for e in ends]) if ends else F.lit(0)
     slices = max(1, sum(k for _, k in seen) // SLICE)
     placed = own.withColumn("bucket", bucket.cast("long")).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
     counts = placed.groupBy("bucket", "slice").count()
