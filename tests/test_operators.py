@@ -137,6 +137,19 @@ def test_quotas_and_choice(spark):
         assert min(abs(a - b) for i, a in enumerate(g.sample_step) for b in list(g.sample_step)[:i]) >= 20
 
 
+def test_clean_choice_takes_all_candidates(spark, monkeypatch):
+    from tidewake.queries import selection as queries
+
+    stratum = ("train", "cargo_tanker", "10_15", "mid")
+    rows = [(*stratum, 1, "g1", i, f"a{i:03d}", 90.0 - i / 100, True, None) for i in range(200)]  # one vessel's segment holds the best rows
+    rows += [(*stratum, 100 + i, f"h{i}", 0, f"b{i:03d}", 50.0, True, None) for i in range(30)]
+    rows += [(*stratum, 200 + i, f"r{i}", 0, f"c{i:03d}", 95.0, True, "quality_score") for i in range(30)]
+    names = "split string, ship_group string, speed_bin string, motion_bin string, mmsi long, segment_id string, sample_step int, sample_id string, quality_score double, core_eligible boolean, reject_reason string"
+    monkeypatch.setattr(queries, "_candidates", lambda spark, d: spark.createDataFrame(rows, names))
+    got = sorted(r.sample_id for r in queries.select_clean(spark, "").collect())
+    assert got == ["a000", "a020", "a040"] + [f"b{i:03d}" for i in range(21)]
+
+
 def test_clip_stays_inside(spark):
     cases = [(-10.0, 0.0, 10.0, 0.0), (0.0, 0.0, 0.0, 0.0), (9.0, 9.0, 20.0, 20.0), (6.0, 0.0, 6.0, 5.0), (-6.0, 4.0, -4.0, 6.0), (1.0, 1.0, 2.0, 2.0)]
     df = spark.createDataFrame(cases, "a double, b double, c double, d double")

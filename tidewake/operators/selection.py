@@ -255,17 +255,19 @@ def choose(pool: pd.DataFrame, target: int, per_vessel: int, per_segment: int, s
     return pool.loc[taken[:target], ["split", "sample_id"]]
 
 
-def select_greedy(candidates: DataFrame, rank: Column, target: int, weighted: bool = True, per_vessel: int = 12, per_segment: int = 3, step_gap: int = 20) -> DataFrame:
+def select_greedy(candidates: DataFrame, rank: Column, target: int, weighted: bool = True, per_vessel: int = 12, per_segment: int = 3, step_gap: int = 20, pooled: bool = True) -> DataFrame:
     """(split, sample_id) of a constrained choice per split.
 
-    The choice is sequential by nature; it runs over each split's pools, which quotas bound by some times the target.
+    The choice is sequential by nature; it runs over each split's pools, which quotas bound by some times the target, or
+    over all candidates of a split if not pooled.
     """
     counts = candidates.groupBy("split", *STRATUM).agg(F.count("*").alias("n"))
     parts = []
     for split in ("train", "val", "test"):
         own = counts.where(F.col("split") == split).drop("split")
         quota = quota_weighted(own, target) if weighted else quota_sqrt(own, target)
-        pool = stratum_pools(candidates.where(F.col("split") == split).withColumn("rank", rank), quota, F.col("rank"))
+        ranked = candidates.where(F.col("split") == split).withColumn("rank", rank)
+        pool = stratum_pools(ranked, quota, F.col("rank")) if pooled else ranked.join(F.broadcast(quota.select(*STRATUM, "quota")), list(STRATUM))
         parts.append(pool.select("split", "sample_id", "mmsi", "segment_id", "sample_step", *STRATUM, "rank", "quota"))
     pools = parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -167,7 +167,7 @@ def select_representative(spark, d):
 
 @query()
 def select_clean(spark, d):
-    return selection.select_greedy(_candidates(spark, d).where("core_eligible"), -F.col("quality_score"), 24, weighted=True, per_vessel=12, per_segment=3, step_gap=20)
+    return selection.select_greedy(_candidates(spark, d).where("reject_reason is null"), -F.col("quality_score"), 24, weighted=True, per_vessel=12, per_segment=3, step_gap=20, pooled=False)
 
 
 @query()
