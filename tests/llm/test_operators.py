@@ -54,7 +54,8 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_jaccard(documents, prose, monkeypatch):
+@pytest.mark.parametrize("repeated", [64, 3])
+def test_jaccard(documents, prose, monkeypatch, repeated):
     chance, rows = random.Random(3), []
     for g in range(12):
         words = prose(chance.randrange(4, 90), 400).split()
@@ -67,10 +68,46 @@ def test_jaccard(documents, prose, monkeypatch):
     rows += [(1000 + i, f"{common} {prose(i % 12, 900)}") for i in range(40)] + [(2000 + i, common) for i in range(30)]
     rows += [(3000, None), (3001, ""), (3002, "one"), (3003, "ONE"), (3004, "one two")]
     monkeypatch.setattr(jaccard, "TILE", 10)
+    monkeypatch.setattr(jaccard, "REPEATED", repeated)
+    monkeypatch.setattr(jaccard, "FREQUENT", 100)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard(documents(rows)).collect()}
     assert got == brute.components(rows)
 
 
+def test_jaccard_family(documents, prose, monkeypatch):
+    """A family of distinct near copies that is larger than a tile, with members that only link with some of the others."""
+    chance, base = random.Random(4), prose(60, 4000).split()
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(chance.randrange(0, 4)):
+            own[chance.randrange(60)] = f"e{i}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(jaccard, "TILE", 20)
+    monkeypatch.setattr(jaccard, "REPEATED", 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard(documents(rows)).collect()}
+    assert got == brute.components(rows)
+
+
+def test_hashes_of_two_letters(spark, documents):
+    """Thue-Morse orders of two letters or words and their complements, whose polynomials modulo 2**64 are equal, stay apart."""
+
+    def order(n, x, y):
+        for _ in range(n):
+            x, y = x + y, y + x
+        return "".join(x), "".join(y)
+
+    a, b = order(10, ["a"], ["b"])
+    u, v = order(11, ["ab "], ["ba "])
+    filler = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}\n{filler}"), (4, u), (5, v)]
+    assert {r.doc_id: r.component_id for r in jaccard.ngram_jaccard(documents(rows)).collect()} == {i: brute.components(rows)[i][1] for i, _ in rows}
+    hits = decontaminate.decontaminate(documents(rows), spark.createDataFrame([(1, a)], "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in hits.collect()} == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality_rules(documents(rows)).collect()} == {i: 0 for i, _ in rows}
+    assert {r.doc_id: r.n_known for r in language_model.score_texts(documents([(1, a), (2, b)]), folds=10, held_out=11).collect()} == {1: 2, 2: 2}
+
+
 def test_token_counts(documents, model_path, prose):
     import sentencepiece
 

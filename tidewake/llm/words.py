@@ -1,7 +1,9 @@
 """Words of many texts at once, as numpy arrays over the bytes of an Arrow string column.
 
 UTF-8 keeps ASCII bytes apart from all others, so word classes that treat every non-ASCII character alike can be
-decided byte by byte. Hashes are 64-bit polynomials with a final mix; two different words collide with odds of 2^-64.
+decided byte by byte. A word's hash sums a mix of each of its 8-byte blocks with the block's place, a sequence's a mix of
+each word with its place: no arrangement of a few letters or words cancels out, as it would in a polynomial modulo 2^64.
+Two different words, or sequences, collide with odds of about 2^-64.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ NOT_SPACE = ~((_B == 0x20) | ((_B >= 0x09) & (_B <= 0x0D)))
 ALNUM = ((_B >= 0x30) & (_B <= 0x39)) | ((_B >= 0x61) & (_B <= 0x7A)) | (_B >= 0x80)
 LOWER = np.where((_B >= 0x41) & (_B <= 0x5A), _B + 32, _B).astype(np.uint8)
 
-_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: By the number of bytes of a block that belong to a word: the bits to keep.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,20 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    known = _tables.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, np.uint64)
-        known[0] = 1
-        known = np.cumprod(known, dtype=np.uint64)
-        _tables[base] = known
-    return known[:n]
-
-
 @dataclass
 class Words:
     """Words of a few texts: of text i those from first[i] to first[i + 1]."""
@@ -111,13 +101,33 @@ def find_words(column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = Tru
     return words
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range."""
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=prefix[1:])
-    inverse = powers(pow(_P, -1, 1 << 64), n + 1)
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+def spread(values: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of a mix of value and place, for ranges of values that lie one after another (lengths may be 0)."""
+    out = np.zeros(len(firsts), np.uint64)
+    some = lengths > 0
+    if some.any():
+        place = (np.arange(len(values)) - np.repeat(firsts, lengths)).astype(np.uint64)
+        out[some] = np.add.reduceat(mix(mix(values) + (place + np.uint64(1)) * _GOLD), firsts[some])
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range; another seed gives an independent one."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the 8 bytes from each place on
+    size = ends - starts
+    n = (size + 7) >> 3
+    if n.max() <= 1:
+        total = mix(mix((blocks[starts] & _KEEP[size]) ^ np.uint64(seed)) + _GOLD) * (n > 0)
+    else:
+        first = np.cumsum(n) - n
+        at = 8 * (np.arange(first[-1] + n[-1]) - np.repeat(first, n))
+        own = blocks[np.repeat(starts, n) + at] & _KEEP[np.minimum(np.repeat(size, n) - at, 8)]
+        total = spread(own ^ np.uint64(seed), first, n)
+    return mix(total + size.astype(np.uint64))
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -125,17 +135,22 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = hashes[:n].copy()
-    for j in range(1, k):
-        total *= np.uint64(_Q)
-        total += hashes[j : j + n]
+    keys = mix(np.arange(1, 2 * k + 1).astype(np.uint64) * _GOLD)
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total += (hashes[j : j + n] ^ keys[j]) * (keys[k + j] | np.uint64(1))
     return mix(total)
 
 
 def sequence_hash(hashes: np.ndarray) -> int:
     """A hash of a whole sequence of words, its order and length."""
-    total = (hashes * powers(_Q, len(hashes))).sum(dtype=np.uint64) + np.uint64(len(hashes))
-    return int(mix(np.array([total], np.uint64))[0])
+    return int(sequence_hashes(hashes, np.array([0, len(hashes)]))[0])
+
+
+def sequence_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of the words from each bound to the next."""
+    n = np.diff(first)
+    return mix(spread(hashes, first[:-1], n) + n.astype(np.uint64) * _GOLD)
 
 
 def text_grams(words: Words, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
