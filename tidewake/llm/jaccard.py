@@ -1,44 +1,49 @@
 """N-gram Jaccard self-join: size-banded tiles, hashed bitmap signatures, exact intersections.
 
 1. Documents with the same words form one class; everything below joins classes, so copies are never paired.
-2. Shingles that occur in many documents are found by lossy counting and put last in a global order. Two sets whose
-   similarity reaches the threshold share a shingle of their prefixes under any one order, so the order only decides
-   how much work there is, never what is found.
-3. Classes that share a prefix shingle and whose sizes leave no gap wider than the threshold allows make a run. All
-   of a run go to the tile of its leader (the member of lowest key), where every linked pair meets.
+2. One global order of all shingles: those of low hash first, rarest first by the number of classes that have them; then
+   the others by hash; last the few that are frequent in any part of the corpus. Two sets whose similarity reaches the
+   threshold share a shingle of their prefixes under any one order, so the order only decides how much work there is.
+   A class whose prefix holds only shingles of its own has no partner and is done.
+3. Classes that share a prefix shingle and a size band, or neighbouring ones, go to the tile of the least key among them.
 4. In a tile, sets are sorted by size; a pair's parity bitmaps bound its overlap from above by the count of differing
-   bits. First only bitmaps go to the tiles, and members for which no partner passes are left out. Large tiles are cut
-   into blocks that meet two by two.
+   bits. First only bitmaps go to the tiles, and members for which no partner passes are left out.
 5. The texts of the others follow. Pairs that pass the bound have their sorted arrays intersected; pairs already
    connected are skipped, and a tile returns a spanning forest of its links instead of all pairs.
+   A large tile is dealt over many tasks: first all members meet the least key alone; then those that don't link with
+   it meet all others, block by block. A family of copies is done after the first step, whatever its size.
 6. Connected components of the links give each document the smallest id it reaches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .runtime import prepare, workspace, written
 from .words import find_words, mix, sequence_hash, signed, sliced, text_grams
 
-#: Distinct shingles that a task holds before it counts them, and documents of such a load from which one is passed on.
-LOAD, REPEATED = 4_000_000, 4
+#: Shingles that a task holds before it passes on counts or entries, and texts of such a load from which a shingle's count is passed on.
+LOAD, REPEATED = 4_000_000, 64
 #: Most entries of the table of frequent shingles (12 bytes each). Beyond it the most frequent stay; results don't change.
-FREQUENT = 1 << 19
-#: Prefix entries of a bucket, and classes of a tile that is handled whole.
-BUCKET_ENTRIES, TILE = 250_000, 4000
+FREQUENT = 1 << 18
+#: Hashes below this are counted; the share of shingles is 0.4, twice what a prefix takes.
+COUNTED = int(0.4 * 2**64)
+#: Entries of a bucket; classes of a tile that one task handles, and shingles of all of them.
+BUCKET_ENTRIES, TILE, TILE_SHINGLES = 200_000, 500, 2_000_000
 #: Bits of a bitmap are a power of two between these.
 FEWEST_BITS, MOST_BITS = 64, 4096
-#: Rows (tile, key, doc_id) that are broadcast to fetch texts; more of them are joined by a shuffle.
+#: Rows of three or four longs that are broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-ENTRY = np.dtype([("gram", "<u8"), ("key", "<u8"), ("n", "<u4")])
+#: Prefix candidate: shingle, class, set size, and how many of the class's entries are counted (0: all are in the prefix anyway).
+ENTRY = np.dtype([("gram", "<u8"), ("key", "<u8"), ("n", "<u4"), ("counted", "<u4")])
 
 
 def _needed(n: int, percent: int) -> int:
@@ -85,21 +90,28 @@ def _rows(kind: str, ids, keys: np.ndarray, n: np.ndarray, maps: list[bytes]) ->
 
 
 def _entries(k: int, percent: int, buckets: int, frequent):
-    """Prefix shingles of each class that a task meets, as packed entries by bucket."""
+    """Prefix candidates of each class that a task meets, packed by bucket: by shingle, those of frequent shingles by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = frequent.value
         seen: set[int] = set()
         held: list[np.ndarray] = []
+        late: list[np.ndarray] = []
         size = 0
 
+        def entries(grams: np.ndarray, key: int, n: int, counted: int) -> np.ndarray:
+            out = np.empty(len(grams), ENTRY)
+            out["gram"], out["key"], out["n"], out["counted"] = grams, key, n, counted
+            return out
+
         def packed() -> pa.RecordBatch:
-            entries = np.concatenate(held)
-            bucket = (mix(entries["gram"]) % np.uint64(buckets)).astype(np.int32)
+            own, often = (np.concatenate([*x, np.empty(0, ENTRY)]) for x in (held, late))
+            bucket = np.concatenate([mix(own["gram"]) % np.uint64(buckets), mix(often["key"]) % np.uint64(buckets) + np.uint64(buckets)]).astype(np.int32)
+            own = np.concatenate([own, often])
             order = np.argsort(bucket, kind="stable")
-            entries, bucket = entries[order], bucket[order]
+            own, bucket = own[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            parts = [x.tobytes() for x in np.split(entries, cut[1:])]
+            parts = [x.tobytes() for x in np.split(own, cut[1:])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(parts, pa.binary())], ["bucket", "entries"])
 
         for batch in batches:
@@ -113,46 +125,59 @@ def _entries(k: int, percent: int, buckets: int, frequent):
                     p = n - _needed(n, percent) + 1
                     at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
                     often = known[at] == grams if len(known) else np.zeros(n, bool)
-                    prefix = grams[~often][:p]
-                    if len(prefix) < p:
-                        late = grams[often]
-                        prefix = np.concatenate([prefix, late[np.argsort(rank[at[often]], kind="stable")][: p - len(prefix)]])
-                    own_entries = np.empty(p, ENTRY)
-                    own_entries["gram"], own_entries["key"], own_entries["n"] = prefix, key, n
-                    held.append(own_entries)
-                    size += p
+                    rare = grams[~often]
+                    counted = int(np.searchsorted(rare, np.uint64(COUNTED)))
+                    held.append(entries(rare[: max(counted, p)], key, n, counted if counted >= p else 0))
+                    if len(rare) < p:
+                        late.append(entries(grams[often][np.argsort(rank[at[often]], kind="stable")][: p - len(rare)], key, n, 0))
+                    size += max(counted, p)
             if size > LOAD // 4:
                 yield packed()
-                held, size = [], 0
+                held, late, seen, size = [], [], set(), 0
         if held:
             yield packed()
 
     return run
 
 
-def _runs(percent: int):
-    """(leader, member) for each run of a bucket."""
+def _shared(buckets: int):
+    """Entries of a bucket whose shingle other classes have as well, with the number of classes; all of frequent shingles."""
 
-    def run(_, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([np.frombuffer(e, ENTRY) for e in group["entries"]])
-        order = np.lexsort((x["key"], x["n"], x["gram"]))
-        gram, key, n = x["gram"][order], x["key"][order], x["n"][order].astype(np.int64)
-        fresh = np.ones(len(gram), bool)
-        fresh[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])  # copies met in several tasks
-        gram, key, n = gram[fresh], key[fresh], n[fresh]
-        cut = np.ones(len(gram), bool)
-        cut[1:] = (gram[1:] != gram[:-1]) | (percent * n[1:] > 100 * n[:-1])
-        start = np.flatnonzero(cut)
-        length = np.diff(np.append(start, len(gram)))
-        leader = np.minimum.reduceat(key, start)
-        both = np.empty(len(key), [("tile", "<u8"), ("key", "<u8")])
-        both["tile"], both["key"] = np.repeat(leader, length), key
-        both = np.unique(both[np.repeat(length, length) > 1])
-        return pd.DataFrame({"tile": signed(both["tile"]), "key": signed(both["key"])})
+        x = x[np.lexsort((x["key"], x["gram"]))]
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = (x["gram"][1:] != x["gram"][:-1]) | (x["key"][1:] != x["key"][:-1])  # copies met in several tasks
+        x = x[fresh]
+        start = np.flatnonzero(np.append(True, x["gram"][1:] != x["gram"][:-1]))
+        times = np.diff(np.append(start, len(x)))
+        times = np.repeat(times, times)
+        if int(key[0]) < buckets:
+            x, times = x[times > 1], times[times > 1]
+        return pd.DataFrame({"key": signed(x["key"]), "gram": signed(x["gram"]), "n": x["n"].astype(np.int64), "counted": x["counted"].astype(np.int64), "times": times.astype(np.int64)})
 
     return run
 
 
+def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
+    """(key, gram, n): the shared shingles of each class's prefix. Those of the class alone come first and take their places."""
+    by = Window.partitionBy("key")
+    place = F.row_number().over(by.orderBy("times", "gram")) + F.col("counted") - F.count("*").over(by)
+    chosen = shared.where("counted > 0").withColumn("place", place).where(F.expr(f"place <= n - (n * {percent} + 99) div 100 + 1"))
+    return chosen.select("key", "gram", "n").unionAll(shared.where("counted = 0").select("key", "gram", "n"))
+
+
+def _tiled(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(tile, key): classes with a prefix shingle in common, of one size band or the one below it, by their least key.
+
+    Bands are a little wider than the threshold's ratio, so the sizes of a linked pair differ by one band at most.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    each = prefixes.withColumn("band", band).withColumn("b", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    met = each.groupBy("gram", "b").agg(F.min("key").alias("leader"), F.count("*").alias("m"), F.max(F.col("b") == F.col("band")).alias("own")).where("m > 1 and own")
+    return each.join(met.select("gram", "b", "leader"), ["gram", "b"]).select(F.xxhash64("leader", "b").alias("tile"), "key").distinct()
+
+
 class Forest:
     """Union-find over positions, with labels in one array."""
 
@@ -305,15 +330,70 @@ def _tiles(k: int, percent: int):
     return run
 
 
+def _star(k: int, percent: int):
+    """Rows (tile, piece, leads, key, doc_id, text), each piece with its leader first: whether each other row links with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, leader = None, None
+        for batch in batches:
+            tiles, pieces, leads, keys, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            out: list[tuple[int, int, int, int, int]] = []
+            for a, b in sliced(batch.column(5)):
+                words = find_words(batch.column(5).slice(a, b - a))
+                for i, (own, grams) in enumerate(text_grams(words, k), a):
+                    if piece != (tiles[i], pieces[i]):
+                        piece, leader = (tiles[i], pieces[i]), None
+                    if not len(own) or sequence_hash(own) != int(keys[i]) % (1 << 64):
+                        continue
+                    if leads[i]:
+                        leader = int(docs[i]), grams
+                    elif leader:
+                        both = len(grams) + len(leader[1])
+                        out.append((int(tiles[i]), int(keys[i]), int(docs[i]), leader[0], int((100 + percent) * overlap(grams, leader[1]) >= percent * both)))
+            yield _longs(out, "tile", "key", "doc_id", "leader", "linked")
+
+    return run
+
+
 def _frequent(spark: SparkSession, digest: DataFrame):
     """The most frequent shingles with a rank by the power of two of their count; at most FREQUENT rows reach the driver."""
-    top = digest.where("kind = 'gram'").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT)
-    rows = top.select("key", F.floor(F.log2("n")).cast("int").alias("rank")).toArrow()
+    counts = digest.where("kind = 'gram'").groupBy("key").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
+    total, cut = 0, 1 << 20
+    for level, n in sorted(((r.level, r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):  # some hundred levels
+        total += n
+        if total > FREQUENT:
+            break
+        cut = level
+    rows = counts.where(F.col("level") >= cut).select("key", F.floor(F.log2("n")).cast("int").alias("rank")).toArrow()
     grams = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(grams)
     return spark.sparkContext.broadcast((grams[order], rows.column("rank").to_numpy()[order].astype(np.int32)))
 
 
+def _bounded(frame: DataFrame) -> DataFrame:
+    """A written frame of few columns, broadcast where it has few rows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def _large_tiles(members: DataFrame, large: DataFrame, docs: DataFrame, k: int, percent: int, n: int, home: str) -> tuple[DataFrame, DataFrame]:
+    """Links of large tiles with their leaders, and tiles for what is left: rows (tile, key, doc_id, n) of bounded tiles."""
+    big = members.join(_bounded(large), "tile")
+    block = lambda parts: F.pmod(F.xxhash64("key"), parts).cast("int")
+    pieces = F.when(F.col("key") == F.col("leader"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(block(F.col("pieces"))))
+    dealt = big.select("tile", F.explode(pieces).alias("piece"), (F.col("key") == F.col("leader")).alias("leads"), "key", "doc_id")
+    star = docs.join(dealt, "doc_id").select("tile", "piece", "leads", "key", "doc_id", "text").repartition(n, "tile", "piece").sortWithinPartitions("tile", "piece", F.desc("leads"))
+    star = written(star.mapInArrow(_star(k, percent), "tile long, key long, doc_id long, leader long, linked long"), f"{home}/star")
+    rest = star.where("linked = 0").select("tile", "key").distinct()
+    blocks = rest.groupBy("tile").agg(F.count("*").alias("rest")).join(large, "tile").select("tile", F.ceil(F.col("rest") * F.col("pieces") / F.col("m")).cast("int").alias("rows"), F.col("pieces").alias("columns"))
+    blocks = _bounded(written(blocks, f"{home}/blocks"))
+    again = members.join(blocks, "tile")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    across = again.withColumn("i", every(F.col("rows"))).withColumn("j", block(F.col("columns")))
+    down = again.join(rest, ["tile", "key"], "left_semi").withColumn("i", block(F.col("rows"))).withColumn("j", every(F.col("columns")))
+    left = across.unionByName(down).select(F.xxhash64("tile", "i", "j").alias("tile"), "key", "doc_id", "n")
+    return star.where("linked = 1").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), left
+
+
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate components of documents by the Jaccard similarity of their sets of k-word shingles.
 
@@ -326,37 +406,32 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    home = workspace(spark)
+    home, partitions = workspace(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digest = written(docs.mapInArrow(_digest(k), "kind string, doc_id long, key long, n long, map binary"), f"{home}/digest")
     own = digest.where("kind = 'doc'").drop("kind")
-    entries_in_all = own.agg(F.sum(F.col("n") * (100 - percent) / 100 + 2)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries_in_all / BUCKET_ENTRIES))
+    shingles = own.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions, int(shingles * 0.4 / BUCKET_ENTRIES))
     entries = docs.select("text").mapInArrow(_entries(k, percent, buckets, _frequent(spark, digest)), "bucket int, entries binary")
-    runs = entries.groupBy("bucket").applyInPandas(_runs(percent), "tile long, key long").distinct()
+    shared = written(entries.groupBy("bucket").applyInPandas(_shared(buckets), "key long, gram long, n long, counted long, times long"), f"{home}/shared")
     classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).where("doc_id is not null")
+    members = written(_tiled(_prefixes(shared, percent), percent).join(classes, "key").select("tile", "key", "doc_id", "n"), f"{home}/members")
+    pieces = F.ceil(F.greatest(F.col("m") / TILE, F.col("w") / TILE_SHINGLES) * 2).cast("int")
+    sizes = members.groupBy("tile").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("key").alias("leader")).withColumn("pieces", pieces)
+    large = written(sizes.where("pieces > 2 and m > 2").select("tile", "m", "leader", "pieces"), f"{home}/large")
+    n = max(partitions, buckets // 2)
+    found = None
+    if not large.isEmpty():
+        found, left = _large_tiles(members, large, docs, k, percent, n, home)
+        members = members.join(_bounded(large.select("tile")), "tile", "left_anti").unionByName(left)
     maps = own.where("n > 0").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "map")
-    runs = written(runs, f"{home}/runs")
-    # large tiles: blocks of at most TILE / 2 members, and a tile for each two blocks
-    sizes = runs.groupBy("tile").agg(F.ceil(F.count("*") * 2 / TILE).cast("int").alias("blocks")).where("blocks > 2")
-    block = F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")
-    members = (
-        runs.join(sizes, "tile", "left")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("blocks").isNull(), 0).otherwise(F.col("blocks") - 1))))
-        .select(F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "key")
-    )
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 2)
-    members = members.join(classes.join(maps, ["doc_id", "key"]), "key").select("tile", "key", "doc_id", "n", "map")
-    pruned = members.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_prune(percent), "tile long, key long, doc_id long")
-    pruned = written(pruned, f"{home}/pruned")
-    small = pruned.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(pruned) if small else pruned, "doc_id").select("tile", "doc_id", "key", "text")
+    mapped = members.join(maps, ["doc_id", "key"]).select("tile", "key", "doc_id", "n", "map")
+    pruned = mapped.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_prune(percent), "tile long, key long, doc_id long")
+    texts = docs.join(_bounded(written(pruned, f"{home}/pruned")), "doc_id").select("tile", "doc_id", "key", "text")
     links = texts.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(k, percent), "a long, b long")
-    links = written(links.distinct(), f"{home}/links")
+    links = written((links.unionByName(found) if found else links).distinct(), f"{home}/links")
     parts = connected_components(links)
     label = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))
     return own.drop("map").join(label, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
-
