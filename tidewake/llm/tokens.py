@@ -1,13 +1,14 @@
 """Token counts by rank-synchronous array merging.
 
-A batch's pre-tokens are ragged numpy arrays of symbols. Each step finds every sequence's lowest-rank pair, merges its
-leftmost place in all sequences at once, and drops the sequences that have no pair left; the symbols that survive are
-the tokens. Each distinct pre-token of a task is merged once.
+A batch's pre-tokens are ragged numpy arrays of symbols. Each step finds every sequence's lowest-rank pair, merges all
+places of it in all sequences at once, from left to right, and drops the sequences that have no pair left; the symbols
+that survive are the tokens. A place whose merge makes a pair of no higher rank ends its sequence's step, as that pair
+comes next; so the result is that of one merge at a time, while the steps follow the number of different pairs, not the
+length of a sequence. Each distinct pre-token of a task is merged once.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +24,10 @@ from .words import column_bytes, sliced, span_hashes
 #: The character that stands for a space in the vocabulary.
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
-#: Symbols beyond which one sequence is merged by a heap: a step of all sequences would scan it over and over.
-LONG = 1500
 #: Distinct pre-tokens that a task remembers.
 REMEMBERED = 2_000_000
+#: Bytes of new pre-tokens that are merged together.
+TOGETHER = 4 << 20
 
 
 @dataclass
@@ -80,49 +81,22 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, point, size
 
 
-def _by_heap(m: Merges, symbols: np.ndarray) -> int:
-    """Symbols left of one long sequence."""
-    n = len(symbols)
-    own, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-    known = dict(zip(m.pairs.tolist(), zip(m.ranks.tolist(), m.merged.tolist())))
-    pair = lambda i: known.get(own[i] * m.size + own[after[i]]) if after[i] < n and own[i] >= 0 and own[after[i]] >= 0 else None
-    heap = [(p[0], i, own[i], own[i + 1]) for i in range(n - 1) if (p := pair(i))]
-    heapq.heapify(heap)
-    left = n
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i] if i < n else n
-        if own[i] != a or j >= n or own[j] != b:
-            continue
-        own[i], own[j] = known[a * m.size + b][1], -9
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        left -= 1
-        for x in (before[i], i):
-            if x >= 0 and (p := pair(x)):
-                heapq.heappush(heap, (p[0], x, own[x], own[after[x]]))
-    return left
+def _ragged(lengths: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(lengths)[:-1])
 
 
 def merge_all(m: Merges, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Symbols left of each sequence (from starts[i] to the next start) when no pair of it merges any more."""
-    out = np.diff(np.append(starts, len(symbols)))
-    which = np.arange(len(starts))
-    for i in np.flatnonzero(out > LONG).tolist():
-        out[i] = _by_heap(m, symbols[starts[i] : starts[i] + out[i]])
-        which[i] = -1
     lengths = np.diff(np.append(starts, len(symbols)))
-    keep = np.repeat((which >= 0) & (lengths > 1), lengths)
-    which = which[(which >= 0) & (lengths > 1)]
-    symbols, lengths = symbols[keep], lengths[which]
+    out, which = lengths.copy(), np.flatnonzero(lengths > 1)
+    symbols, lengths = symbols[np.repeat(lengths > 1, lengths)], lengths[which]
     if not len(which):
         return out
-    starts = np.append(0, np.cumsum(lengths)[:-1])
+    starts = _ragged(lengths)
     rank, merged = np.full(len(symbols), NEVER, np.int32), np.zeros(len(symbols), np.int64)
     rank[:-1], merged[:-1] = _look_up(m, symbols[:-1], symbols[1:])
     rank[starts + lengths - 1] = NEVER
-    while len(which):
+    while True:
         least = np.minimum.reduceat(rank, starts)
         going = least < NEVER
         if not going.all():
@@ -130,26 +104,42 @@ def merge_all(m: Merges, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
             which, lengths, least = which[going], lengths[going], least[going]
             symbols, rank, merged = symbols[keep], rank[keep], merged[keep]
             if not len(which):
-                break
-            starts = np.append(0, np.cumsum(lengths)[:-1])
-        hits = np.flatnonzero(rank == np.repeat(least, lengths))
-        at = hits[np.searchsorted(hits, starts)]  # the leftmost of each sequence
+                return out
+            starts = _ragged(lengths)
+        # places of the least pair; of overlapping ones every second
+        at = np.flatnonzero(rank == np.repeat(least, lengths))
+        head = np.append(True, np.diff(at) > 1)
+        run = np.flatnonzero(head)
+        at = at[(np.arange(len(at)) - run[np.cumsum(head) - 1]) % 2 == 0]
+        owner = np.searchsorted(starts, at, "right") - 1
+        # up to the first whose merge makes a pair of no higher rank
+        new, ends = merged[at], starts + lengths
+        before, after = symbols[at - 1], symbols[np.minimum(at + 2, len(symbols) - 1)]
+        chained = np.append(False, np.diff(at) == 2)
+        before[chained] = new[np.flatnonzero(chained) - 1]
+        made = np.minimum(
+            np.where(at > starts[owner], _look_up(m, before, new)[0], NEVER),
+            np.where(at + 2 < ends[owner], _look_up(m, new, after)[0], NEVER),
+        )
+        early = made <= least[owner]
+        if early.any():
+            seen = np.cumsum(early) - early
+            fine = seen == seen[np.searchsorted(owner, owner)]
+            at, owner = at[fine], owner[fine]
         symbols[at] = merged[at]
-        rank[at] = rank[at + 1]  # to be found anew unless the merged symbol is the last
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        last = at + 2 == starts + lengths
-        out[which] -= 1
-        lengths = lengths - 1
         symbols, rank, merged = symbols[keep], rank[keep], merged[keep]
-        starts = np.append(0, np.cumsum(lengths)[:-1])
+        gone = np.bincount(owner, minlength=len(which))
+        out[which] -= gone
+        lengths = lengths - gone
+        starts = _ragged(lengths)
         at = at - np.arange(len(at))
+        last = at + 1 == (starts + lengths)[owner]
         rank[at[last]] = NEVER
-        right = at[~last]
+        right, left = at[~last], at[at > starts[owner]]
         rank[right], merged[right] = _look_up(m, symbols[right], symbols[right + 1])
-        left = at[at > starts]
         rank[left - 1], merged[left - 1] = _look_up(m, symbols[left - 1], symbols[left])
-    return out
 
 
 def count_spans(m: Merges, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -176,10 +166,19 @@ def count_spans(m: Merges, data: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return np.add.reduceat(left, np.searchsorted(at[begin], first))
 
 
+def count_new(m: Merges, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """count_spans, some megabytes at a time."""
+    total = np.cumsum(ends - starts)
+    cuts = np.searchsorted(total, np.arange(TOGETHER, total[-1] if len(total) else 0, TOGETHER))
+    parts = [count_spans(m, data, a, b) for a, b in zip(np.split(starts, cuts), np.split(ends, cuts))]
+    return np.concatenate(parts)
+
+
 def _counts(limit: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Merges = table.value
-        known, tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        m = Merges(*table.value)
+        # pre-tokens that were counted, by one hash; a second one must agree
+        known, check, tokens = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for a, b in sliced(batch.column(1)):
                 text = pc.fill_null(batch.column(1).slice(a, b - a), "")
@@ -187,27 +186,30 @@ def _counts(limit: int, table):
                 spaced = pc.binary_join_element_wise("", pc.replace_substring(text, SPACE, " "), " ")
                 data, offsets = column_bytes(spaced)
                 space = data == 0x20
-                edge = np.zeros(len(data) + 1, bool)
-                edge[offsets] = True
-                start = edge[:-1].copy()
-                start[1:] |= space[1:] & ~space[:-1]
+                start = np.zeros(len(data), bool)
+                start[1:] = space[1:] & ~space[:-1]
+                start[offsets[:-1]] = True
                 starts = np.flatnonzero(start)
                 ends = np.append(starts[1:], len(data))
-                hashes = span_hashes(data, starts, ends)
+                hashes, second = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 0x5EC0)
                 own, at, which = np.unique(hashes, return_index=True, return_inverse=True)
                 place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                have = known[place] == own if len(known) else np.zeros(len(own), bool)
+                have = (known[place] == own) & (check[place] == second[at]) if len(known) else np.zeros(len(own), bool)
                 n = np.zeros(len(own), np.int64)
                 n[have] = tokens[place[have]]
                 new = at[~have]
-                n[~have] = count_spans(m, data, starts[new], ends[new])
+                n[~have] = count_new(m, data, starts[new], ends[new])
+                each = n[which]
+                other = np.flatnonzero(second != second[at][which])
+                each[other] = count_new(m, data, starts[other], ends[other])
                 if len(known) > REMEMBERED:
-                    known, tokens = own, n
+                    known, check, tokens = own, second[at], n
                 else:
-                    known, tokens = np.concatenate([known, own[~have]]), np.concatenate([tokens, n[~have]])
+                    fresh = ~have & (known[place] != own if len(known) else True)
+                    known, check, tokens = (np.concatenate(x) for x in ((known, own[fresh]), (check, second[at][fresh]), (tokens, n[fresh])))
                     order = np.argsort(known, kind="stable")
-                    known, tokens = known[order], tokens[order]
-                total = np.add.reduceat(n[which], np.searchsorted(starts, offsets[:-1]))
+                    known, check, tokens = known[order], check[order], tokens[order]
+                total = np.add.reduceat(each, np.searchsorted(starts, offsets[:-1]))
                 total = np.where(n_bytes > 0, total, 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n_bytes), pa.array(total), pa.array(total > limit)],
@@ -222,10 +224,11 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     Takes columns doc_id and text. Returns a row per input row, repeated rows included: doc_id, n_bytes, n_tokens,
     over_limit. A null text counts as empty, with 0 tokens; a null doc_id stays null; an empty table gives no rows.
-    Only the vocabulary's tables are broadcast; their size depends on the vocabulary alone.
+    Only the vocabulary's tables are broadcast, as plain arrays; their size depends on the vocabulary alone.
     """
     spark = docs.sparkSession
     prepare(spark)
-    table = spark.sparkContext.broadcast(load_merges(model_path))
+    m = load_merges(model_path)
+    table = spark.sparkContext.broadcast((m.chars, m.char_ids, m.pairs, m.ranks, m.merged, m.inside, m.size))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_counts(limit, table), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
