@@ -114,6 +114,7 @@ def test_token_counts(documents, model_path, prose):
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     chance = random.Random(5)
     texts = [prose(50), "aaaa" * 900, "   two  spaces ", "▁ mark ▁", "tab\tand\nline\r\n", "<s> </s> <unk>", "Zürich 東京 🙂🙂   é", "a", None, "", " " * 40, "word " * 5000]
+    texts += ["an" * 3000 + "banana" * 400, "".join(chance.choice("aeinrst") for _ in range(5000)), "=" * 5000, "=" * 37 + "-=" * 900]
     texts += ["".join(chance.choice("ab cde\n.,ß東▁<>0123") for _ in range(chance.randrange(1, 200))) for _ in range(60)]
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(documents(list(enumerate(texts))), model_path).collect()}
     want = {}
@@ -145,6 +146,18 @@ def test_decontaminate(spark, documents, prose, block):
     want = [(i, *brute.benchmark_hits(t, items)) for i, t in docs]
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == sorted(want)
     assert all(r.contaminated == (r.n_hit > 0) for r in got)
+    carried = decontaminate.decontaminate(documents(docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block, row=F.struct("doc_id", "text", "c"))
+    assert sorted((r.doc_id, r.n_hit, r.row.text or "") for r in carried.collect()) == sorted((i, w[2], t or "") for (i, t), w in zip(docs, want))
+
+
+def test_patterns_stay_small(prose):
+    """What is broadcast of a benchmark is some times its text, not a multiple for each word of a window."""
+    import pickle
+
+    import pyarrow as pa
+
+    texts = [prose(50, 100_000) for _ in range(4000)]
+    assert len(pickle.dumps(decontaminate.build_patterns(pa.array(texts), 10))) < 9 * sum(map(len, texts))
 
 
 def test_bucket_boundaries():

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import prepare, workspace, written
+from .runtime import bounded, prepare, workspace, written
 from .words import find_words, mix, sequence_hash, signed, sliced, text_grams
 
 #: Shingles that a task holds before it passes on counts or entries, and texts of such a load from which a shingle's count is passed on.
@@ -40,8 +40,6 @@ COUNTED = int(0.4 * 2**64)
 BUCKET_ENTRIES, TILE, TILE_SHINGLES = 200_000, 500, 2_000_000
 #: Bits of a bitmap are a power of two between these.
 FEWEST_BITS, MOST_BITS = 64, 4096
-#: Rows of three or four longs that are broadcast; more of them are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Prefix candidate: shingle, class, set size, and how many of the class's entries are counted (0: all are in the prefix anyway).
 ENTRY = np.dtype([("gram", "<u8"), ("key", "<u8"), ("n", "<u4"), ("counted", "<u4")])
 
@@ -370,14 +368,9 @@ def _frequent(spark: SparkSession, digest: DataFrame):
     return spark.sparkContext.broadcast((grams[order], rows.column("rank").to_numpy()[order].astype(np.int32)))
 
 
-def _bounded(frame: DataFrame) -> DataFrame:
-    """A written frame of few columns, broadcast where it has few rows."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
-
-
 def _large_tiles(members: DataFrame, large: DataFrame, docs: DataFrame, k: int, percent: int, n: int, home: str) -> tuple[DataFrame, DataFrame]:
     """Links of large tiles with their leaders, and tiles for what is left: rows (tile, key, doc_id, n) of bounded tiles."""
-    big = members.join(_bounded(large), "tile")
+    big = members.join(bounded(large), "tile")
     block = lambda parts: F.pmod(F.xxhash64("key"), parts).cast("int")
     pieces = F.when(F.col("key") == F.col("leader"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(block(F.col("pieces"))))
     dealt = big.select("tile", F.explode(pieces).alias("piece"), (F.col("key") == F.col("leader")).alias("leads"), "key", "doc_id")
@@ -385,7 +378,7 @@ def _large_tiles(members: DataFrame, large: DataFrame, docs: DataFrame, k: int,
     star = written(star.mapInArrow(_star(k, percent), "tile long, key long, doc_id long, leader long, linked long"), f"{home}/star")
     rest = star.where("linked = 0").select("tile", "key").distinct()
     blocks = rest.groupBy("tile").agg(F.count("*").alias("rest")).join(large, "tile").select("tile", F.ceil(F.col("rest") * F.col("pieces") / F.col("m")).cast("int").alias("rows"), F.col("pieces").alias("columns"))
-    blocks = _bounded(written(blocks, f"{home}/blocks"))
+    blocks = bounded(written(blocks, f"{home}/blocks"))
     again = members.join(blocks, "tile")
     every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
     across = again.withColumn("i", every(F.col("rows"))).withColumn("j", block(F.col("columns")))
@@ -423,11 +416,11 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = None
     if not large.isEmpty():
         found, left = _large_tiles(members, large, docs, k, percent, n, home)
-        members = members.join(_bounded(large.select("tile")), "tile", "left_anti").unionByName(left)
+        members = members.join(bounded(large.select("tile")), "tile", "left_anti").unionByName(left)
     maps = own.where("n > 0").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "map")
     mapped = members.join(maps, ["doc_id", "key"]).select("tile", "key", "doc_id", "n", "map")
     pruned = mapped.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_prune(percent), "tile long, key long, doc_id long")
-    texts = docs.join(_bounded(written(pruned, f"{home}/pruned")), "doc_id").select("tile", "doc_id", "key", "text")
+    texts = docs.join(bounded(written(pruned, f"{home}/pruned")), "doc_id").select("tile", "doc_id", "key", "text")
     links = texts.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(k, percent), "a long, b long")
     links = written((links.unionByName(found) if found else links).distinct(), f"{home}/links")
     parts = connected_components(links)

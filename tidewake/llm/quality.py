@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, with_rest
 from .words import NOT_SPACE, find_words, gram_hashes, mix, sliced, span_hashes
 
 SYMBOLS = np.zeros(256, bool)
@@ -130,23 +130,25 @@ def _measure(min_repeat: int, max_covered: int, max_repeat: int):
                 failed = (n < 20) | (100 * repeat_words > 30 * n)
                 kept = ~failed & (100 * cover <= max_covered * n) & (longest <= max_repeat)
                 longest = np.where(longest >= min_repeat, longest, 0)
+                rest = range(2, batch.num_columns)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).cast(pa.int64()), *map(pa.array, (n, chars, symbols, dup_lines, repeat_words, cover, longest, failed, kept))],
-                    [c.split()[0] for c in COLUMNS.split(", ")],
+                    [batch.column(0).slice(a, b - a).cast(pa.int64()), *map(pa.array, (n, chars, symbols, dup_lines, repeat_words, cover, longest, failed, kept)), *[batch.column(i).slice(a, b - a) for i in rest]],
+                    [c.split()[0] for c in COLUMNS.split(", ")] + [batch.schema.names[i] for i in rest],
                 )
 
     return run
 
 
-def quality_rules(docs: DataFrame, min_repeat: int = 5, max_covered: int = 35, max_repeat: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, min_repeat: int = 5, max_covered: int = 35, max_repeat: int = 100, row: Column | None = None) -> DataFrame:
     """Counts and a verdict for each text; columns doc_id and text are read, others ignored.
 
     Returns a row per input row (repeated rows too): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (in runs of 8 words found twice), covered_words (in runs of min_repeat words or more found twice),
     longest_repeat (0 if shorter than min_repeat), base_failed (under 20 words, or over 30 % in repeated 8-word runs) and
-    kept (not failed, at most max_covered percent covered, no repeat over max_repeat words).
+    kept (not failed, at most max_covered percent covered, no repeat over max_repeat words), and `row`, a column of docs,
+    if it is given.
     Null and empty texts have no words and fail. Texts are taken whole. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_measure(min_repeat, max_covered, max_repeat), COLUMNS)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([row.alias("row")] if row is not None else []))
+    return narrow.mapInArrow(_measure(min_repeat, max_covered, max_repeat), with_rest(COLUMNS, narrow))

@@ -8,9 +8,13 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch. Texts may be long, so the default of 10,000 rows could be gigabytes.
 BATCH_ROWS = 1000
+#: Rows of a few longs that are broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def ship_code() -> None:
@@ -27,16 +31,33 @@ def prepare(spark: SparkSession) -> None:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a temporary folder of this machine."""
+    """A new folder below spark.checkpoint.dir, removed when the session's JVM ends.
+
+    Where that is unset (tests), it is below a temporary folder of this machine, which is an error on a cluster.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.gettempdir() + "/tidewake-checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tidewake-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tidewake-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 def written(frame: DataFrame, path: str) -> DataFrame:
     """The frame, computed once and kept as Parquet in the shared folder: it cuts lineage and survives lost executors."""
     frame.write.mode("overwrite").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def bounded(frame: DataFrame) -> DataFrame:
+    """A written frame of a few longs, to be broadcast if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def with_rest(columns: str, frame: DataFrame) -> StructType:
+    """Columns that a scan of (doc_id, text, others) returns, and those others."""
+    return StructType([*StructType.fromDDL(columns), *frame.schema.fields[2:]])
