@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare, workspace, written
+from .runtime import bounded, prepare, workspace, written
 
 #: Rows of a slice of a bucket that one task ranks.
 SLICE = 50_000
@@ -69,17 +69,21 @@ def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_53
     """
     spark = docs.sparkSession
     prepare(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("row"))
     own = written(own, f"{workspace(spark)}/lengths")
     seen = sorted((r["n_tokens"], r["count"]) for r in own.groupBy("n_tokens").count().collect())
     ends = boundaries(np.array([c for c, _ in seen]), np.array([k for _, k in seen]), buckets)
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(e)) for e in ends]) if ends else F.lit(0)
     slices = max(1, sum(k for _, k in seen) // SLICE)
     placed = own.withColumn("bucket", bucket.cast("long")).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
-    counts = placed.groupBy("bucket", "slice").count()
-    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("bucket").orderBy("slice")) - F.col("count")).drop("count")
-    rank = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("doc_id", "n_tokens")) - 1
-    ranked = placed.withColumn("rank", rank).join(before, ["bucket", "slice"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # a slice that one doc_id fills is cut further, by row
+    full = placed.groupBy("slice").count().where(F.col("count") > 2 * SLICE).select("slice", F.ceil(F.col("count") / SLICE).alias("parts"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")))
+    placed = placed.join(bounded(full), "slice", "left").withColumn("part", part)
+    counts = placed.groupBy("bucket", "slice", "part").count()
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("bucket").orderBy("slice", "part")) - F.col("count")).drop("count")
+    rank = F.row_number().over(Window.partitionBy("bucket", "slice", "part").orderBy("doc_id", "n_tokens")) - 1
+    ranked = placed.withColumn("rank", rank).join(before, ["bucket", "slice", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket", F.lit(1))))
     return ranked.select("doc_id", "n_tokens", "bucket", F.floor(F.col("rank") / rows).alias("batch"), (F.col("rank") % rows).alias("slot"))
 
