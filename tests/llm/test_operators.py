@@ -184,6 +184,16 @@ def test_packing(documents, prose, monkeypatch):
         assert places == [divmod(i, most) for i in range(len(places))]
 
 
+def test_packing_of_one_id(spark, monkeypatch):
+    """Rows of one doc_id, or without any, are dealt over many slices, and places stay without gaps."""
+    monkeypatch.setattr(packing, "SLICE", 20)
+    docs = spark.createDataFrame([(None, 5 + i % 3) for i in range(300)] + [(i, 9) for i in range(60)], "doc_id long, n long")
+    got = packing.pack(docs, F.col("n"), buckets=2, budget=100).collect()
+    assert len(got) == 360 and sum(r.doc_id is None for r in got) == 300
+    for b in {r.bucket for r in got}:
+        assert sorted((r.batch, r.slot) for r in got if r.bucket == b) == [divmod(i, 100 // b) for i in range(sum(r.bucket == b for r in got))]
+
+
 def test_packing_of_long_texts(spark):
     """Boundaries are optimal and buckets no longer than a text beyond 1,024 words too."""
     chance = random.Random(3)
@@ -251,6 +261,23 @@ def test_toxicity(spark, documents, prose):
     assert all(again[r.doc_id] == pytest.approx(r.score, abs=1e-9) for r in got)
 
 
+def test_toxicity_against_plain(spark, documents, prose):
+    chance = random.Random(8)
+    rows = [(i, f"{prose(6, 40)} {chance.choice(['vile scum', 'rotten fool']) if i % 3 == 0 else chance.choice(['calm day', 'kind friend'])} {prose(3, 40)}") for i in range(90)] + [(500, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 90) if i % 7]
+    want = brute.toxicity_scores(rows, labels)
+    got = toxicity.toxicity(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    # the bias alone, which an empty text gets, is the last to settle
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=0.02 if r.doc_id < 500 else 0.2) for r in got), (want[500], [r.score for r in got if r.doc_id == 500])
+
+
+def test_toxicity_without_features(spark, documents):
+    rows = [(i, f"{chr(97 + i)}{i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity(documents(rows), labels).collect()
+    assert len(got) == 20 and len({r.score for r in got}) == 1
+
+
 def test_quality(documents, prose):
     rows = [(i, prose(n, k)) for i, (n, k) in enumerate([(0, 5), (19, 50), (20, 50), (200, 4), (200, 9), (300, 1000), (60, 1)])]
     run = prose(130, 5000)

@@ -22,10 +22,9 @@ BITS = 20
 CHUNKS = 64
 #: Labelled rows that are fitted on at most (those of the lowest hashes), and tasks that read them.
 SAMPLE, TASKS = 12_000, 8
-#: Features kept for the regression: those whose scaled counts tell the classes apart best.
-FEATURES, LEAST_TEXTS = 20_000, 4
-#: Least size of r: common n-grams say nothing and cost time.
-LEAST_R = 1.0
+#: Features kept for the regression (those whose scaled counts tell the classes apart best), the labelled texts that must
+#: have one, and the least size of its r: n-grams as common in both classes say nothing.
+FEATURES, LEAST_TEXTS, LEAST_R = 20_000, 4, 1.0
 
 
 def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +87,11 @@ def _presence(wanted):
     return run
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression over present features scaled by r, by accelerated gradient descent; weights include r."""
-    place = np.concatenate(rows + [np.zeros(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+def fit(place: np.ndarray, owner: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression over present features scaled by r, by accelerated gradient descent; weights include r.
+
+    place, owner: features and the texts that have them.
+    """
     value = scale[place]
     used, place = np.unique(place, return_inverse=True)
     n = len(y)
@@ -113,7 +113,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float =
     return weights, b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def bias_of(texts: np.ndarray) -> float:
+    """The margin of texts of which nothing is known, by the number of texts of both classes."""
+    return float(np.log((texts[1] + 1) / (texts[0] + 1)))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int = FEATURES, least_texts: int = LEAST_TEXTS, least_r: float = LEAST_R) -> tuple[np.ndarray, float]:
     """Weights of all hashed features and the bias, from at most `sample` labelled texts; zeros without labels."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -122,16 +127,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     chunks = texts.mapInArrow(_rates, "chunk int, counts array<long>").groupBy("chunk").agg(F.collect_list("counts").alias("counts")).collect()
     summed = {r.chunk: np.sum([np.array(x) for x in r.counts], 0) for r in chunks}
     if not summed or min(summed[-1]) == 0:
-        return np.zeros(1 << BITS), float(np.log((summed[-1][1] + 1) / (summed[-1][0] + 1))) if summed else 0.0
+        return np.zeros(1 << BITS), bias_of(summed[-1]) if summed else 0.0
     clean, toxic = np.concatenate([summed[k].reshape(2, -1) for k in range(CHUNKS)], 1)
     p, q = (toxic + 1) / (summed[-1][1] + 2), (clean + 1) / (summed[-1][0] + 2)
     r = np.log(p / q)
-    worth = np.where((clean + toxic >= LEAST_TEXTS) & (np.abs(r) >= LEAST_R), np.abs(r) * np.sqrt(p + q), 0)
+    worth = np.where((clean + toxic >= least_texts) & (np.abs(r) >= least_r), np.abs(r) * np.sqrt(p + q), 0)
     wanted = np.zeros(1 << BITS, bool)
-    wanted[np.argsort(-worth, kind="stable")[:FEATURES]] = True
+    wanted[np.argsort(-worth, kind="stable")[:kept]] = True
     wanted &= worth > 0
+    if not wanted.any():
+        return np.zeros(1 << BITS), bias_of(summed[-1])
     rows = texts.mapInArrow(_presence(spark.sparkContext.broadcast(wanted)), "toxic int, own array<int>").toArrow()
-    return fit([np.array(x, np.int64) for x in rows.column("own").to_pylist()], rows.column("toxic").to_numpy().astype(float), np.where(wanted, r, 0))
+    own = rows.column("own").combine_chunks()
+    owner = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
+    return fit(own.flatten().to_numpy(zero_copy_only=False), owner, rows.column("toxic").to_numpy().astype(float), np.where(wanted, r, 0))
 
 
 def _score(model, threshold: float):
@@ -149,17 +158,19 @@ def _score(model, threshold: float):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, sample: int = SAMPLE, kept: int = FEATURES, least_texts: int = LEAST_TEXTS, least_r: float = LEAST_R) -> DataFrame:
     """Score each whole text; learn from labels of rows whose crc32(doc_id) modulo folds isn't held_out.
 
     Takes doc_id and text of docs, doc_id and toxic of labels. Returns a row per row of docs (repeated rows too):
     doc_id, held_out, score (0 to 1), predicted (1 from the threshold on). Null and empty texts get the bias alone; a
     null doc_id is scored and never learned from; contradictory labels count as toxic. Without labels of both classes
-    the score is the same for all. The fit sees at most `sample` labelled texts, chosen by hash of doc_id.
+    the score is the same for all. The fit sees at most `sample` labelled texts, chosen by hash of doc_id, and of their
+    n-grams the `kept` best of those that least_texts of them have and whose log-count ratio is least_r or more; where
+    none does, all texts get the bias.
     """
     spark = docs.sparkSession
     prepare(spark)
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(False))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", fold)
-    model = train(narrow.where("not held_out").select("doc_id", "text"), labels.where(~fold), sample)
+    model = train(narrow.where("not held_out").select("doc_id", "text"), labels.where(~fold), sample, kept, least_texts, least_r)
     return narrow.select("doc_id", "held_out", "text").mapInArrow(_score(spark.sparkContext.broadcast(model), threshold), "doc_id long, held_out boolean, score double, predicted int")
