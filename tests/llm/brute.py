@@ -162,3 +162,36 @@ def toxicity_scores(rows, labels, folds=3, held_out=1, orders=(3, 4, 5, 6), leas
         alpha, bias = alpha + 0.5 * step[:-1], bias + 0.5 * step[-1]
     weigh = lambda i: bias + sum(c * dot(own(i), t) for c, t in zip(alpha, texts))
     return {i: 1 / (1 + math.exp(-weigh(i))) for i, _ in rows}
+
+
+def history_gains(rows, model, v, folds=10, held_out=0, rounds=2):
+    """doc_id -> log10 of what the histories add, by iterative scaling over (feature, node) pairs in dictionaries."""
+    import pyarrow as pa
+
+    from tidewake.llm.words import find_words
+
+    table = model.Table(v)
+    odds, ways = table.odds.tolist(), {}
+    for i, text in rows:
+        token, _ = model.tokens(find_words(pa.array([text], pa.string())))
+        steps = table.choices(token, table.look_up(token)[1])
+        order, own = next(steps), [[] for _ in token]
+        place = list(range(len(token)))
+        for which, node, bit in steps:
+            for at, x, b in zip(place[which] if isinstance(which, slice) else which.tolist(), node.tolist(), bit.tolist()):
+                own[order[at]].append((x, b))
+        token = [1, 1, *token.tolist()]
+        ways[i] = [(x, b, (("one", token[t + 1], x), ("skip", token[t], x), ("both", token[t], token[t + 1], x))) for t, o in enumerate(own) for x, b in o]
+    weights = Counter()
+    for _ in range(rounds):
+        n, right, expected = Counter(), Counter(), Counter()
+        for i, way in ways.items():
+            if crc(i) % folds != held_out:
+                for x, b, features in way:
+                    p = 1 / (1 + math.exp(-odds[x] - sum(weights[f] for f in features)))
+                    for f in features:
+                        n[f], right[f], expected[f] = n[f] + 1, right[f] + b, expected[f] + p
+        for f in n:
+            weights[f] += math.log((right[f] + 1) / (expected[f] + 1) / ((n[f] - right[f] + 1) / (n[f] - expected[f] + 1))) / 3
+    loss = lambda x, b: math.log1p(math.exp(x if b == 0 else -x))
+    return {i: sum(loss(odds[x], b) - loss(odds[x] + sum(weights[f] for f in fs), b) for x, b, fs in way) / math.log(10) for i, way in ways.items()}

@@ -214,8 +214,34 @@ def test_language_model(documents, prose):
             assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, brute.crc(r.doc_id) % 10 == 0) and r.base_score == pytest.approx(base, abs=2e-6)
     late = [r for r in whole if r.held_out]
     assert late and sum(r.score for r in late) > sum(r.base_score for r in late) and all(r.score < 0 for r in whole)
-    p = np.exp(language_model.log_softmax(np.random.default_rng(0).normal(size=(8, 5)), np.zeros(5), np.array([[0, 1], [2, 3], [4, 5]])))
-    assert p.sum(1) == pytest.approx(1)
+
+
+def test_language_model_is_normalised():
+    """Under any weights and history the tokens of the table and the sets of all others make up 1."""
+    chance, size = np.random.default_rng(0), 37
+    token, n = np.unique(chance.integers(1 << 20, 1 << 63, size).astype(np.uint64)), np.arange(1, size + 1)
+    others = chance.random(1 << language_model.OTHER_BITS)
+    total = (n + 0.1).sum() + others.sum()
+    table = language_model.Table(language_model.vocabulary(token, n, others, total))
+    every = np.concatenate([token, np.arange(len(others)).astype(np.uint64) << np.uint64(64 - language_model.OTHER_BITS)])
+    rank = np.concatenate([table.look_up(token)[1], np.zeros(len(others), np.int64)])
+    assert sorted(rank[:size]) == list(range(1, size + 1)) and (table.look_up(token)[0] == n).all() and not table.look_up(token + np.uint64(1))[1].any()
+    weights = chance.normal(size=1 << 10).astype(np.float32)
+    for history in range(4):
+        gain = language_model.gains(table, weights, 10, every, rank, np.full((3, len(every)), history + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        assert (np.concatenate([n + 0.1, others]) / total * np.exp(gain)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_against_plain(documents, prose, monkeypatch):
+    """Scores are those of a plain trainer with a dictionary of weights over the same tree of choices."""
+    rows = [(i, f"{prose(9, 12)} the end") for i in range(40)]
+    seen = []
+    make = language_model.vocabulary
+    monkeypatch.setattr(language_model, "vocabulary", lambda *a: seen.append(make(*a)) or seen[-1])
+    got = {r.doc_id: r.score - r.base_score for r in language_model.score_texts(documents(rows)).collect()}
+    want = brute.history_gains(rows, language_model, seen[0])
+    differ = sorted(abs(got[i] - want[i]) for i, _ in rows)
+    assert differ[-1] < 0.1 and differ[30] < 1e-3, differ  # a few weights share a place
 
 
 def test_language_model_partitions(documents, prose):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import bounded, prepare, workspace, written
+from .runtime import bounded, most_frequent, prepare, workspace, written
 from .words import find_words, mix, sequence_hash, signed, sliced, text_grams
 
 #: Shingles that a task holds before it passes on counts or entries, and texts of such a load from which a shingle's count is passed on.
@@ -355,14 +355,7 @@ def _star(k: int, percent: int):
 
 def _frequent(spark: SparkSession, digest: DataFrame):
     """The most frequent shingles with a rank by the power of two of their count; at most FREQUENT rows reach the driver."""
-    counts = digest.where("kind = 'gram'").groupBy("key").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
-    total, cut = 0, 1 << 20
-    for level, n in sorted(((r.level, r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):  # some hundred levels
-        total += n
-        if total > FREQUENT:
-            break
-        cut = level
-    rows = counts.where(F.col("level") >= cut).select("key", F.floor(F.log2("n")).cast("int").alias("rank")).toArrow()
+    rows = most_frequent(digest.where("kind = 'gram'").groupBy("key").agg(F.sum("n").alias("n")), FREQUENT).select("key", F.floor(F.log2("n")).cast("int").alias("rank")).toArrow()
     grams = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(grams)
     return spark.sparkContext.broadcast((grams[order], rows.column("rank").to_numpy()[order].astype(np.int32)))
@@ -374,7 +367,7 @@ def _large_tiles(members: DataFrame, large: DataFrame, docs: DataFrame, k: int,
     block = lambda parts: F.pmod(F.xxhash64("key"), parts).cast("int")
     pieces = F.when(F.col("key") == F.col("leader"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(block(F.col("pieces"))))
     dealt = big.select("tile", F.explode(pieces).alias("piece"), (F.col("key") == F.col("leader")).alias("leads"), "key", "doc_id")
-    star = docs.join(dealt, "doc_id").select("tile", "piece", "leads", "key", "doc_id", "text").repartition(n, "tile", "piece").sortWithinPartitions("tile", "piece", F.desc("leads"))
+    star = docs.join(bounded(written(dealt, f"{home}/dealt")), "doc_id").select("tile", "piece", "leads", "key", "doc_id", "text").repartition(n, "tile", "piece").sortWithinPartitions("tile", "piece", F.desc("leads"))
     star = written(star.mapInArrow(_star(k, percent), "tile long, key long, doc_id long, leader long, linked long"), f"{home}/star")
     rest = star.where("linked = 0").select("tile", "key").distinct()
     blocks = rest.groupBy("tile").agg(F.count("*").alias("rest")).join(large, "tile").select("tile", F.ceil(F.col("rest") * F.col("pieces") / F.col("m")).cast("int").alias("rows"), F.col("pieces").alias("columns"))

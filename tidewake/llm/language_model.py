@@ -1,19 +1,22 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability given its history is that of its class given the history, times that of the token in its class.
-Classes are bands of tokens by frequency. The softmax over classes sums the rows of a hashed weight table for the features
-of the history (last token, the one before as a skip feature, and both); it is trained by generalised iterative scaling:
-in each round all tasks sum the probabilities of the classes by row, and each weight moves by how far the sum over the
-whole corpus is from the count, so the weights don't depend on how the corpus is split (but for rounding).
-Within a class tokens keep their smoothed unigram rates, so a text's log-probability is its unigram score plus, for each
-token, the log of the class's probability given the history over its overall rate.
-
-Counts cover all training texts. The most frequent tokens, up to a fixed number, are broadcast; scores of the others are
-joined, so neither the vocabulary nor any text passes through the driver.
+A token's probability given its history is that of its class given the history, times that of the token in its class
+given the history. Tokens are ranked by frequency; class k holds the ranks from 2^k on, the last class all tokens that
+aren't in the broadcast table, by the bits of their hashes. Each softmax is a tree of two-way choices (over classes a
+Huffman tree, within a class the bits of rank or hash), so it is normalised at the cost of the choices of one token. A
+choice's log-odds are those of the unigram rates plus three hashed weights: of the choice with the last token, with the
+one before it (a skip feature) and with both.
+
+The weights are trained by distributed gradient updates: each round all tasks sum, for each weight, how often its choice
+went right and how often the model expected it to; the difference of the two is the gradient. A weight moves by the log of
+their ratio (iterative scaling), so what it learns depends neither on how the corpus is split nor on its size. What lies
+below the choices, a token's share of its last set, is its smoothed unigram rate: a text's log-probability is its unigram
+score plus what the history adds to each choice.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare, workspace, written
-from .words import Words, find_words, mix, sequence_hash, signed, sliced
+from .runtime import most_frequent, prepare, workspace, written
+from .words import Words, find_words, mix, sequence_hashes, signed, sliced
 
 #: Hash of the token that ends each text; words are hashed by other means.
 END = 0x5EED0FE4D
-#: Tokens of the broadcast table (17 bytes each), and tokens that a task counts before it passes counts on.
+#: Tokens of the broadcast table (some 30 bytes each), and tokens that a task counts before it passes counts on.
 TOP, LOAD = 1 << 20, 4_000_000
-CLASSES, ROWS = 32, 1 << 16
-#: Tokens that both sides of a weight's ratio of counts get, so that a row seen once moves little.
+#: Bits of a hash that choose among the tokens beyond the table.
+OTHER_BITS = 12
+#: The weight table has 2^20 weights up to 2^27 training tokens, twice as many for four times the tokens, and at most 2^24,
+#: which bounds the memory of a task.
+LEAST_BITS, MOST_BITS, TOKENS_BITS = 20, 24, 27
+#: Counts that both sides of a weight's ratio get, so that a weight seen once moves little.
 DAMP = 1.0
-BATCH, ROUNDS, CHUNKS, TREE = 1 << 14, 3, 64, 64
+BATCH, ROUNDS, CHUNKS, TREE = 1 << 15, 2, 64, 64
+FEATURES = 3
+_ODD, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -44,14 +53,14 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def histories(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Three rows of the weight table for each token, by the two tokens before it in its text."""
+    """Three feature hashes for each token, by the two tokens before it in its text."""
     last, skip = np.zeros(len(token), np.uint64), np.zeros(len(token), np.uint64)
     last[1:], skip[2:] = token[:-1], token[:-2]
     last[bounds[:-1]] = skip[bounds[:-1]] = 1
     second = bounds[:-1] + 1
     skip[second[second < bounds[1:]]] = 1
     one, two = mix(last ^ np.uint64(0xA1)), mix(skip ^ np.uint64(0xB2))
-    return np.stack([one, two, mix(one + (two << np.uint64(1)))]) & np.uint64(ROWS - 1)
+    return np.stack([one, two, mix(one + (two << np.uint64(1)))])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,66 +82,137 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-class Vocabulary:
-    """The most frequent tokens, their counts and classes; all others are of the last class."""
-
-    def __init__(self, token: np.ndarray, n: np.ndarray, train_tokens: int, distinct: int):
-        order = np.argsort(-n, kind="stable")
-        share = np.cumsum(np.sqrt(n[order]))
-        band = np.minimum((share - np.sqrt(n[order])) * (CLASSES - 1) / max(share[-1] if len(share) else 1, 1e-9), CLASSES - 2).astype(np.uint8)
-        classes = np.empty(len(n), np.uint8)
-        classes[order] = band
-        order = np.argsort(token)
-        self.token, self.n, self.classes = token[order], n[order], classes[order]
-        self.total = train_tokens + 0.1 * (distinct + 1)
-        mass = np.bincount(classes, weights=n + 0.1, minlength=CLASSES)
-        mass[CLASSES - 1] = self.total - mass.sum()
-        self.log_rate = np.log(np.maximum(mass, 1e-9) / self.total)
+def _log_odds(mass: np.ndarray) -> np.ndarray:
+    """Of a complete tree over masses (2^k of them), the log-odds of the right half at each inner node, from the root on."""
+    out = []
+    while len(mass) > 1:
+        out.append(np.log(mass[1::2] + 1e-9) - np.log(mass[::2] + 1e-9))
+        mass = mass[::2] + mass[1::2]
+    return np.concatenate(out[::-1] + [np.zeros(0)])
+
+
+def huffman(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and bits on the way to each class (rows padded with 0), its length, and the log-odds of each node's bit 1."""
+    heap = [(float(m), i, [i]) for i, m in enumerate(mass)]
+    heapq.heapify(heap)
+    ways: list[list[tuple[int, int]]] = [[] for _ in mass]
+    odds: list[float] = []
+    while len(heap) > 1:
+        (a, _, left), (b, i, right) = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, side in enumerate((left, right)):
+            for c in side:
+                ways[c].append((len(odds), bit))
+        odds.append(float(np.log(b + 1e-9) - np.log(a + 1e-9)))
+        heapq.heappush(heap, (a + b, i + len(mass), left + right))
+    length = np.array([len(w) for w in ways], np.int64)
+    nodes, bits = np.zeros((len(mass), max(1, length.max())), np.int64), np.zeros((len(mass), max(1, length.max())), np.int64)
+    for c, way in enumerate(ways):
+        for d, (node, bit) in enumerate(reversed(way)):
+            nodes[c, d], bits[c, d] = node, bit
+    return nodes, bits, length, np.array(odds + [0.0])
+
+
+def vocabulary(token: np.ndarray, n: np.ndarray, others: np.ndarray, total: float) -> tuple:
+    """What the tasks need of the unigram model, as plain arrays.
+
+    token, n: the table; others: masses of the other tokens by the first bits of their hashes; total: the mass of all.
+    """
+    order = np.lexsort((token, -n))
+    token, n = token[order], n[order]
+    levels = len(token).bit_length()
+    mass = np.zeros(1 << levels)
+    mass[1 : len(n) + 1] = n + 0.1
+    classes = [mass[1 << k : 2 << k] for k in range(levels)] + [others]
+    # inner nodes of class k are numbered from 2^k, those of the last class and of the classes' tree after all others
+    odds = np.zeros((1 << levels) + len(others))
+    for k, own in enumerate(classes):
+        of = _log_odds(own)
+        odds[1 << k : (1 << k) + len(of)] = of
+    nodes, bits, length, top = huffman(np.array([c.sum() for c in classes]))
+    order = np.argsort(token)
+    return token[order], (order + 1).astype(np.int32), n[order], total, levels, nodes + len(odds), bits, length, np.concatenate([odds, top]).astype(np.float32)
+
+
+class Table:
+    """The vocabulary in a task, with an index by the first bits of the hashes."""
+
+    def __init__(self, v: tuple):
+        self.token, self.rank, self.n, self.total, self.levels, self.nodes, self.bits, self.length, self.odds = v
+        self.shift = np.uint64(63 - max(1, len(self.token).bit_length()))
+        bucket = (self.token >> self.shift).astype(np.int64)
+        self.first = np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << (64 - int(self.shift))))).astype(np.int32)
+        self.fullest = int(np.diff(self.first).max())
 
     def look_up(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0 for the others) and classes."""
-        if not len(self.token):
-            return np.zeros(len(token), np.int64), np.full(len(token), CLASSES - 1)
-        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-        hit = self.token[at] == token
-        return np.where(hit, self.n[at], 0), np.where(hit, self.classes[at], CLASSES - 1).astype(np.int64)
-
-
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log-probabilities of all classes for each column of feature rows."""
-    x = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + bias
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def _gather(model):
-    """Sums over a task's texts by row and class: of the tokens themselves, or of all classes' probabilities where there are weights."""
+        """Counts and ranks of tokens, both 0 for those that aren't in the table."""
+        n, rank = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
+        bucket = (token >> self.shift).astype(np.int64)
+        at, end, left = self.first[bucket], self.first[bucket + 1], np.arange(len(token))
+        for _ in range(self.fullest):
+            some = at < end
+            if not some.all():
+                at, end, left = at[some], end[some], left[some]
+            hit = self.token[at] == token[left]
+            n[left[hit]], rank[left[hit]] = self.n[at[hit]], self.rank[at[hit]]
+            at, end, left = at[~hit] + 1, end[~hit], left[~hit]
+        return n, rank
+
+    def choices(self, token: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray]]:
+        """First the order of the tokens for what follows; then step by step (which of the ordered tokens, node, bit) of a two-way choice."""
+        code = np.where(rank > 0, rank, (token >> np.uint64(64 - OTHER_BITS)).astype(np.int64) | (1 << OTHER_BITS))
+        depth = np.frexp(code)[1].astype(np.int64) - 1
+        cls = np.where(rank > 0, depth, self.levels)
+        order = np.argsort(-depth, kind="stable")
+        yield order
+        code, depth, cls = code[order], depth[order], cls[order]
+        base = (1 << cls) - 1
+        for j, m in enumerate(np.searchsorted(-depth, -np.arange(int(depth.max(initial=0))), "left").tolist()):
+            after = code[:m] >> (depth[:m] - j - 1)
+            yield slice(0, m), base[:m] + (after >> 1), after & 1
+        for j in range(self.nodes.shape[1]):
+            some = np.flatnonzero(self.length[cls] > j)
+            if len(some):
+                yield some, self.nodes[cls[some], j], self.bits[cls[some], j]
+
+
+def slots(features: np.ndarray, node: np.ndarray, weight_bits: int) -> np.ndarray:
+    """Three places in the weight table for each choice."""
+    return ((features ^ node.astype(np.uint64) * _STEP) * _ODD >> np.uint64(64 - weight_bits)).astype(np.int64)
+
+
+def _gather(model, first_round: bool):
+    """Sums over a task's texts for each weight: of what is expected of its choices, in the first round also how many there are and go right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocabulary, weights = model.value
-        bias = vocabulary.log_rate.astype(np.float32)
-        total = np.zeros((ROWS, CLASSES))
+        v, weights, weight_bits = model.value
+        table = Table(v)
+        expected = np.zeros(1 << weight_bits, np.float32)
+        counted = np.zeros(1 << weight_bits if first_round else 0)  # the number of choices, and 2^26 for each that goes right
         for batch in batches:
             for a, b in sliced(batch.column(0)):
                 token, bounds = tokens(find_words(batch.column(0).slice(a, b - a)))
-                rows = histories(token, bounds).astype(np.int64)
-                if weights is None:
-                    np.add.at(total.reshape(-1), (rows * CLASSES + vocabulary.look_up(token)[1]).reshape(-1), 1.0)
-                    continue
+                rank, features = table.look_up(token)[1], histories(token, bounds)
                 for at in range(0, len(token), BATCH):
-                    r = rows[:, at : at + BATCH]
-                    p = np.exp(log_softmax(weights, bias, r))
-                    for feature in r:
-                        order = np.argsort(feature, kind="stable")
-                        first = np.flatnonzero(np.diff(feature[order], prepend=-1))
-                        total[feature[order][first]] += np.add.reduceat(p[order], first, axis=0, dtype=np.float64)
+                    cut = slice(at, at + BATCH)
+                    steps = table.choices(token[cut], rank[cut])
+                    own = features[:, cut][:, next(steps)]
+                    for which, node, bit in steps:
+                        place, x = slots(own[:, which], node, weight_bits), table.odds[node]
+                        if weights is not None:
+                            x = x + weights[place[0]] + weights[place[1]] + weights[place[2]]
+                        p = 1 / (1 + np.exp(-x))
+                        for k in range(FEATURES):
+                            np.add.at(expected, place[k], p)
+                        if first_round:
+                            both = 1.0 + bit * float(1 << 26)
+                            for k in range(FEATURES):
+                                np.add.at(counted, place[k], both)
+        total = np.stack([expected, counted // (1 << 26), counted % (1 << 26)] if first_round else [expected]).astype(np.float32)
         group = TaskContext.get().partitionId() // TREE
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(CHUNKS), pa.int32()), pa.array([group] * CHUNKS, pa.int32()), pa.array([c.astype(np.float32).tobytes() for c in np.split(total, CHUNKS)], pa.binary())],
-            ["chunk", "part", "total"],
-        )
+        parts = [np.ascontiguousarray(c).tobytes() for c in np.split(total, CHUNKS, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([group] * CHUNKS, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part", "total"])
 
     return run
 
@@ -141,63 +221,78 @@ TOTAL = "chunk int, part int, total binary"
 
 
 def _sum(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(ROWS // CHUNKS * CLASSES)
+    total = np.zeros(len(group["total"].iloc[0]) // 4)
     for c in group["total"]:
         total += np.frombuffer(c, np.float32)
     return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "part": [group["part"].iloc[0]], "total": [total.astype(np.float32).tobytes()]})
 
 
-def _sums(texts: DataFrame, vocabulary: Vocabulary, weights: np.ndarray | None) -> np.ndarray:
-    """The sums of _gather over all texts."""
-    model = texts.sparkSession.sparkContext.broadcast((vocabulary, weights))
-    sums = texts.mapInArrow(_gather(model), TOTAL).groupBy("chunk", "part").applyInPandas(_sum, TOTAL).withColumn("part", F.lit(0))
+def _sums(texts: DataFrame, v: tuple, weights: np.ndarray | None, weight_bits: int) -> np.ndarray:
+    """The sums of _gather over all texts, added up in two steps."""
+    model = texts.sparkSession.sparkContext.broadcast((v, weights, weight_bits))
+    sums = texts.mapInArrow(_gather(model, weights is None), TOTAL).groupBy("chunk", "part").applyInPandas(_sum, TOTAL).withColumn("part", F.lit(0))
     parts = {r.chunk: np.frombuffer(r.total, np.float32) for r in sums.groupBy("chunk").applyInPandas(_sum, TOTAL).collect()}
     model.unpersist()
-    return np.concatenate([parts[k] for k in range(CHUNKS)]).reshape(ROWS, CLASSES).astype(float) if parts else np.zeros((ROWS, CLASSES))
+    rows = 3 if weights is None else 1
+    return np.concatenate([parts[k].reshape(rows, -1) for k in range(CHUNKS)], 1).astype(float) if parts else np.zeros((rows, 1 << weight_bits))
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int) -> np.ndarray:
-    """The weight table after some rounds of iterative scaling over all texts.
+def train(texts: DataFrame, v: tuple, rounds: int, weight_bits: int) -> np.ndarray:
+    """The weight table after some rounds over all texts.
 
-    Each token has three rows, so a round adds a third of log(count / expected count) to each weight. Both are sums over
-    all texts: a row's change depends on its own tokens alone, neither on how the texts are split nor on their number.
+    Each choice has three weights, so a round adds a third of the log-ratio of what went right to what was expected, less
+    that of what went left. A weight that no choice has stays 0.
     """
-    weights = np.zeros((ROWS, CLASSES))
-    if rounds:
-        count = _sums(texts, vocabulary, None)
+    weights = np.zeros(1 << weight_bits)
     for k in range(rounds):
-        # without weights a class has its overall rate in every row
-        expected = _sums(texts, vocabulary, weights.astype(np.float32)) if k else count.sum(1, keepdims=True) * np.exp(log_softmax(weights[:1], vocabulary.log_rate, np.zeros((3, 1), int)))
-        weights += np.log((count + DAMP) / (expected + DAMP)) / 3
+        if k == 0:
+            expected, right, n = _sums(texts, v, None, weight_bits)
+        else:
+            expected = _sums(texts, v, weights.astype(np.float32), weight_bits)[0]
+        up, down = (right + DAMP) / (expected + DAMP), (np.maximum(n - right, 0) + DAMP) / (np.maximum(n - expected, 0) + DAMP)
+        weights += np.log(up / down) / FEATURES
     return weights.astype(np.float32)
 
 
+def gains(table: Table, weights: np.ndarray, weight_bits: int, token: np.ndarray, rank: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """What the history adds to the log-probability of each token."""
+    out = np.zeros(len(token))
+    for at in range(0, len(token), BATCH):
+        cut = slice(at, at + BATCH)
+        steps = table.choices(token[cut], rank[cut])
+        order = next(steps)
+        own, more = features[:, cut][:, order], np.zeros(len(order))
+        for which, node, bit in steps:
+            place = slots(own[:, which], node, weight_bits)
+            side = np.where(bit > 0, np.float32(-1), np.float32(1))
+            plain = side * table.odds[node]
+            x = plain + side * (weights[place[0]] + weights[place[1]] + weights[place[2]])
+            more[which] += np.log((1 + np.exp(np.minimum(plain, 80))) / (1 + np.exp(np.minimum(x, 80))))
+        out[at + order] = more
+    return out
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = model.value
-        bias = vocabulary.log_rate.astype(np.float32)
+        v, weights, weight_bits = model.value
+        table = Table(v)
         for batch in batches:
             for a, b in sliced(batch.column(2)):
                 words = find_words(batch.column(2).slice(a, b - a))
                 token, bounds = tokens(words)
-                n, own = vocabulary.look_up(token)
-                rows, gain = histories(token, bounds).astype(np.int64), np.empty(len(token))
-                for at in range(0, len(token), BATCH):
-                    y = own[at : at + BATCH]
-                    gain[at : at + BATCH] = log_softmax(weights, bias, rows[:, at : at + BATCH])[np.arange(len(y)), y] - vocabulary.log_rate[y]
-                top = n > 0
-                base = np.where(top, np.log10((n + 0.1) / vocabulary.total), 0)
+                n, rank = table.look_up(token)
+                gain = gains(table, weights, weight_bits, token, rank, histories(token, bounds))
+                base = np.where(n > 0, np.log10((n + 0.1) / table.total), 0)
                 add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has at least its end
-                other, counts, keys = [], [], []
-                for x, y, u, v in zip(bounds[:-1].tolist(), bounds[1:].tolist(), words.first[:-1].tolist(), words.first[1:].tolist()):
-                    rare, m = np.unique(token[x:y][~top[x:y]], return_counts=True)
+                other, counts = [], []
+                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    rare, m = np.unique(token[x:y][n[x:y] == 0], return_counts=True)
                     other.append(signed(rare))
                     counts.append(m)
-                    keys.append(sequence_hash(words.hashes[u:v]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(signed(np.array(keys, np.uint64))),
-                        pa.array(np.diff(bounds)), pa.array(add(top.astype(np.int64))), pa.array(add(base)), pa.array(add(gain) / np.log(10)),
+                        batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(signed(sequence_hashes(words.hashes, words.first))),
+                        pa.array(np.diff(bounds)), pa.array(add((n > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(gain) / np.log(10)),
                         pa.array(other, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())),
                     ],
                     [c.split()[0] for c in SCORED.split(", ")],
@@ -214,8 +309,9 @@ def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0, rounds: int
 
     Reads doc_id and text, other columns are ignored. Tokens are runs of non-space characters, A-Z in lower case, and an
     end. Returns a row per input row (repeated rows too): doc_id, held_out, n_tokens, n_known, train_tokens, base_score
-    (smoothed unigrams, to 6 decimals), score (the model's). Null and empty texts are an end alone. Rows with a null doc_id are scored as
+    (smoothed unigrams), score (the model's). Null and empty texts are an end alone. Rows with a null doc_id are scored as
     held out. Without training texts both scores are those of a uniform vocabulary of one. An empty table gives no rows.
+    Counts cover all training texts; at most `top` tokens are broadcast, and the counts of the others are joined.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -225,17 +321,28 @@ def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0, rounds: int
     texts = docs.where("not held_out").select("text")
     counts = written(texts.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), f"{home}/counts")
     train_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.orderBy(F.desc("n"), "token").limit(top).toArrow()
-    vocabulary = Vocabulary(rows.column("token").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy().astype(np.int64), train_tokens, distinct)
-    weights = train(texts, vocabulary, rounds)
-    scored = docs.select("doc_id", "held_out", "text").mapInArrow(_score(spark.sparkContext.broadcast((vocabulary, weights))), SCORED)
+    total = train_tokens + 0.1 * (distinct + 1)
+    table = written(most_frequent(counts, top), f"{home}/table")
+    rows = table.toArrow()
+    token, n = rows.column("token").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy().astype(np.int64)
+    # masses of all tokens by the first bits of their hashes, less those of the table, and the share of unseen ones
+    others = np.full(1 << OTHER_BITS, 0.1 / (1 << OTHER_BITS))
+    for r in counts.groupBy(F.shiftrightunsigned("token", 64 - OTHER_BITS).alias("bits")).agg(F.sum(F.col("n") + 0.1).alias("mass")).collect():
+        others[r.bits] += r.mass
+    others = np.maximum(others - np.bincount((token >> np.uint64(64 - OTHER_BITS)).astype(np.int64), n + 0.1, 1 << OTHER_BITS), 1e-6)
+    v = vocabulary(token, n, others, total)
+    weight_bits = min(MOST_BITS, LEAST_BITS + max(0, train_tokens.bit_length() - TOKENS_BITS + 1) // 2)
+    # a task reads some times the bytes that it sends: partitions grow with the weight table
+    partitions = texts.rdd.getNumPartitions() >> (weight_bits - LEAST_BITS)
+    weights = train(texts.coalesce(max(1, partitions)) if weight_bits > LEAST_BITS else texts, v, rounds, weight_bits)
+    scored = docs.select("doc_id", "held_out", "text").mapInArrow(_score(spark.sparkContext.broadcast((v, weights, weight_bits))), SCORED)
     scored = written(scored.withColumn("row", F.xxhash64("doc_id", "key")), f"{home}/scored")
     # tokens beyond the table: repeated rows bring theirs several times, so sums are divided by how often a row came
     other = scored.select("row", F.inline(F.arrays_zip("other", "counts")).alias("token", "m"))
-    rate = lambda n: F.log10((F.coalesce(n, F.lit(0)) + F.lit(0.1)) / F.lit(float(vocabulary.total)))
+    rate = lambda n: F.log10((F.coalesce(n, F.lit(0)) + F.lit(0.1)) / F.lit(float(total)))
     other = other.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("m") * rate(F.col("n"))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("known"))
     times = F.count("*").over(Window.partitionBy("row"))
     whole = scored.withColumn("times", times).join(other, "row", "left")
     base = F.col("base") + F.coalesce(F.col("more") / F.col("times"), F.lit(0.0))
     known = F.col("n_top") + F.coalesce((F.col("known") / F.col("times")).cast("long"), F.lit(0).cast("long"))
-    return whole.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), F.round(base, 6).alias("base_score"), F.round(base + F.col("gain"), 6).alias("score"))
+    return whole.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
