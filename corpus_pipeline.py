@@ -2,63 +2,80 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with all their columns; the last returns the
 packed batches. A stage's result is written as Parquet and read again as the next one's docs.
+
+Every row is judged by its own text: rows with a null doc_id and several texts of one doc_id are rows like others. Where a
+verdict must be brought back to its row, that is by a key of id and text; equal rows have equal keys and verdicts. Empty
+tables stay empty in every stage, and extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm.decontaminate import decontaminate
 from tidewake.llm.jaccard import ngram_jaccard
 from tidewake.llm.packing import pack, word_count
 from tidewake.llm.quality import quality_rules
-from tidewake.llm.runtime import workspace, written
+from tidewake.llm.runtime import bounded, workspace, written
 from tidewake.llm.secrets import secret_scan
 
-
-#: A row's key, which the operators carry as its doc_id: of the id and the text, either of which may be null. Rows of one key
-#: are repeated rows, and all verdicts on them are the same.
+#: A row's key, which the operators carry as its doc_id: of the id and the text, either of which may be null.
 KEY = F.xxhash64(F.isnull("doc_id"), F.col("doc_id").cast("long"), F.isnull("text"), F.col("text").cast("string"))
 
 
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", KEY)
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows whose key, the verdict's doc_id, the verdict keeps."""
-    return docs.withColumn("_key", KEY).join(verdict.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key isn't among the dropped; dropped: a written column `_key`, which is broadcast if it is short."""
+    return docs.withColumn("_key", KEY).join(bounded(dropped), "_key", "left_anti").drop("_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _kept(docs, quality_rules(_keyed(docs)).where("kept"))
+    """Documents that the quality rules keep. Null and empty texts go; repeated rows stay as often as they came."""
+    return quality_rules(docs, row=_row(docs)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component: that of the smallest id, of rows without any only if there is no id."""
-    component = ngram_jaccard(_keyed(docs), k=5, percent=80).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    ids = docs.select(KEY.alias("key"), "doc_id").distinct()
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")
-    kept = _kept(docs, ids.join(component, "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("doc_id")))
-    # of repeated rows the first by the other columns
-    order = Window.partitionBy("_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
-    return kept.withColumn("_key", KEY).withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_key", "_row")
+    """One row of each near-duplicate component: that of the smallest id, of rows without any only if there is no id.
+
+    Of repeated rows one stays, the first by the other columns. Rows without words stay, one of each id and text.
+    """
+    home = workspace(spark)
+    component = ngram_jaccard(_keyed(docs), k=5, percent=80).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = docs.select(KEY.alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    each = written(ids.join(component, "_key"), f"{home}/each")
+    first = each.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_key")).alias("first")).select("first._key")
+    # what stays once: rows of dropped keys go, those of repeated ones are put aside
+    dropped = written(each.select("_key").join(first, "_key", "left_anti"), f"{home}/dropped")
+    repeated = written(each.where("times > 1").select("_key").join(first, "_key", "left_semi"), f"{home}/repeated")
+    once = _without(docs, written(dropped.unionAll(repeated), f"{home}/aside"))
+    order = F.struct(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))])
+    again = docs.withColumn("_key", KEY).join(bounded(repeated), "_key").groupBy("_key").agg(F.min_by(_row(docs), order).alias("row")).select("row.*")
+    return once.unionByName(again)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    return _kept(docs, decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10).where("not contaminated"))
+    """Documents without any benchmark window. Null and empty texts stay, as do repeated rows."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(docs, items, window=10, row=_row(docs)).where("not contaminated").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without secrets that look live."""
-    return _kept(docs, secret_scan(_keyed(docs), owner="source", repository="source", common_owners=3, common_repositories=5).where("n_live = 0"))
+    """Documents without secrets that look live. Null and empty texts stay, as do repeated rows."""
+    scanned = secret_scan(_keyed(docs), owner="source", repository="source", common_owners=3, common_repositories=5)
+    live = scanned.where("n_live > 0").select(F.col("doc_id").alias("_key")).distinct()
+    return _without(docs, written(live, f"{workspace(spark)}/live"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents that are left, in batches of like length."""
+    """All documents that are left, in batches of like length; null and empty texts in the bucket of length 0."""
     return pack(docs, word_count(F.col("text")), buckets=16, budget=65_536)
 
 
