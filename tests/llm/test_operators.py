@@ -263,6 +263,15 @@ def test_secrets(documents):
         assert r.n_live == (0 if r.doc_id < 4 else 1 if r.doc_id == 15 else len(base))  # what four owners share is an example
 
 
+def test_secret_owners_and_repositories(documents):
+    """A value is common by its owners or by its repositories alone."""
+    docs = documents([(i, "token = onlyone1") for i in range(4)] + [(10 + i, "token = another2") for i in range(2)], sources=("a", "b", "c", "d"))
+    live = lambda **k: {r.doc_id: r.n_live for r in secrets.secret_scan(docs, **k).collect()}
+    assert live(owner="source", repository="label", common_owners=3, common_repositories=9) == {0: 0, 1: 0, 2: 0, 3: 0, 10: 1, 11: 1}
+    assert live(owner="label", repository="source", common_owners=9, common_repositories=2) == {0: 0, 1: 0, 2: 0, 3: 0, 10: 0, 11: 0}
+    assert set(live(owner="label", repository="label", common_owners=2, common_repositories=2).values()) == {1}
+
+
 def test_personal_data(documents):
     cards = "4111 1111 1111 1111, 4111-1111-1111-1112, 378282246310005 0000"
     rows = [(1, "Mail a.b+c@x-y.co.uk, é🙂 d@e.f..g @h@i.j k@l"), (2, "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.02.3.255 99999999999.1.1.1"), (3, cards), (4, "+1 (555) 010-9999 +12 345 +1234567890123456 +44 20 7946 0958."), (5, None)]
@@ -274,6 +283,23 @@ def test_personal_data(documents):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_personal_data_beyond_patterns(documents, prose):
+    """Spelled out addresses, national numbers and disguised quads are added; look-alikes that break a rule or lack context are not."""
+    chance, rows = random.Random(6), []
+    for i in range(400):
+        mail, host = f"ann{i}@site{i % 7}.{chance.choice(['com', 'org'])}", ".".join(str(chance.randrange(256)) for _ in range(4))
+        rows.append((i, f"{prose(5)} mail {mail} or call +44 20 7946 {1000 + i} from host {host} {prose(4)}"))
+        rows.append((1000 + i, f"{prose(5)} we stayed at home.then{i} left, build 1.{300 + i}.2.{i} and order {chance.randrange(10**13, 10**14)} {prose(4)}"))
+    planted = {5000: "contact jane.doe at example dot com today", 5001: "mail bob (at) site (dot) org now", 5002: "from host 10[.]1[.]2[.]3 again", 5003: "call (020) 7946-1234 soon"}
+    clean = {6000: "we stayed at home.then left", 6001: "build 1.300.2.4 of it", 6002: "order 12345678901234 came"}
+    got = {r.doc_id: r for r in pii.personal_data(documents(rows + [*planted.items(), *clean.items()])).collect()}
+    caught = [i for i in planted if got[i].n_other]
+    assert {5000, 5001, 5002} <= set(caught), caught
+    assert not any(got[i].n_other for i in clean) and not any(got[1000 + i].n_other for i in range(400))
+    start = planted[5000].index("jane")
+    assert f"other:{start}:{start + len('jane.doe at example dot com')}" in got[5000].spans.split(",")
+
+
 def test_toxicity(spark, documents, prose):
     rows = [(i, f"{prose(20)} {'you vile rotten scum' if i % 3 == 0 else 'have a lovely calm day'} {prose(10)}") for i in range(300)]
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows if i % 7], "doc_id long, quality int, toxic int")

@@ -15,14 +15,15 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def placed(text: Column, pattern: str, matches: Column) -> Column:
+def placed(text: Column, pattern: str, matches: Column, reach: int = 1) -> Column:
     """matches: the column of found(text, pattern). An array of structs (start, end, value, before, after), null if empty.
 
-    Code points, end exclusive; before and after are the neighbouring characters up to the next match, or empty.
+    Code points, end exclusive; before and after are the neighbouring characters, `reach` before and one after, up to the
+    next match.
     """
 
     def piece(m: Column, p: Column) -> Column:
-        return F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.length(p).alias("p"), F.right(p, F.lit(1)).alias("last"), F.left(p, F.lit(1)).alias("first"))
+        return F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.length(p).alias("p"), F.right(p, F.lit(reach)).alias("last"), F.left(p, F.lit(1)).alias("first"))
 
     # a one-element array names the intermediate arrays, so that each is computed once for a text
     zipped = F.array(F.struct(matches.alias("matches"), F.zip_with(matches, F.split(text, pattern, -1), piece).alias("pieces")))
