@@ -9,8 +9,26 @@ from ..functions import geo
 from .tracks import along
 
 STATE = ("lat", "lon", "sog", "cog", "heading")
-#: Height of the bands that vessels of one time are divided into, in degrees; at least the search radius.
-BAND_DEG = 0.03
+#: Metres of a degree of latitude, of longitude at the equator, in the plane that distances are taken in.
+DEGREE_LAT_M, DEGREE_LON_M = 110_540.0, 111_320.0
+
+
+def _cells(radius_m: float, lat: str, lon: str, around: bool) -> Column:
+    """Cells (band, column) of about the radius that a place is in, or all nine around it.
+
+    A band's columns are wide enough at its edge nearest to a pole, so two places within the radius are never farther
+    apart than neighbouring cells of the first one's band.
+    """
+    height = radius_m * 1.01 / DEGREE_LAT_M
+    band = F.floor(F.col(lat) / height)
+
+    def column(b: Column) -> Column:
+        edge = F.least(F.greatest(F.abs(b * height), F.abs((b + 1) * height)), F.lit(89.9))
+        return F.floor(F.col(lon) / (radius_m * 1.01 / (DEGREE_LON_M * F.cos(F.radians(edge)))))
+
+    if not around:
+        return F.struct(band.alias("band"), column(band).alias("column"))
+    return F.array(*[F.struct((band + y).alias("band"), (column(band + y) + x).alias("column")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
 
 
 def snapshots(points: DataFrame, times: DataFrame, history: int = 30) -> DataFrame:
@@ -26,24 +44,24 @@ def _field(rows: str, name: str) -> Column:
     return F.transform(rows, lambda r: r[name])
 
 
-def neighbours(targets: DataFrame, snaps: DataFrame, radius_m: float = 3000.0, band_deg: float = BAND_DEG) -> DataFrame:
+def neighbours(targets: DataFrame, snaps: DataFrame, radius_m: float = 3000.0) -> DataFrame:
     """(sample_id, distance, relative place and speed, approach, rank, total) of other vessels near a target at its time.
 
-    targets: sample_id, mmsi, segment_id, hist_end_ts. Times are divided into bands of latitude, and a neighbour is in its
-    own band and the two beside it, so one busy time doesn't meet in one task.
+    targets: sample_id, mmsi, segment_id, hist_end_ts. Times are divided into cells of about the radius, and a neighbour is
+    in its own cell and the eight around it, so one busy time doesn't meet in one task. Only ids and states are copied; a
+    neighbour's other columns can be joined by (timestamp_utc, n_mmsi, n_segment_id).
     """
-    band = lambda c: F.floor(F.col(c) / band_deg)
     own = targets.select("sample_id", "mmsi", "segment_id", F.col("hist_end_ts").alias("timestamp_utc"))
-    own = own.join(snaps.select("timestamp_utc", "mmsi", "segment_id", *STATE), ["timestamp_utc", "mmsi", "segment_id"]).withColumn("_band", band("lat"))
-    other = snaps.select("timestamp_utc", *[F.col(c).alias(f"n_{c}") for c in snaps.columns if c != "timestamp_utc"]).withColumn("_band", F.explode(F.array(*[band("n_lat") + k for k in (-1, 0, 1)])))
+    own = own.join(snaps.select("timestamp_utc", "mmsi", "segment_id", *STATE), ["timestamp_utc", "mmsi", "segment_id"]).withColumn("_cell", _cells(radius_m, "lat", "lon", False))
+    other = snaps.select("timestamp_utc", *[F.col(c).alias(f"n_{c}") for c in ("mmsi", "segment_id", "ship_type", *STATE)]).withColumn("_cell", F.explode(_cells(radius_m, "n_lat", "n_lon", True)))
     x, y = geo.planar_x(F.col("n_lon"), F.col("lat"), F.col("lon")), geo.planar_y(F.col("n_lat"), F.col("lat"))
-    df = own.join(other, ["timestamp_utc", "_band"]).where(F.col("mmsi") != F.col("n_mmsi")).withColumns({"_x": x, "_y": y}).withColumn("distance_m", F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))).where(F.col("distance_m") <= radius_m)
+    df = own.join(other, ["timestamp_utc", "_cell"]).where(F.col("mmsi") != F.col("n_mmsi")).withColumns({"_x": x, "_y": y}).withColumn("distance_m", F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))).where(F.col("distance_m") <= radius_m)
     (vx, vy), (nx, ny) = geo.velocity(F.col("sog"), F.col("cog")), geo.velocity(F.col("n_sog"), F.col("n_cog"))
     df = df.withColumns({"rel_vx": nx - vx, "rel_vy": ny - vy})
     cpa, tcpa = geo.approach(F.col("_x"), F.col("_y"), F.col("rel_vx"), F.col("rel_vy"))
     w = Window.partitionBy("sample_id")
     df = df.withColumns({"cpa_m": cpa, "tcpa_s": tcpa, "total": F.count("*").over(w), "rank": F.row_number().over(w.orderBy("distance_m", "n_mmsi", "n_segment_id"))})
-    return df.drop("_band", "_x", "_y")
+    return df.drop("_cell", "_x", "_y")
 
 
 def nearest(df: DataFrame, k: int = 8) -> DataFrame:
@@ -56,7 +74,9 @@ def density_bin(n: Column) -> Column:
 
 def social_features(targets: DataFrame, snaps: DataFrame, radius_m: float = 3000.0, k: int = 8, flag_from: int = 3) -> DataFrame:
     """Each target with its state, neighbour arrays in order of distance and their summary; empty where there is no state."""
-    near = nearest(neighbours(targets, snaps, radius_m), k)
+    same = ("timestamp_utc", "n_mmsi", "n_segment_id")
+    past = snaps.select("timestamp_utc", F.col("mmsi").alias("n_mmsi"), F.col("segment_id").alias("n_segment_id"), *[F.col(f"hist_{c}").alias(f"n_hist_{c}") for c in STATE])
+    near = nearest(neighbours(targets, snaps, radius_m), k).join(past, list(same))
     rel_x = F.transform("n_hist_lon", lambda v: geo.planar_x(v, F.col("lat"), F.col("lon")))
     rel_y = F.transform("n_hist_lat", lambda v: geo.planar_y(v, F.col("lat")))
     fields = {
@@ -93,8 +113,9 @@ def nearest_in_time(points: DataFrame, targets: DataFrame) -> DataFrame:
 def nearby_tracks(target: DataFrame, snaps: DataFrame, points: DataFrame, radius_m: float = 2000.0, last: int = 15) -> DataFrame:
     """For each target the last points, up to its time, of other segments that are near at that time."""
     own = target.select("sample_id", "mmsi", "segment_id", F.col("hist_end_ts").alias("timestamp_utc")).join(snaps.select("timestamp_utc", "mmsi", "segment_id", "lat", "lon"), ["timestamp_utc", "mmsi", "segment_id"])
-    other = snaps.select("timestamp_utc", F.col("segment_id").alias("n_segment_id"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"))
-    near = own.join(other, "timestamp_utc").where((F.col("segment_id") != F.col("n_segment_id")) & (F.hypot(geo.planar_x(F.col("n_lon"), F.col("lat"), F.col("lon")), geo.planar_y(F.col("n_lat"), F.col("lat"))) <= radius_m))
+    own = own.withColumn("_cell", _cells(radius_m, "lat", "lon", False))
+    other = snaps.select("timestamp_utc", F.col("segment_id").alias("n_segment_id"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")).withColumn("_cell", F.explode(_cells(radius_m, "n_lat", "n_lon", True)))
+    near = own.join(other, ["timestamp_utc", "_cell"]).where((F.col("segment_id") != F.col("n_segment_id")) & (F.hypot(geo.planar_x(F.col("n_lon"), F.col("lat"), F.col("lon")), geo.planar_y(F.col("n_lat"), F.col("lat"))) <= radius_m))
     near = near.select("sample_id", F.col("n_segment_id").alias("segment_id"), F.col("timestamp_utc").alias("hist_end_ts")).distinct()
     rows = near.join(points.select("segment_id", "timestamp_utc", "lat", "lon"), "segment_id").where("timestamp_utc <= hist_end_ts")
     rank = F.row_number().over(Window.partitionBy("sample_id", "segment_id").orderBy(F.desc("timestamp_utc")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,11 +116,11 @@ def environment_v1(anchors: DataFrame, ways: DataFrame, radius_m: float = 2048.0
     parts = clipped_segments(anchors, ways, radius_m, deg)
     cells = raster_cells(parts, radius_m, size, step_m).groupBy("sample_id", "category").agg(F.count("*").alias("occupancy"))
     stats = category_summary(parts).join(cells, ["sample_id", "category"], "left")
-    out = anchors
+    rest = [c for c in stats.columns if c not in ("sample_id", "category")]
+    # one row for each sample, so clipping and cells are computed and joined once for both categories
+    both = stats.groupBy("sample_id").agg(*[F.first(F.when(F.col("category") == name, F.struct(*rest)), ignorenulls=True).alias(name) for name in LABELS[1]])
+    out = anchors.join(both, "sample_id", "left")
     for name in LABELS[1]:
-        own = stats.where(F.col("category") == name).drop("category")
-        own = own.select("sample_id", F.struct(*[c for c in own.columns if c != "sample_id"]).alias(name))
-        out = out.join(own, "sample_id", "left")
         count = lambda c: F.coalesce(F.col(f"{name}.{c}"), F.lit(0)).cast("long")  # noqa: B023, E731
         out = out.withColumns({
             f"min_{name}_dist_m": F.round(F.coalesce(F.col(f"{name}.min_dist_m"), F.lit(2.0 * radius_m)), 3), f"{name}_segment_count": count("segment_count"),
@@ -189,7 +190,7 @@ def _rasters_v2(radius_m: float, size: int):
                 shore, lane = distance_map(barrier, radius_m) * np.where(water, 1, -1), distance_map(~nav, radius_m) * np.where(nav, 1, -1)
                 share = lambda m: float(m.mean())
                 masks = np.packbits(np.stack([~water, water, nav, natural, manmade, barrier])).tobytes()
-                rows.append((r.sample_id, share(water), share(nav), share(natural), share(manmade), share(barrier), int(water[c, c]), int(nav[c, c]), int(barrier[c, c]), masks, np.stack([shore, lane]).astype(np.float16).tobytes()))
+                rows.append((r.sample_id, share(water), share(nav), share(natural), share(manmade), share(barrier), int(water[c, c]), int(nav[c, c]), int(barrier[c, c]), masks, np.stack([shore, lane]).astype(np.float32).tobytes()))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in V2.split(", ")])
 
     return run
@@ -247,7 +248,7 @@ def region_clusters(tiles: DataFrame, tile_deg: float = 0.25, max_rounds: int =
     offsets = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
     around = grid.withColumn("_o", F.explode(offsets)).select("tile_id", (F.col("gy") + F.col("_o.y")).alias("gy"), (F.col("gx") + F.col("_o.x")).alias("gx"))
     edges = around.join(grid.withColumnRenamed("tile_id", "other"), ["gy", "gx"]).select("tile_id", "other")
-    home = f"{shared_folder(spark)}/tidewake-regions-{spark.sparkContext.applicationId}-{id(tiles)}"
+    home = f"{shared_folder(spark)}/tidewake-regions-{uuid.uuid4().hex}"
     label = edges.groupBy("tile_id").agg(F.min("other").alias("label"))
     for k in range(max_rounds):
         label.write.mode("overwrite").parquet(f"{home}-{k}")
@@ -257,6 +258,8 @@ def region_clusters(tiles: DataFrame, tile_deg: float = 0.25, max_rounds: int =
         label = near.join(jump, "near", "left").select("tile_id", F.least("near", F.coalesce("jump", "near")).alias("label"))
         if label.join(old, ["tile_id", "label"], "left_anti").isEmpty():
             break
+    else:
+        raise RuntimeError(f"regions did not settle in {max_rounds} rounds")
     names = old.select("label").distinct().withColumn("region_cluster", F.format_string("region_%03d", F.row_number().over(Window.orderBy("label")) - 1))
     return old.join(names, "label").select("tile_id", "region_cluster")
 

@@ -29,7 +29,10 @@ def co_located(df: DataFrame) -> DataFrame:
 
 
 def segment_tracks(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    """Cut each vessel's messages where time or the implied speed jumps."""
+    """Cut each vessel's messages where time or the implied speed jumps.
+
+    Of rows of one vessel and time the first by _ingest_order counts; without that column, the one of least latitude.
+    """
     w = along("mmsi")
     first = F.row_number().over(Window.partitionBy("mmsi", "timestamp_utc").orderBy(*[F.col(c) for c in ("_ingest_order",) if c in df.columns] or [F.col("lat")])) == 1
     df = df.withColumn("_first", first).where("_first").drop("_first")
@@ -61,8 +64,12 @@ def longest_runs(df: DataFrame, flag: Column, name: str) -> DataFrame:
 
 
 def low_displacement(limits: Thresholds = DEFAULT) -> Column:
-    """True where the first row that is a window's length later lies within the displacement limit."""
-    w = Window.partitionBy(*SEGMENT).orderBy(F.unix_micros("timestamp_utc")).rangeBetween(limits.low_displacement_window_s * 1_000_000, Window.unboundedFollowing)
+    """True where the first row that is a window's length later lies within the displacement limit.
+
+    Rows of a segment are at most segment_gap_s apart, so that row comes within so much after the window: the frame ends there.
+    """
+    first = limits.low_displacement_window_s * 1_000_000
+    w = Window.partitionBy(*SEGMENT).orderBy(F.unix_micros("timestamp_utc")).rangeBetween(first, first + int(limits.segment_gap_s * 1_000_000))
     later = F.first(F.struct("lat", "lon")).over(w)
     return F.coalesce(geo.haversine_m(F.col("lat"), F.col("lon"), later["lat"], later["lon"]) < limits.low_displacement_m, F.lit(False))
 
@@ -75,13 +82,22 @@ def segment_labels(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Per segment: size, span, displacement, longest anchored and slow runs, low displacement, and whether to exclude it."""
     low = F.coalesce(F.col("sog") < limits.low_speed_knots, F.lit(False))
     df = df.withColumns({"_anchor": anchored(), "_low": low, "_still": low_displacement(limits)})
-    runs = longest_runs(df, F.col("_anchor"), "longest_anchor_or_moored_seconds").join(longest_runs(df, F.col("_low"), "longest_low_speed_seconds"), list(SEGMENT))
+    # both kinds of runs from one window pass: a stretch ends where either flag turns, and neighbouring stretches of one run are
+    # told by the number of its turns
+    turn = lambda c: F.coalesce((F.col(c) != F.lag(c).over(along())).cast("int"), F.lit(0))
+    df = df.withColumns({"_ta": turn("_anchor"), "_tl": turn("_low")})
+    df = df.withColumns({"_ra": F.sum("_ta").over(along()), "_rl": F.sum("_tl").over(along())})
+    df = df.withColumns({
+        f"_s{k}": F.when(F.col(flag), seconds(F.col("timestamp_utc"), F.min("timestamp_utc").over(Window.partitionBy(*SEGMENT, f"_r{k}").orderBy("timestamp_utc")))).otherwise(0.0)
+        for k, flag in (("a", "_anchor"), ("l", "_low"))
+    })
     end = lambda f: f(F.struct("lat", "lon"), "timestamp_utc")
     per = df.groupBy(*SEGMENT).agg(
         F.count("*").alias("num_points"), F.min("timestamp_utc").alias("start_time"), F.max("timestamp_utc").alias("end_time"),
         end(F.min_by).alias("_a"), end(F.max_by).alias("_b"), F.max("_still").alias("has_low_displacement_20min_window"),
+        F.max("_sa").alias("longest_anchor_or_moored_seconds"), F.max("_sl").alias("longest_low_speed_seconds"),
     )
-    per = per.join(runs, list(SEGMENT)).withColumn("duration_seconds", seconds(F.col("end_time"), F.col("start_time")))
+    per = per.withColumn("duration_seconds", seconds(F.col("end_time"), F.col("start_time")))
     per = per.withColumn("end_to_end_displacement_m", geo.haversine_m(F.col("_a.lat"), F.col("_a.lon"), F.col("_b.lat"), F.col("_b.lon"))).drop("_a", "_b")
     out = (F.col("longest_anchor_or_moored_seconds") >= limits.anchor_run_s) | (F.col("longest_low_speed_seconds") >= limits.low_speed_run_s) | F.col("has_low_displacement_20min_window")
     return per.withColumn("exclude_from_underway_only", out)

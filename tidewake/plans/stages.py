@@ -15,8 +15,10 @@ _written: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests), a temporary folder of this machine."""
+    """spark.checkpoint.dir; where that is unset (tests), a temporary folder of this machine, which is an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or tempfile.gettempdir() + "/tidewake-checkpoints").rstrip("/")
 
 
