@@ -130,8 +130,8 @@ def test_quotas_and_choice(spark):
         assert sum(r.quota for r in rows) <= 40 and all(r.quota <= r.n for r in rows)
     import pandas as pd
 
-    pool = pd.DataFrame([dict(split="train", sample_id=f"s{i:03d}", mmsi=i % 2, segment_id=f"g{i % 4}", sample_step=i * 5, ship_group="a", speed_bin="b", motion_bin="c", rank=float(i), quota=5) for i in range(60)])
-    out = pool[pool.sample_id.isin(selection.choose(pool, 20, per_vessel=6, per_segment=3, step_gap=20).sample_id)]
+    pool = pd.DataFrame([dict(split="train", sample_id=f"s{i:03d}", mmsi=i % 2, segment_id=f"g{i % 4}", sample_step=i * 5, ship_group="a", speed_bin="b", motion_bin="c", place=i, quota=5) for i in range(60)])
+    out = pool[pool.sample_id.isin(selection.choose(pool, 20, per_vessel=6, per_segment=3, step_gap=20)[0].sample_id)]
     assert out.groupby("mmsi").size().max() <= 6 and out.groupby("segment_id").size().max() <= 3
     for _, g in out.groupby("segment_id"):
         assert min(abs(a - b) for i, a in enumerate(g.sample_step) for b in list(g.sample_step)[:i]) >= 20
@@ -145,9 +145,60 @@ def test_clean_choice_takes_all_candidates(spark, monkeypatch):
     rows += [(*stratum, 100 + i, f"h{i}", 0, f"b{i:03d}", 50.0, True, None) for i in range(30)]
     rows += [(*stratum, 200 + i, f"r{i}", 0, f"c{i:03d}", 95.0, True, "quality_score") for i in range(30)]
     names = "split string, ship_group string, speed_bin string, motion_bin string, mmsi long, segment_id string, sample_step int, sample_id string, quality_score double, core_eligible boolean, reject_reason string"
+    rows = [r[:9] + (1.0,) + r[9:] for r in rows]
+    names = names.replace("core_eligible", "difficulty_score double, core_eligible")
     monkeypatch.setattr(queries, "_candidates", lambda spark, d: spark.createDataFrame(rows, names))
     got = sorted(r.sample_id for r in queries.select_clean(spark, "").collect())
-    assert got == ["a000", "a020", "a040"] + [f"b{i:03d}" for i in range(21)]
+    assert got[:3] == ["a000", "a020", "a040"] and len(got) == 24 and all(x.startswith("b") for x in got[3:])  # ties go by hash
+
+
+def _plain_quality_first(rows, quotas, target, per_vessel, per_segment, gap):
+    """The same choice over all rows, one by one; rows: (stratum, mmsi, segment, step, id) in order."""
+    vessels, segments, taken = {}, {}, []
+
+    def take(r):
+        _, v, s, step, i = r
+        if vessels.get(v, 0) < per_vessel and len(segments.get(s, [])) < per_segment and all(abs(step - x) >= gap for x in segments.get(s, [])):
+            vessels[v] = vessels.get(v, 0) + 1
+            segments.setdefault(s, []).append(step)
+            taken.append(i)
+            return True
+        return False
+
+    for stratum in sorted(quotas):
+        n = 0
+        for r in rows:
+            if r[0] == stratum and n < quotas[stratum] and take(r):
+                n += 1
+    for r in rows:
+        if len(taken) < target and r[4] not in taken:
+            take(r)
+    return taken[:target]
+
+
+def test_quality_first_reads_on_where_heads_run_out(spark):
+    import random
+
+    chance = random.Random(9)
+    rows = [(chance.choice("abc"), 1 if i < 300 else 2 + i % 40, f"g{1 if i < 300 else i % 60}", i % 97, f"s{i:04d}", float(i)) for i in range(600)]
+    df = spark.createDataFrame([("train", "cargo_tanker", "10_15", m, v, s, step, i, q) for m, v, s, step, i, q in rows], "split string, ship_group string, speed_bin string, motion_bin string, mmsi long, segment_id string, sample_step int, sample_id string, score double")
+    counts = df.groupBy("ship_group", "speed_bin", "motion_bin").agg(F.count("*").alias("n"))
+    quotas = {r.motion_bin: r.quota for r in selection.quota_weighted(counts, 40).collect()}
+    got = [r.sample_id for r in selection.select_quality_first(df, [F.col("score")], 40, per_vessel=4, per_segment=2, step_gap=20, head=1).collect()]
+    assert sorted(got) == sorted(_plain_quality_first([r[:5] for r in rows], quotas, 40, 4, 2, 20)) and len(got) == 40
+
+
+def test_nested_choice_and_hashes(spark):
+    import hashlib
+
+    import pandas as pd
+
+    pool = pd.DataFrame([dict(split="train", sample_id=f"s{i:03d}", mmsi=i, segment_id=f"g{i}", sample_step=-1, ship_group="a", speed_bin="b", motion_bin="c" if i < 30 else "d", place=i, quota=6, turn_bin="sharp" if i % 10 == 9 else "straight") for i in range(60)])
+    out = pool[pool.sample_id.isin(selection.choose_nested(pool, 12, 25, 8, 10).sample_id)]
+    assert len(out) == 12 and (out.groupby("motion_bin").size() == 6).all() and (out[out.turn_bin == "sharp"].groupby("motion_bin").size() == selection.shares({"sharp": 3, "straight": 27}, 6)["sharp"]).all()
+    got = selection.with_stable_hashes(spark.createDataFrame([(f"x{i}",) for i in range(50)], "sample_id string")).collect()
+    assert all(int(r.hash_blake) == int.from_bytes(hashlib.blake2b(r.sample_id.encode(), digest_size=8).digest(), "big") for r in got)
+    assert max(int(r.hash_frame) for r in got) > 2**63 and min(int(r.hash_frame) for r in got) >= 0
 
 
 def test_clip_stays_inside(spark):

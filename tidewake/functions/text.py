@@ -81,3 +81,39 @@ def split_of(mmsi: Column) -> Column:
     half = lambda at: (F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") % 10).cast("int")
     k = (6 * half(1) + half(17)) % 10
     return F.when(k == 0, "val").when(k == 1, "test").otherwise("train")
+
+
+def number_or(c: Column, kind: str, default: float | int | bool | None) -> Column:
+    """A text as a number or boolean; the default where it isn't one."""
+    return F.coalesce(F.trim(c).try_cast(kind), F.lit(default).cast(kind))
+
+
+def utc_text(t: Column) -> Column:
+    """A time as ISO text with the offset of UTC; the session's time zone must be UTC."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def floats_of(c: Column) -> Column:
+    """Numbers of a JSON list; an empty list for null, empty or broken text and for other JSON, items that aren't numbers are left out."""
+    items = F.from_json(F.trim(c), "array<string>")
+    return F.when(F.trim(c).startswith("["), F.coalesce(F.filter(F.transform(items, json_number), F.isnotnull), F.array().cast("array<double>"))).otherwise(F.array().cast("array<double>"))
+
+
+def json_number(item: Column) -> Column:
+    """An item as a number: true and false count as 1 and 0."""
+    return F.when(item == "true", 1.0).when(item == "false", 0.0).otherwise(F.trim(item).try_cast("double"))
+
+
+def strict_array(c: Column, kind: str = "double") -> Column:
+    """A JSON list of a kind; an error where the text isn't one."""
+    return F.from_json(c, f"array<{kind}>", {"mode": "FAILFAST"})
+
+
+def compact_json(c: Column) -> Column:
+    """An array, struct or map as JSON without spaces, nulls kept."""
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def recompact(c: Column, kind: str = "array<double>") -> Column:
+    """JSON text with any spacing in the compact form."""
+    return compact_json(F.from_json(c, kind))

@@ -82,6 +82,11 @@ def tier_summary(samples: DataFrame) -> DataFrame:
     return samples.groupBy("quality_tier").agg(F.count("*").alias("samples"), *[F.avg(c).alias(f"mean_{c}") for c in names])
 
 
+def merge_maps(parts: DataFrame, column: str) -> DataFrame:
+    """(key, n): values of a map column summed by key over rows of partial summaries."""
+    return parts.select(F.explode(column).alias("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def merge_summaries(parts: DataFrame, counts: list[str], means: list[str], weight: str) -> DataFrame:
     """One row from rows of partial summaries: sums of counts and weighted means."""
     return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], *[(F.sum(F.col(m) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1))).alias(m) for m in means])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..functions.arrays import at, displacement, mean, median, pstdev, total
 from ..plans.config import KNOTS_PER_MPS
+from ..plans.stages import shared_folder
 
 #: Limits of the quality-first subset, quota weights, bin edges of the two builders.
 LIMITS = {
@@ -217,66 +221,162 @@ def quota_weighted(counts: DataFrame, target: int, exponent: float = 0.92, n: st
     return quotas(counts, F.pow(F.col(n), exponent) * weight("ship_group", GROUP_WEIGHTS, 0.5) * weight("speed_bin", SPEED_WEIGHTS, 0.75) * weight("motion_bin", MOTION_WEIGHTS, 0.8), target, n)
 
 
-def stratum_pools(df: DataFrame, quota: DataFrame, order: Column) -> DataFrame:
-    """The first rows of each stratum, a few times its quota."""
-    cap = F.greatest(F.ceil(F.col("quota") * 6), F.col("quota") + 20, F.lit(50))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*STRATUM).orderBy(order, "sample_id")))
-    return ranked.join(F.broadcast(quota.select(*STRATUM, "quota")), list(STRATUM)).where(F.col("_rank") <= cap).drop("_rank")
+class Caps:
+    """What has been taken of each vessel and segment, and whether another sample fits."""
+
+    def __init__(self, per_vessel: int, per_segment: int, step_gap: int):
+        self.limits, self.vessels, self.segments, self.taken = (per_vessel, per_segment, step_gap), {}, {}, []
+
+    def take(self, r) -> bool:
+        per_vessel, per_segment, gap = self.limits
+        steps = self.segments.get(r.segment_id, [])
+        # samples without a step (-1) are apart from all others
+        near = r.sample_step >= 0 and any(s >= 0 and abs(r.sample_step - s) < gap for s in steps)
+        if self.vessels.get(r.mmsi, 0) >= per_vessel or len(steps) >= per_segment or near:
+            return False
+        self.vessels[r.mmsi] = self.vessels.get(r.mmsi, 0) + 1
+        self.segments.setdefault(r.segment_id, []).append(r.sample_step)
+        self.taken.append(r)
+        return True
 
 
-def choose(pool: pd.DataFrame, target: int, per_vessel: int, per_segment: int, step_gap: int) -> pd.DataFrame:
-    """Greedy choice: strata by name, each in order of rank up to its quota, then the rest until the target is met."""
-    vessels: dict = {}
-    segments: dict = {}
-    taken: list[int] = []
-    pool = pool.sort_values([*STRATUM, "rank", "sample_id"], kind="stable").reset_index(drop=True)
+def shares(counts: dict[str, int], target: int) -> dict[str, int]:
+    """Parts of a target by the square root of the counts, as quotas() divides them among strata."""
+    whole = sum(n**0.5 for n in counts.values())
+    exact = {k: target * n**0.5 / whole for k, n in counts.items()}
+    base = {k: min(n, int(exact[k])) for k, n in counts.items()}
+    order = sorted(counts, key=lambda k: (exact[k] - base[k], counts[k] - base[k], k), reverse=True)
+    for k in [k for k in order if base[k] < counts[k]][: target - sum(base.values())]:
+        base[k] += 1
+    return base
 
-    def fits(r) -> bool:
-        own = segments.get(r.segment_id, [])
-        return vessels.get(r.mmsi, 0) < per_vessel and len(own) < per_segment and all(abs(r.sample_step - s) >= step_gap for s in own)
 
-    def take(r) -> None:
-        vessels[r.mmsi] = vessels.get(r.mmsi, 0) + 1
-        segments.setdefault(r.segment_id, []).append(r.sample_step)
-        taken.append(r.Index)
+def choose(pool: pd.DataFrame, target: int, per_vessel: int, per_segment: int, step_gap: int, open_strata: frozenset = frozenset()) -> tuple[pd.DataFrame, set]:
+    """Greedy choice: strata by name, each in order of place up to its quota, then all others by place until the target is met.
 
-    filled: dict = {}
+    pool has each stratum's first rows with `place`, a rank over all strata; open_strata have more rows than the pool holds.
+    Returns the choice, and those strata whose further rows could have changed it.
+    """
+    caps, filled, short = Caps(per_vessel, per_segment, step_gap), {}, set()
+    pool = pool.sort_values([*STRATUM, "place"], kind="stable")
     for r in pool.itertuples():
         key = (r.ship_group, r.speed_bin, r.motion_bin)
-        if filled.get(key, 0) < r.quota and fits(r):
-            take(r)
+        if filled.get(key, 0) < r.quota and caps.take(r):
             filled[key] = filled.get(key, 0) + 1
-    have = set(taken)
-    for r in pool.sort_values(["rank", "sample_id"], kind="stable").itertuples():
-        if len(taken) >= target:
+    last = pool.groupby(list(STRATUM))["place"].max().to_dict() if len(pool) else {}
+    quota = pool.groupby(list(STRATUM))["quota"].first().to_dict() if len(pool) else {}
+    short |= {k for k in open_strata if filled.get(k, 0) < quota.get(k, 0)}
+    have = {r.Index for r in caps.taken}
+    for r in pool.sort_values("place", kind="stable").itertuples():
+        if len(caps.taken) >= target:
             break
-        if r.Index not in have and fits(r):
-            take(r)
-    return pool.loc[taken[:target], ["split", "sample_id"]]
+        short |= {k for k in open_strata if last[k] < r.place}  # rows of that stratum would come before this one
+        if r.Index not in have:
+            caps.take(r)
+    else:
+        if len(caps.taken) < target:
+            short |= set(open_strata)
+    return pool.loc[[r.Index for r in caps.taken[:target]], ["split", "sample_id"]], short
 
 
-def select_greedy(candidates: DataFrame, rank: Column, target: int, weighted: bool = True, per_vessel: int = 12, per_segment: int = 3, step_gap: int = 20, pooled: bool = True) -> DataFrame:
-    """(split, sample_id) of a constrained choice per split.
+def choose_nested(pool: pd.DataFrame, target: int, per_vessel: int, per_segment: int, step_gap: int) -> pd.DataFrame:
+    """Greedy choice with nested quotas: in each stratum by bins of turn, then the stratum's rest, then the rest of all.
 
-    The choice is sequential by nature; it runs over each split's pools, which quotas bound by some times the target, or
-    over all candidates of a split if not pooled.
+    pool has `place`, the order within and over strata; the choice is cut to the target in that order.
     """
+    caps = Caps(per_vessel, per_segment, step_gap)
+    for _, own in pool.sort_values([*STRATUM, "place"], kind="stable").groupby(list(STRATUM), sort=True):
+        before, left = len(caps.taken), []
+        quota = int(own["quota"].iloc[0])
+        for turn, part in sorted(shares(own["turn_bin"].value_counts().to_dict(), quota).items()):
+            taken = 0
+            for r in own[own["turn_bin"] == turn].itertuples():
+                if taken < part and caps.take(r):
+                    taken += 1
+                else:
+                    left.append(r)
+        for r in sorted(left, key=lambda r: r.place):
+            if len(caps.taken) - before >= quota:
+                break
+            caps.take(r)
+    have = {r.Index for r in caps.taken}
+    for r in pool.sort_values("place", kind="stable").itertuples():
+        if len(caps.taken) >= target:
+            break
+        if r.Index not in have:
+            caps.take(r)
+    best = sorted(caps.taken, key=lambda r: r.place)[:target]
+    return pool.loc[[r.Index for r in best], ["split", "sample_id"]]
+
+
+POOL = ("split", "sample_id", "mmsi", "segment_id", "sample_step", *STRATUM)
+
+
+def _ranked(candidates: DataFrame, order: list[Column], target: int, weighted: bool, *more: str) -> DataFrame:
+    """Candidates with their stratum's quota, rank in the stratum (_rank) and the values they are ordered by (o0, o1, ...)."""
     counts = candidates.groupBy("split", *STRATUM).agg(F.count("*").alias("n"))
-    parts = []
-    for split in ("train", "val", "test"):
-        own = counts.where(F.col("split") == split).drop("split")
-        quota = quota_weighted(own, target) if weighted else quota_sqrt(own, target)
-        ranked = candidates.where(F.col("split") == split).withColumn("rank", rank)
-        pool = stratum_pools(ranked, quota, F.col("rank")) if pooled else ranked.join(F.broadcast(quota.select(*STRATUM, "quota")), list(STRATUM))
-        parts.append(pool.select("split", "sample_id", "mmsi", "segment_id", "sample_step", *STRATUM, "rank", "quota"))
-    pools = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    share = quota_weighted if weighted else quota_sqrt
+    parts = [share(counts.where(F.col("split") == s).drop("split"), target).withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    quota = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    keys = ["split", *STRATUM]
+    named = candidates.select(*POOL, *more, *[o.alias(f"o{k}") for k, o in enumerate(order)])
+    named = named.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*[f"o{k}" for k in range(len(order))], "sample_id")))
+    return named.join(F.broadcast(quota.withColumnRenamed("n", "_size")), keys)
+
+
+def _placed(pool: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The pool with each row's place in the order of o0, o1, ..., sample_id."""
+    pool = pool.sort_values([*[f"o{k}" for k in range(n)], "sample_id"], kind="stable").reset_index(drop=True)
+    return pool.assign(place=range(len(pool)))
+
+
+def select_quality_first(candidates: DataFrame, order: list[Column], target: int, per_vessel: int = 12, per_segment: int = 3, step_gap: int = 20, head: int = 4) -> DataFrame:
+    """(split, sample_id) of a constrained choice per split from all candidates, in the given order.
+
+    The choice is sequential by nature. It runs over the head of each stratum, some times its quota; where a stratum's
+    further rows could change the choice, as caps used up its head, its head is doubled and the choice made again. So the
+    driver holds some times the target unless the caps reject more.
+    """
+    spark = candidates.sparkSession
+    path = f"{shared_folder(spark)}/tidewake-ranked-{uuid.uuid4().hex}"
+    _ranked(candidates, order, target, True).write.parquet(path)
+    ranked = spark.read.parquet(path)
+    strata = ranked.select("split", *STRATUM, "_size", "quota").distinct().toPandas()
+    strata["cap"] = [max(head * q, q + 20) for q in strata["quota"]]
+    chosen = []
+    for split, own in strata.groupby("split"):
+        while True:
+            caps = spark.createDataFrame(own[[*STRATUM, "cap"]])
+            pool = ranked.where(F.col("split") == split).join(F.broadcast(caps), list(STRATUM)).where("_rank <= cap").drop("cap")
+            still_open = frozenset(tuple(r[c] for c in STRATUM) for _, r in own.iterrows() if r["cap"] < r["_size"])
+            picked, short = choose(_placed(pool.toPandas(), len(order)), target, per_vessel, per_segment, step_gap, still_open)
+            if not short:
+                break
+            own = own.assign(cap=[2 * r["cap"] if tuple(r[c] for c in STRATUM) in short else r["cap"] for _, r in own.iterrows()])
+        chosen.append(picked)
+    rows = pd.concat(chosen) if chosen else pd.DataFrame({"split": [], "sample_id": []})
+    return spark.createDataFrame([tuple(r) for r in rows.itertuples(index=False)], "split string, sample_id string")
+
+
+def select_representative(candidates: DataFrame, order: list[Column], target: int, per_vessel: int = 25, per_segment: int = 8, step_gap: int = 10) -> DataFrame:
+    """(split, sample_id) of a choice per split with quotas by stratum and, within each, by turn_bin.
+
+    It runs over each stratum's pool: its first rows, six times the quota, the quota and 20, or 50, whichever is most.
+    """
+    cap = F.greatest(F.col("quota") * 6, F.col("quota") + 20, F.lit(50))
+    pools = _ranked(candidates, order, target, False, "turn_bin").where(F.col("_rank") <= cap)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return choose(group, target, per_vessel, per_segment, step_gap)
+        return choose_nested(_placed(group, len(order)), target, per_vessel, per_segment, step_gap)
 
     return pools.groupBy("split").applyInPandas(run, "split string, sample_id string")
 
 
+def selected_rows(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """All columns of the rows whose sample_id was chosen."""
+    return rows.join(chosen.select("sample_id").distinct(), "sample_id", "left_semi")
+
+
 def numeric_summary(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Mean, median, nearest-rank p90, min, max to 4 decimals. Values are counted first, so no group is collected whole."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -293,15 +393,14 @@ def numeric_summary(df: DataFrame, column: str, *keys: str) -> DataFrame:
 def stable_hash_blake(ids: pd.Series) -> pd.Series:
     import hashlib
 
-    return ids.map(lambda s: None if s is None else int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big", signed=True))
+    return ids.map(lambda s: None if s is None else Decimal(int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big")))
 
 
 def stable_hash_pandas(ids: pd.Series) -> pd.Series:
-    return pd.Series(pd.util.hash_pandas_object(ids, index=False).to_numpy().view("int64"), index=ids.index)
+    return pd.Series([Decimal(int(h)) for h in pd.util.hash_pandas_object(ids, index=False)], index=ids.index, dtype=object)
 
 
 def with_stable_hashes(df: DataFrame, column: str = "sample_id") -> DataFrame:
-    """hash_blake and hash_frame: the two hash families that order the released selections, as signed longs."""
-    blake, frame = F.pandas_udf(stable_hash_blake, "long"), F.pandas_udf(stable_hash_pandas, "long")
+    """hash_blake and hash_frame: the two hash families that order the released selections, unsigned, as decimals of 20 digits."""
+    blake, frame = F.pandas_udf(stable_hash_blake, "decimal(20,0)"), F.pandas_udf(stable_hash_pandas, "decimal(20,0)")
     return df.withColumns({"hash_blake": blake(column), "hash_frame": frame(column)})
-

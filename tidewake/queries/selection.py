@@ -161,13 +161,15 @@ def _candidates(spark, d):
 
 @query()
 def select_representative(spark, d):
-    ordered = selection.with_stable_hashes(_candidates(spark, d))
-    return selection.select_greedy(ordered, F.col("hash_frame").cast("double"), 40, weighted=False, per_vessel=25, per_segment=8, step_gap=10)
+    turn = selection.turn_bin(selection.angles("hist_cog_sin", "hist_cog_cos"))
+    eligible = _candidates(spark, d).where("core_eligible").withColumns({"motion_bin": selection.motion_bin(F.col("fut_displacement_m"), "representative"), "turn_bin": turn})
+    return selection.select_representative(selection.with_stable_hashes(eligible), [F.col("hash_frame")], 40)
 
 
 @query()
 def select_clean(spark, d):
-    return selection.select_greedy(_candidates(spark, d).where("reject_reason is null"), -F.col("quality_score"), 24, weighted=True, per_vessel=12, per_segment=3, step_gap=20, pooled=False)
+    ordered = selection.with_stable_hashes(_candidates(spark, d).where("reject_reason is null"))
+    return selection.select_quality_first(ordered, [-F.col("quality_score"), F.col("difficulty_score"), F.col("hash_blake")], 24)
 
 
 @query()

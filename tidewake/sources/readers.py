@@ -8,12 +8,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Basenames of side tables that a stage's folder may hold beside its parts.
-SIDE_OUTPUTS = ("all_motion", "segment_labels", "segment_summary", "manifest", "summary")
+#: Basenames of side tables that a stage's folder may hold beside its parts.
+SIDE_OUTPUTS = ("all_motion", "segment_labels", "segment_summary", "underway_only", "manifest", "summary")
 GEOMETRY = "array<struct<lat double, lon double>>"
 ELEMENTS = f"elements array<struct<type string, id long, tags map<string,string>, geometry {GEOMETRY}>>"
 
@@ -22,16 +22,35 @@ def raw_schema(header: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in header])
 
 
-def _header(spark: SparkSession, path: str, glob: str) -> list[str]:
-    first = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).limit(1).collect()
-    return next(csv.reader([first[0].value.lstrip("﻿")])) if first else []
+def _headers(spark: SparkSession, path: str, glob: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header. Only a file's first line reaches the driver."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    # a file's first line starts at its first block; a compressed file is one block
+    first = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).where("at = 0")
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.groupBy("file").agg(F.min_by("value", "n").alias("value")).orderBy("file").collect():
+        out.setdefault(tuple(next(csv.reader([r.value.lstrip("\ufeff")]), ())), []).append(r.file)
+    return out
 
 
 def read_raw(spark: SparkSession, path: str, glob: str = "*.{csv,csv.gz,csv.zst,gz}", header: list[str] | None = None) -> DataFrame:
-    """All files below a folder as text columns, with source_file; codecs follow the suffix. No inference, no null tokens."""
-    header = header or _header(spark, path, glob)
-    df = spark.read.schema(raw_schema(header)).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("mode", "PERMISSIVE").csv(path)
-    return df.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    """All files below a folder as text columns, with source_file; codecs follow the suffix. No inference, no null tokens.
+
+    Files whose headers differ, in order or in columns, are read by their own headers; absent columns are null. A given
+    header is that of all files. A folder without files gives an empty table.
+    """
+    plain = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    if header:
+        frames = [plain.schema(raw_schema(header)).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)]
+    else:
+        frames = [plain.schema(raw_schema(list(own))).csv(files) for own, files in _headers(spark, path, glob).items()]
+    if not frames:
+        return spark.createDataFrame([], "source_file string")
+    frames = [f.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) for f in frames]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def _unzip(header: list[str]):
@@ -72,12 +91,43 @@ def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_stage_csv(spark: SparkSession, path: str, schema: T.StructType, primary: bool = True) -> DataFrame:
-    """Gzip CSV parts of a stage; primary leaves side tables out."""
+    """Gzip CSV parts of a stage; primary leaves side tables out and, below the folder itself, all but parts and messages."""
     df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv.gz").csv(path)
     if not primary:
         return df
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv\.gz$", "")
-    return df.where(~name.isin(*SIDE_OUTPUTS))
+    steps = F.split(F.col("_metadata.file_path"), "/")
+    name = F.regexp_replace(F.element_at(steps, -1), r"\.csv\.gz$", "")
+    return df.where(primary_file(name, F.element_at(steps, -2), path.rstrip("/").rsplit("/", 1)[-1]))
+
+
+def primary_file(name: Column, folder: Column, root: str) -> Column:
+    """Whether a file of a name (without suffix) in a folder is a stage's own output below a root folder."""
+    return ~name.isin(*SIDE_OUTPUTS) & (name.startswith("part-") | (name == "messages") | (folder == root))
+
+
+def first_rows(df: DataFrame, n: int, key: str = "split", order: str = "sample_id") -> DataFrame:
+    """At most n rows of each split, the first by an order; 0 is no limit."""
+    if n == 0:
+        return df
+    return df.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_row") <= n).drop("_row")
+
+
+def find_segment(df: DataFrame, segment_id: str) -> DataFrame:
+    """The rows of a segment in order of time; an error if there are none."""
+    found = df.where(F.col("segment_id") == segment_id)
+    if found.isEmpty():
+        raise KeyError(segment_id)
+    return found.orderBy("timestamp_utc")
+
+
+def find_raster(rasters: DataFrame, sample_id: str) -> DataFrame:
+    """A sample's (category, gy, gx) cells in order; none if its raster is empty."""
+    return rasters.where(F.col("sample_id") == sample_id).orderBy("category", "gy", "gx")
+
+
+def missing_keys(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """Keys of the wanted rows that nothing present has, such as tiles whose ways were not fetched."""
+    return wanted.select(key).distinct().join(present.select(key).distinct(), key, "left_anti")
 
 
 def read_samples(spark: SparkSession, root: str, version: str, split: str) -> DataFrame:

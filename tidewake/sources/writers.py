@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spatial import LABELS
+
 
 def write_partitions(df: DataFrame, path: str, parts: int = 64) -> None:
     """By vessel number modulo parts."""
@@ -33,10 +35,27 @@ def write_vectors(segments: DataFrame, path: str) -> None:
     """Clipped segments of each sample as gzip JSON lines, coordinates to two decimals."""
     point = lambda x, y: F.array(F.round(x, 2), F.round(y, 2))
     item = F.struct("osm_id", "subtype", F.array(point("x0", "y0"), point("x1", "y1")).alias("xy"))
-    rows = segments.groupBy("sample_id").pivot("category", ["shoreline", "waterfront"]).agg(F.collect_list(item))
+    rows = segments.groupBy("sample_id").pivot("category", [c for names in LABELS.values() for c in names]).agg(F.collect_list(item))
     rows.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def summary_json(df: DataFrame) -> str:
     """A one-row summary as JSON with sorted keys."""
     return json.dumps(df.first().asDict(recursive=True), sort_keys=True, indent=2, default=str)
+
+
+def write_selected(rows: DataFrame, chosen: DataFrame, path: str) -> None:
+    """All columns of the chosen samples as gzip CSV."""
+    write_csv(rows.join(chosen.select("sample_id").distinct(), "sample_id", "left_semi").orderBy("sample_id"), path)
+
+
+def sample_json(samples: DataFrame) -> DataFrame:
+    """(sample_id, meta): what identifies and qualifies each sample, as JSON; null fields are kept."""
+    fields = ("sample_id", "mmsi", "segment_id", "ship_type", "ship_class", "quality_tier", "core_eligible", "full_eligible", "interp_ratio_total")
+    return samples.select("sample_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("meta"))
+
+
+def split_summary_json(summary: DataFrame, config: dict[str, float | int | str]) -> str:
+    """Rows by split and the configuration they were made with, as one JSON text with sorted keys."""
+    splits = {r["split"]: {k: v for k, v in r.asDict(recursive=True).items() if k != "split"} for r in summary.collect()}
+    return json.dumps({"config": config, "splits": splits}, sort_keys=True, indent=2, default=str)
