@@ -249,6 +249,40 @@ def test_sources_and_sinks(spark, tmp_path):
     assert json.loads(writers.summary_json(df.agg(F.count("*").alias("n")))) == {"n": 1}
 
 
+def test_files_of_different_headers(spark, tmp_path):
+    turned = HEADER[1:] + HEADER[:1]
+    second = ["mmsi", "base_date_time", "latitude", "longitude", "sog", "cog", "heading", "status", "vessel_type", "length", "width", "draft", "imo"]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(HEADER), ",".join(ROW)]))
+    (tmp_path / "b.csv").write_text("\n".join([",".join(turned), ",".join(ROW[1:] + ROW[:1])]))
+    got = {r.mmsi: r for r in ingest.standardize(readers.read_raw(spark, str(tmp_path))).collect()}
+    assert len(got) == 1 and got[219001000].lat == 55.1 and readers.read_raw(spark, str(tmp_path)).count() == 2
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n/c.csv").write_text("\n".join([",".join(second), "219001001,2025-09-01T00:00:05,55.1,10.2,12.3,45.0,511,1,75,120,20,6.1,IMO9"]))
+    r = ingest.standardize(readers.read_raw(spark, str(tmp_path / "n"))).first()
+    assert (r.mmsi, r.lat, r.heading, r.nav_status, r.ship_type, r.imo) == (219001001, 55.1, None, "at anchor", "cargo", None) and r.timestamp_utc == dt.datetime(2025, 9, 1, 0, 0, 5)
+    assert readers.read_raw(spark, str(tmp_path), glob="*.none").count() == 0
+
+
+def test_stage_files(spark, tmp_path):
+    import gzip
+
+    for name in ("part-000", "underway_only", "sub/messages", "sub/other", "sub/part-001", "sub/segment_labels"):
+        (tmp_path / f"{name}.csv.gz").parent.mkdir(exist_ok=True)
+        with gzip.open(tmp_path / f"{name}.csv.gz", "wt") as f:
+            f.write(f"a\n{name}")
+    schema = spark.createDataFrame([], "a string").schema
+    assert {r.a for r in readers.read_stage_csv(spark, str(tmp_path), schema).collect()} == {"part-000", "sub/messages", "sub/part-001"}
+    assert readers.read_stage_csv(spark, str(tmp_path), schema, primary=False).count() == 6
+
+
+def test_selected_and_summaries(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i}", i) for i in range(5)], "sample_id string, n int")
+    writers.write_selected(rows, rows.where("n > 2"), str(tmp_path / "x"))
+    assert [r.sample_id for r in spark.read.option("header", True).csv(str(tmp_path / "x")).orderBy("sample_id").collect()] == ["s3", "s4"]
+    out = json.loads(writers.split_summary_json(spark.createDataFrame([("train", 3), ("val", 1)], "split string, n int"), {"radius_m": 5.0}))
+    assert out == {"config": {"radius_m": 5.0}, "splits": {"train": {"n": 3}, "val": {"n": 1}}}
+
+
 def test_stream_sessions(spark, tmp_path):
     rows = [(1, T0 + dt.timedelta(seconds=s)) for s in (0, 0, 60, 2000, 2060, 9000)]
     spark.createDataFrame(rows, "mmsi long, timestamp_utc timestamp").coalesce(1).write.parquet(str(tmp_path / "s"))

@@ -363,11 +363,11 @@ def select_representative(candidates: DataFrame, order: list[Column], target: in
 
     It runs over each stratum's pool: its first rows, six times the quota, the quota and 20, or 50, whichever is most.
     """
-    cap = F.greatest(F.col("quota") * 6, F.col("quota") + 20, F.lit(50))
+    cap, n = F.greatest(F.col("quota") * 6, F.col("quota") + 20, F.lit(50)), len(order)
     pools = _ranked(candidates, order, target, False, "turn_bin").where(F.col("_rank") <= cap)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return choose_nested(_placed(group, len(order)), target, per_vessel, per_segment, step_gap)
+        return choose_nested(_placed(group, n), target, per_vessel, per_segment, step_gap)
 
     return pools.groupBy("split").applyInPandas(run, "split string, sample_id string")
 

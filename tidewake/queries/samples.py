@@ -79,10 +79,11 @@ def export_counts(spark, d):
     return samples.export_versions(chain.labelled(spark, d)).groupBy("version", "split").agg(F.count("*").alias("n"))
 
 
-@query(chain.sql("SELECT count(*) AS samples, round(avg(ih), 6) AS interp_ratio_hist, round(avg(it), 6) AS interp_ratio_total FROM samples", "samples"))
+@query(chain.sql("SELECT count(*) AS samples, round(avg(ih), 6) AS interp_ratio_hist, round(avg(if), 6) AS interp_ratio_fut, round(avg(it), 6) AS interp_ratio_total, round(avg(gt), 6) AS grid_interp_ratio_total FROM samples", "samples"))
 def summary_merge(spark, d):
-    parts = chain.labelled(spark, d).groupBy(F.pmod("mmsi", F.lit(64)).alias("part")).agg(F.count("*").alias("samples"), F.avg("interp_ratio_hist").alias("interp_ratio_hist"), F.avg("interp_ratio_total").alias("interp_ratio_total"))
-    return settled(samples.merge_summaries(parts, ["samples"], ["interp_ratio_hist", "interp_ratio_total"], "samples"))
+    means = ["interp_ratio_hist", "interp_ratio_fut", "interp_ratio_total", "grid_interp_ratio_total"]
+    parts = chain.labelled(spark, d).groupBy(F.pmod("mmsi", F.lit(64)).alias("part")).agg(F.count("*").alias("samples"), *[F.avg(c).alias(c) for c in means])
+    return settled(samples.merge_summaries(parts, ["samples"], means, "samples"))
 
 
 @query(chain.sql("""SELECT sample_id, round(sum(vx), 5) AS sum_vx, round(sum(abs(vy)), 5) AS sum_abs_vy, round(sum(abs(vx - coalesce(pvx, vx))), 5) AS sum_abs_ax FROM (SELECT sample_id, step, vx, vy, lag(vx) OVER w2 AS pvx FROM

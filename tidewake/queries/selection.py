@@ -150,9 +150,9 @@ def numeric_summary(spark, d):
     return selection.numeric_summary(evaluated(spark, d), "quality_score", "ship_group")
 
 
-@query(over(f"SELECT {SPLIT} AS split, count(*) AS samples, count(DISTINCT mmsi) AS vessels, count(DISTINCT segment_id) AS segments, count(*) FILTER (speed_bin = '10_15') AS speed_10_15, count(*) FILTER (motion_bin = 'high') AS motion_high FROM bins GROUP BY 1", "bins"))
+@query(over(f"SELECT {SPLIT} AS split, count(*) AS samples, count(DISTINCT mmsi) AS vessels, count(DISTINCT segment_id) AS segments FROM bins GROUP BY 1", "bins"))
 def split_report(spark, d):
-    return reports.split_report(evaluated(spark, d).withColumn("split", text.split_of(F.col("mmsi"))))
+    return reports.split_report(_candidates(spark, d)).select("split", "samples", "vessels", "segments")
 
 
 def _candidates(spark, d):
