@@ -20,8 +20,10 @@ from tidewake.llm.quality import quality_rules
 from tidewake.llm.runtime import bounded, workspace, written
 from tidewake.llm.secrets import secret_scan
 
-#: A row's key, which the operators carry as its doc_id: of the id and the text, either of which may be null.
-KEY = F.xxhash64(F.isnull("doc_id"), F.col("doc_id").cast("long"), F.isnull("text"), F.col("text").cast("string"))
+
+def _key() -> Column:
+    """A row's key, which the operators carry as its doc_id: of the id and the text, either of which may be null."""
+    return F.xxhash64(F.isnull("doc_id"), F.col("doc_id").cast("long"), F.isnull("text"), F.col("text").cast("string"))
 
 
 def _row(docs: DataFrame) -> Column:
@@ -29,12 +31,12 @@ def _row(docs: DataFrame) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", KEY)
+    return docs.withColumn("doc_id", _key())
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows whose key isn't among the dropped; dropped: a written column `_key`, which is broadcast if it is short."""
-    return docs.withColumn("_key", KEY).join(bounded(dropped), "_key", "left_anti").drop("_key")
+    return docs.withColumn("_key", _key()).join(bounded(dropped), "_key", "left_anti").drop("_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     home = workspace(spark)
     component = ngram_jaccard(_keyed(docs), k=5, percent=80).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = docs.select(KEY.alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    ids = docs.select(_key().alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
     each = written(ids.join(component, "_key"), f"{home}/each")
     first = each.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_key")).alias("first")).select("first._key")
     # what stays once: rows of dropped keys go, those of repeated ones are put aside
@@ -57,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = written(each.where("times > 1").select("_key").join(first, "_key", "left_semi"), f"{home}/repeated")
     once = _without(docs, written(dropped.unionAll(repeated), f"{home}/aside"))
     order = F.struct(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))])
-    again = docs.withColumn("_key", KEY).join(bounded(repeated), "_key").groupBy("_key").agg(F.min_by(_row(docs), order).alias("row")).select("row.*")
+    again = docs.withColumn("_key", _key()).join(bounded(repeated), "_key").groupBy("_key").agg(F.min_by(_row(docs), order).alias("row")).select("row.*")
     return once.unionByName(again)
 
 

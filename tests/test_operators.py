@@ -299,6 +299,16 @@ def test_geo_values(spark):
     assert r[0] == pytest.approx(math.pi * 6371000 / 180) and r[1] == -170 and r[2] == 20 and r[3] == pytest.approx(0) and r[4] == 100 and r[5] is None and r[6] is None
 
 
+def test_queries_without_a_session():
+    """Names of queries can be listed before there is a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    ran = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 100)"], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert ran.stdout.strip().endswith("True"), ran.stderr[-1000:]
+
+
 def test_entry(spark):
     import __spark_entry__
 
