@@ -19,7 +19,8 @@ from .words import LOWER, column_bytes, sliced
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-CHUNKS = 64
+#: Bytes of text whose n-grams are held at once: some 60 bytes for each.
+SLICE = 1 << 20
 #: Labelled rows that are fitted on at most (those of the lowest hashes), and tasks that read them.
 SAMPLE, TASKS = 12_000, 8
 #: Features kept for the regression (those whose scaled counts tell the classes apart best), the labelled texts that must
@@ -44,8 +45,10 @@ def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def features(point: np.ndarray, bounds: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs, each once and in order; wanted: flags of the features to return."""
-    room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(point))
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    size = np.diff(bounds)
+    kind = np.uint32 if len(size) <= 1 << (32 - BITS) else np.int64  # narrow pairs take half the room and sort faster
+    room = np.repeat(bounds[1:].astype(np.int32), size) - np.arange(len(point), dtype=np.int32)
+    doc = np.repeat(np.arange(len(size)).astype(kind) << kind(BITS), size)
     out = []
     total = np.zeros(len(point), np.uint32)
     for k in range(1, max(ORDERS) + 1):
@@ -56,30 +59,34 @@ def features(point: np.ndarray, bounds: np.ndarray, wanted: np.ndarray | None =
             good = room[: len(h)] >= k
             if wanted is not None:
                 good &= wanted[h]
-            at = np.flatnonzero(good)
-            out.append((doc[at] << BITS) | h[at])
-    pair = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-    return pair >> BITS, pair & ((1 << BITS) - 1)
+            out.append(doc[: len(h)][good] | h[good])
+    pair = np.concatenate(out)
+    pair.sort()
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+    return (pair >> kind(BITS)).astype(np.int64), (pair & kind((1 << BITS) - 1)).astype(np.int64)
 
 
 def _rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (toxic, text) to counts of texts with each feature, by class, in chunks; chunk -1 has the texts."""
+    """Rows (toxic, text) to counts of texts with each feature, by class; feature -1 has all texts."""
     counts, texts = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        for a, b in sliced(batch.column(1)):
+        for a, b in sliced(batch.column(1), SLICE):
             toxic = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
             doc, own = features(*characters(batch.column(1).slice(a, b - a)))
             for k in range(2):
                 counts[k] += np.bincount(own[toxic[doc] == k], minlength=1 << BITS)
                 texts[k] += (toxic == k).sum()
-    rows = [(-1, texts)] + list(enumerate(np.split(counts, CHUNKS, 1)))
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([np.ascontiguousarray(x).ravel() for _, x in rows], pa.list_(pa.int64()))], ["chunk", "counts"])
+    met = np.flatnonzero(counts.any(0))
+    clean, toxic = np.concatenate([texts[:, None], counts[:, met]], 1)
+    for at in range(0, len(met) + 1, 1 << 16):
+        part = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, met)[part].astype(np.int32)), pa.array(clean[part]), pa.array(toxic[part])], ["feature", "clean", "toxic"])
 
 
 def _presence(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in sliced(batch.column(1)):
+            for a, b in sliced(batch.column(1), SLICE):
                 doc, own = features(*characters(batch.column(1).slice(a, b - a)), wanted.value)
                 parts = np.split(own.astype(np.int32), np.searchsorted(doc, np.arange(1, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(parts, pa.list_(pa.int32()))], ["toxic", "own"])
@@ -113,7 +120,7 @@ def fit(place: np.ndarray, owner: np.ndarray, y: np.ndarray, scale: np.ndarray,
     return weights, b
 
 
-def bias_of(texts: np.ndarray) -> float:
+def bias_of(texts: list[int]) -> float:
     """The margin of texts of which nothing is known, by the number of texts of both classes."""
     return float(np.log((texts[1] + 1) / (texts[0] + 1)))
 
@@ -124,19 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int =
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.join(F.broadcast(known), "doc_id").select("toxic", "text").repartition(TASKS)
-    chunks = texts.mapInArrow(_rates, "chunk int, counts array<long>").groupBy("chunk").agg(F.collect_list("counts").alias("counts")).collect()
-    summed = {r.chunk: np.sum([np.array(x) for x in r.counts], 0) for r in chunks}
-    if not summed or min(summed[-1]) == 0:
-        return np.zeros(1 << BITS), bias_of(summed[-1]) if summed else 0.0
-    clean, toxic = np.concatenate([summed[k].reshape(2, -1) for k in range(CHUNKS)], 1)
-    p, q = (toxic + 1) / (summed[-1][1] + 2), (clean + 1) / (summed[-1][0] + 2)
+    rates = texts.mapInArrow(_rates, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    summed = rates.where(f"feature = -1 or clean + toxic >= {int(least_texts)}").toArrow()
+    feature, *counts = (summed.column(c).to_numpy() for c in ("feature", "clean", "toxic"))
+    total = [int(c[feature == -1].sum()) for c in counts]
+    if min(total) == 0:
+        return np.zeros(1 << BITS), bias_of(total)
+    clean, toxic = (np.zeros(1 << BITS, np.int64) for _ in range(2))
+    for each, c in zip((clean, toxic), counts):
+        each[feature[feature >= 0]] = c[feature >= 0]
+    p, q = (toxic + 1) / (total[1] + 2), (clean + 1) / (total[0] + 2)
     r = np.log(p / q)
     worth = np.where((clean + toxic >= least_texts) & (np.abs(r) >= least_r), np.abs(r) * np.sqrt(p + q), 0)
     wanted = np.zeros(1 << BITS, bool)
     wanted[np.argsort(-worth, kind="stable")[:kept]] = True
     wanted &= worth > 0
     if not wanted.any():
-        return np.zeros(1 << BITS), bias_of(summed[-1])
+        return np.zeros(1 << BITS), bias_of(total)
     rows = texts.mapInArrow(_presence(spark.sparkContext.broadcast(wanted)), "toxic int, own array<int>").toArrow()
     own = rows.column("own").combine_chunks()
     owner = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
@@ -148,7 +159,7 @@ def _score(model, threshold: float):
         weights, bias = model.value
         wanted = weights != 0
         for batch in batches:
-            for a, b in sliced(batch.column(2)):
+            for a, b in sliced(batch.column(2), SLICE):
                 doc, own = features(*characters(batch.column(2).slice(a, b - a)), wanted)
                 total = bias + np.bincount(doc, weights[own], minlength=b - a)
                 score = 1 / (1 + np.exp(-np.clip(total, -60, 60)))

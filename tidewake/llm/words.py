@@ -73,12 +73,12 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def sliced(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most SLICE_BYTES of text."""
+def sliced(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes of text, or of one longer text."""
     _, offsets = column_bytes(column)
     at, n = 0, len(offsets) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, min(end, n)
         at = end
 
