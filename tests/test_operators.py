@@ -4,13 +4,14 @@ import datetime as dt
 import hashlib
 import json
 import math
+import statistics
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, text
-from tidewake.operators import ingest, samples, selection, spatial, tracks
+from tidewake.operators import ingest, samples, selection, social, spatial, tracks
 from tidewake.sources import readers, writers
 from tidewake.streaming import messages
 
@@ -283,6 +284,39 @@ def test_selected_and_summaries(spark, tmp_path):
     assert out == {"config": {"radius_m": 5.0}, "splits": {"train": {"n": 3}, "val": {"n": 1}}}
 
 
+@pytest.mark.parametrize("n", [1, 2, 999])
+def test_numeric_summary(spark, n):
+    values = [(i * 37 % 101 - 40) / 8 for i in range(n)]
+    keyed = [(None if i % 3 == 0 else "a", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame([*keyed, ("a", None)], "k string, v double")
+
+    def want(own):
+        own = sorted(own)
+        return (len(own), *[round(x, 4) for x in (math.fsum(own) / len(own), statistics.median(own), own[round(0.9 * (len(own) - 1))], own[0], own[-1])])
+
+    assert [tuple(r) for r in selection.numeric_summary(df, "v").collect()] == [pytest.approx(want(values), abs=1e-4)]
+    got = {r.k: tuple(r)[1:] for r in selection.numeric_summary(df, "v", "k").collect()}
+    assert got == {k: pytest.approx(want([v for j, v in keyed if j == k]), abs=1e-4) for k in {j for j, _ in keyed}}
+
+
+def test_numeric_summary_of_nothing(spark):
+    empty = spark.createDataFrame([("a", None)], "k string, v double")
+    assert selection.numeric_summary(empty, "v", "k").count() == 0
+    assert [tuple(r) for r in selection.numeric_summary(empty, "v").collect()] == [(None,) * 6]
+
+
+def test_nearby_tracks(spark):
+    """The last points of near segments only, fewer where a segment is young."""
+    time = lambda k: T0 + dt.timedelta(seconds=20 * k)
+    lanes = {"a": (1, 55.0, 0), "b": (2, 55.001, 0), "c": (3, 55.001, 27), "d": (4, 55.5, 0)}
+    points = spark.createDataFrame([(m, s, time(k), lat, 10.0 + k * 1e-4) for s, (m, lat, first) in lanes.items() for k in range(first, 40)], "mmsi long, segment_id string, timestamp_utc timestamp, lat double, lon double")
+    targets = spark.createDataFrame([("x", 1, "a", time(30))], "sample_id string, mmsi long, segment_id string, hist_end_ts timestamp")
+    snaps = points.where(F.col("timestamp_utc") == F.lit(time(30)))
+    got = sorted((r.segment_id, r.back, r.timestamp_utc) for r in social.nearby_tracks(targets, snaps, points).collect())
+    want = [("b", k + 1, time(30 - k)) for k in range(15)] + [("c", k + 1, time(30 - k)) for k in range(4)]
+    assert [(s, b) for s, b, _ in got] == [(s, b) for s, b, _ in want] and [t.timestamp() for *_, t in got] == [t.timestamp() for *_, t in want]
+
+
 def test_stream_sessions(spark, tmp_path):
     rows = [(1, T0 + dt.timedelta(seconds=s)) for s in (0, 0, 60, 2000, 2060, 9000)]
     spark.createDataFrame(rows, "mmsi long, timestamp_utc timestamp").coalesce(1).write.parquet(str(tmp_path / "s"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,8 @@ GROUP_WEIGHTS = {"cargo_tanker": 1.0, "passenger_ferry": 0.9}
 MOTION_EDGES = {"representative": (600.0, 1500.0), "quality": (700.0, 1700.0)}
 ALLOWED = ("cargo_tanker", "passenger_ferry")
 STRATUM = ("ship_group", "speed_bin", "motion_bin")
+#: Ranges of values that numeric_summary adds counts up in.
+RANGES = 64
 
 
 def average_speed(hist: Column, fut: Column) -> Column:
@@ -378,10 +382,22 @@ def selected_rows(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Mean, median, nearest-rank p90, min, max to 4 decimals. Values are counted first, so no group is collected whole."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    values = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    values = values.withColumns({"_to": F.sum("_n").over(w.orderBy(column)), "_all": F.sum("_n").over(w)})
+    """Mean, median, nearest-rank p90, min, max to 4 decimals.
+
+    Values are counted first, and the counts added up range by range between approximate quantiles: neither a group nor
+    the whole table is in one task. The ranges decide where the work is done, never the result. Nulls are left out; without
+    keys a table of nothing else gives one row of nulls.
+    """
+    ends = df.agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+    range_of = F.size(F.filter(F.array(*map(F.lit, sorted(set(ends)))), lambda end: end <= F.col(column))) if ends else F.lit(0)
+    values = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n")).withColumn("_range", range_of)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sums = values.groupBy(*keys, "_range").agg(F.sum("_n").alias("_own"))
+    sums = sums.withColumns({"_before": F.sum("_own").over(group.orderBy("_range")) - F.col("_own"), "_all": F.sum("_own").over(group)})
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "_range")], "_before", "_all")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "_range")])
+    within = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(column))
+    values = values.withColumn("_within", within).join(sums, same).withColumn("_to", F.col("_before") + F.col("_within")).select(*keys, column, "_n", "_to", "_all")
     place = F.bround(0.9 * (F.col("_all") - 1)).cast("long")
     pick = lambda k: F.min(F.when(F.col("_to") > k, F.col(column)))
     middle = (pick(F.floor((F.col("_all") - 1) / 2)) + pick(F.floor(F.col("_all") / 2))) / 2

@@ -111,15 +111,19 @@ def nearest_in_time(points: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def nearby_tracks(target: DataFrame, snaps: DataFrame, points: DataFrame, radius_m: float = 2000.0, last: int = 15) -> DataFrame:
-    """For each target the last points, up to its time, of other segments that are near at that time."""
+    """For each target the last points, up to its time, of other segments that are near at that time.
+
+    snaps are rows of points. A segment's points are numbered once and the wanted numbers looked up, so no past is read whole.
+    """
     own = target.select("sample_id", "mmsi", "segment_id", F.col("hist_end_ts").alias("timestamp_utc")).join(snaps.select("timestamp_utc", "mmsi", "segment_id", "lat", "lon"), ["timestamp_utc", "mmsi", "segment_id"])
     own = own.withColumn("_cell", _cells(radius_m, "lat", "lon", False))
     other = snaps.select("timestamp_utc", F.col("segment_id").alias("n_segment_id"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")).withColumn("_cell", F.explode(_cells(radius_m, "n_lat", "n_lon", True)))
     near = own.join(other, ["timestamp_utc", "_cell"]).where((F.col("segment_id") != F.col("n_segment_id")) & (F.hypot(geo.planar_x(F.col("n_lon"), F.col("lat"), F.col("lon")), geo.planar_y(F.col("n_lat"), F.col("lat"))) <= radius_m))
     near = near.select("sample_id", F.col("n_segment_id").alias("segment_id"), F.col("timestamp_utc").alias("hist_end_ts")).distinct()
-    rows = near.join(points.select("segment_id", "timestamp_utc", "lat", "lon"), "segment_id").where("timestamp_utc <= hist_end_ts")
-    rank = F.row_number().over(Window.partitionBy("sample_id", "segment_id").orderBy(F.desc("timestamp_utc")))
-    return rows.withColumn("back", rank).where(F.col("back") <= last).drop("hist_end_ts")
+    numbered = points.select("segment_id", "timestamp_utc", "lat", "lon", F.row_number().over(Window.partitionBy("segment_id").orderBy("timestamp_utc")).alias("_i"))
+    ends = near.join(numbered.select("segment_id", F.col("timestamp_utc").alias("hist_end_ts"), F.col("_i").alias("_end")), ["segment_id", "hist_end_ts"])
+    wanted = ends.select("sample_id", "segment_id", "_end", F.explode(F.sequence(F.lit(1), F.least(F.lit(last), F.col("_end")))).alias("back")).withColumn("_i", F.col("_end") - F.col("back") + 1)
+    return wanted.join(numbered, ["segment_id", "_i"]).select("segment_id", "sample_id", "timestamp_utc", "lat", "lon", "back")
 
 
 def left_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], required: bool = False) -> DataFrame:
