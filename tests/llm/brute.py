@@ -5,7 +5,7 @@ import itertools
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -195,3 +195,82 @@ def history_gains(rows, model, v, folds=10, held_out=0, rounds=2):
             weights[f] += math.log((right[f] + 1) / (expected[f] + 1) / ((n[f] - right[f] + 1) / (n[f] - expected[f] + 1))) / 3
     loss = lambda x, b: math.log1p(math.exp(x if b == 0 else -x))
     return {i: sum(loss(odds[x], b) - loss(odds[x] + sum(weights[f] for f in fs), b) for x, b, fs in way) / math.log(10) for i, way in ways.items()}
+
+
+def damage(rows):
+    """rows: (conv_id, turn, role, text) -> what is left of each conversation, in order."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out[conv] += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return {c: sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())) for c, x in out.items()}
+
+
+def faults(rows):
+    """The first fault of each row of a conversation after damage."""
+    seen, out = set(), []
+    for _, role, text in rows:
+        bare = re.sub("[ \t-\r]", "", text)
+        out.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def repair(rows):
+    """rows of one conversation after damage -> gaps, blank, duplicate, truncated, illegal, cost, audit, digest; tries every sequence of edits."""
+    found = faults(rows)
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    best = [(3 * len(rows) + 1, "~", None)]
+
+    def walk(at, lines, cost, audit, put):
+        """put: turns inserted in a row."""
+        if cost > best[0][0]:
+            return
+        initials = "".join(r[:1] or "-" for r, _ in lines)
+        if at == len(rows) and re.fullmatch("(s?(ua)+)?", initials):
+            best[0] = min(best[0], (cost, audit, lines), key=lambda x: x[:2])
+        if not re.match("s?(ua)*u?$", initials):
+            return
+        if put < 2:
+            for role in ("user", "assistant"):
+                walk(at, [*lines, (role, "")], cost + 2, audit + "I", put + 1)
+        if at < len(rows):
+            _, role, text = rows[at]
+            walk(at + 1, lines, cost + 3, audit + "D", 0)
+            if found[at] not in ("blank", "duplicate"):
+                more = found[at] == "truncated"
+                walk(at + 1, [*lines, (role, text)], cost + more, audit + "K", 0)
+                for other in ("user", "assistant"):
+                    walk(at + 1, [*lines, (other, text)], cost + 2 + more, audit + "R", 0)
+
+    walk(0, [], 0, "", 0)
+    cost, audit, lines = best[0]
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in lines).encode()).hexdigest()
+    return gaps, *(found.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest
+
+
+def collocations(rows, least, longest, best):
+    """rows: (lang, text) -> rows (lang, rank, phrase, a, l, r, n, score)."""
+    f, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            w = re.findall("[^ \t]+", piece)
+            total[lang] += len(w)
+            f[lang].update(tuple(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        often = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        rated = []
+        for p, a in often.items():
+            if any(b >= a and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in often.items()):
+                continue
+            score, k = min((1000 * a * total[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            rated.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(rated)[:best])]
+    return sorted(out)

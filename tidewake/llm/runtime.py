@@ -76,3 +76,13 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
             break
         cut = at
     return counts.where(level >= cut)
+
+
+def labelled_sample(known: DataFrame, most: int) -> DataFrame:
+    """At most so many rows (doc_id, label): those of the lowest hashes of doc_id.
+
+    A threshold on the hash that leaves a few more than wanted comes first, so that only those are sorted.
+    """
+    share = min(1.0, (most + 6 * most**0.5 + 16) / max(known.count(), 1))
+    few = known.where(F.xxhash64("doc_id") <= int(-(2**63) + share * (2**64 - 1025)))
+    return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
