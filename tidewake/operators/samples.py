@@ -11,19 +11,27 @@ from ..plans.config import DEFAULT, Thresholds
 from .tracks import SEGMENT, along, seconds
 
 
+#: Columns of a window's rows.
+ROW = ("timestamp_utc", "lat", "lon", "sog", "cog", "heading", "is_gap_imputed_point", "is_grid_interpolated_point", "is_interpolated_point", "gap_class_before", "ship_type")
+
+
 def make_windows(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Windows of hist + fut rows at every window_step-th row of a segment, as arrays in order of time.
 
     Each row goes to the windows that it belongs to, so only windows that are returned are built.
     """
     size = limits.hist_points + limits.fut_points
-    row = F.struct("timestamp_utc", "lat", "lon", "sog", "cog", "heading", "is_gap_imputed_point", "is_grid_interpolated_point", "is_interpolated_point", "gap_class_before", "ship_type")
     df = df.withColumns({"_i": F.row_number().over(along()) - 1, "_count": F.count("*").over(Window.partitionBy(*SEGMENT))})
     step = limits.window_step
     low = F.ceil(F.greatest(F.lit(0), F.col("_i") - (size - 1)) / step).cast("int") * step
     high = F.floor(F.least(F.col("_i"), F.col("_count") - size) / step).cast("int") * step
     df = df.where((F.col("_count") >= size) & (low <= high)).withColumn("_start", F.explode(F.sequence(low, high, F.lit(step))))
-    df = df.groupBy(*SEGMENT, F.col("_start").alias("_i")).agg(F.array_sort(F.collect_list(row)).alias("_w"))
+    df = df.groupBy(*SEGMENT, F.col("_start").alias("_i")).agg(F.array_sort(F.collect_list(F.struct(*ROW))).alias("_w"))
+    return named_windows(df)
+
+
+def named_windows(df: DataFrame) -> DataFrame:
+    """Windows as columns of arrays, from rows (mmsi, segment_id, _i: number of the first row, _w: rows in order of time)."""
     field = lambda c: F.transform("_w", lambda r: r[c])
     rounded = lambda c, k: F.transform("_w", lambda r: geo.half_even(r[c], k)).alias(c)
     kind = at(F.col("_w"), -1)["ship_type"]

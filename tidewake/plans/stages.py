@@ -5,15 +5,24 @@ This cuts lineage between long chains, keeps plans small, and lets a lost execut
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def ship_code() -> None:
+    """Send this package's functions and classes to the workers by value, so that executors need no copy of it."""
+    package = sys.modules[__name__.split(".")[0]]
+    if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset (tests), a temporary folder of this machine, which is an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

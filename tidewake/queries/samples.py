@@ -12,15 +12,21 @@ from . import chain
 from .fixtures import settled
 
 
-@query(chain.sql("""SELECT sample_id, any_value(mmsi) AS mmsi, any_value(segment_id) AS segment_id, count(*) AS points, min(us) AS start_time, max(us) AS end_time, round(sum(round_even(sog * 1e4, 0) / 1e4), 5) AS sum_sog,
-  count(*) FILTER (gap_imputed) AS imputed, count(*) FILTER (grid_interp) AS grid_interpolated FROM points GROUP BY 1""", "points"))
-def sliding_windows(spark, d):
+WINDOWS = chain.sql("""SELECT sample_id, any_value(mmsi) AS mmsi, any_value(segment_id) AS segment_id, count(*) AS points, min(us) AS start_time, max(us) AS end_time, round(sum(round_even(sog * 1e4, 0) / 1e4), 5) AS sum_sog,
+  count(*) FILTER (gap_imputed) AS imputed, count(*) FILTER (grid_interp) AS grid_interpolated FROM points GROUP BY 1""", "points")
+
+
+def window_facts(df):
     n = lambda c: F.size(F.filter(c, lambda v: v)).cast("long")
-    df = chain.windows(spark, d)
     return settled(df.select("sample_id", "mmsi", "segment_id", F.size("lat").cast("long").alias("points"), at(F.col("timestamps"), 0).alias("start_time"), at(F.col("timestamps"), -1).alias("end_time"),
         F.when(F.exists("sog", F.isnotnull), F.round(total(F.filter("sog", F.isnotnull)), 5)).alias("sum_sog"), n("gap_imputed").alias("imputed"), n("grid_interp").alias("grid_interpolated")))
 
 
+@query(WINDOWS)
+def sliding_windows(spark, d):
+    return window_facts(chain.windows(spark, d))
+
+
 @query(chain.sql("SELECT segment_id, CAST(count(*) AS BIGINT) AS windows FROM starts GROUP BY 1", "starts"))
 def window_counts(spark, d):
     return chain.windows(spark, d).groupBy("segment_id").agg(F.count("*").alias("windows"))

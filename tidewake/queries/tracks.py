@@ -10,13 +10,21 @@ from . import chain
 from .fixtures import settled
 
 
-@query(chain.sql("SELECT mmsi, us AS timestamp_utc, segment_id, reason AS segment_break_before, dt AS dt_to_prev_seconds, round(implied, 4) AS implied_speed FROM seg", "seg"))
-def segment_tracks(spark, d):
-    df = chain.segmented(spark, d).withColumn("implied_speed", F.round("implied_speed_from_prev_knots", 4))
+SEGMENTED = chain.sql("SELECT mmsi, us AS timestamp_utc, segment_id, reason AS segment_break_before, dt AS dt_to_prev_seconds, round(implied, 4) AS implied_speed FROM seg", "seg")
+SUMMARY = chain.sql("SELECT mmsi, segment_id, min(us) AS start_time, max(us) AS end_time, count(*) AS num_points FROM seg GROUP BY 1, 2", "seg")
+
+
+def segment_facts(df):
+    df = df.withColumn("implied_speed", F.round("implied_speed_from_prev_knots", 4))
     return settled(df, keep=("mmsi", "timestamp_utc", "segment_id", "segment_break_before", "dt_to_prev_seconds", "implied_speed"))
 
 
-@query(chain.sql("SELECT mmsi, segment_id, min(us) AS start_time, max(us) AS end_time, count(*) AS num_points FROM seg GROUP BY 1, 2", "seg"))
+@query(SEGMENTED)
+def segment_tracks(spark, d):
+    return segment_facts(chain.segmented(spark, d))
+
+
+@query(SUMMARY)
 def segment_summary(spark, d):
     return settled(tracks.segment_summary(chain.segmented(spark, d)))
 

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("ingest", "tracks", "samples", "selection", "spatial", "social", "reports")
+MODULES = ("ingest", "tracks", "samples", "selection", "spatial", "social", "reports", "streams")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
