@@ -88,7 +88,7 @@ def lines(seed, n):
     return out
 
 
-@pytest.mark.parametrize("shard", [8 << 20, 60])
+@pytest.mark.parametrize("shard", [6 << 20, 60])
 def test_collocations(spark, monkeypatch, shard):
     monkeypatch.setattr(phrases, "SHARD", shard)
     rows = lines(3, 300) + [("en", None), (None, ""), ("de", " \n "), ("de", "x" * 50_000), ("fr", "long text " * 5_000), ("es", "A B C D E F. " * 9)]

@@ -6,8 +6,8 @@ the word in front; a class's suffix link is the class that it refines, its endpo
 automaton's link tree built depth by depth with sorts in numpy, not word by word; transitions aren't needed to enumerate.)
 
 Counts of phrases that can't be frequent are never sent: a phrase occurs at most as often as any part of it. Words are
-counted first, then pairs of frequent words, by 64-bit hashes; what is frequent becomes a bitmap of fixed size, which may
-let others pass but never holds back a frequent one. Phrases of pairs that pass are then counted by their own words.
+counted first, then pairs of frequent words, then triples of such pairs, by hashes; what is frequent becomes a bitmap of
+fixed size, which may let others pass but never holds back a frequent one. What passes is then counted by its own words.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import prepare, workspace, written
-from .words import _GOLD, find_words, mix, signed, sliced
+from .words import _GOLD, column_bytes, find_words, mix, sliced
 
 _B = np.arange(256)
 SEPARATOR = np.isin(_B, list(b".,;:!?\n\x0b\x0c\r"))
 WORD = ~(SEPARATOR | np.isin(_B, list(b" \t")))
 #: Bytes of text of a shard (or one longer text).
-SHARD = 8 << 20
+SHARD = 6 << 20
 #: Bits of the bitmaps, as a power of two: 8 MB each.
 BITMAP = 26
 #: Salted groups that a language's best phrases are first taken from.
@@ -71,49 +71,76 @@ def refined(state: np.ndarray, ends: np.ndarray, front: np.ndarray, size: int) -
 
 
 def passing(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the bitmap has each hash's bit: its first bits name a word of 64 bits, its last six the bit."""
-    return (bitmap[hashes >> np.uint64(70 - BITMAP)] >> (hashes & np.uint64(63))) & np.uint64(1) > 0
+    """Whether the bitmap has each hash's bit: its first bits name a word of 64 bits, six more the bit."""
+    return (bitmap[hashes >> np.uint64(70 - BITMAP)] >> (hashes >> np.uint64(32) & np.uint64(63))) & np.uint64(1) > 0
 
 
-def pair_hashes(shard: Shard, ends: np.ndarray) -> np.ndarray:
-    return mix(shard.hashes[shard.word[ends - 1]] * _GOLD + shard.hashes[shard.word[ends]])
+def phrase_hashes(shard: Shard, ends: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of the last `depth` words up to each of these places."""
+    total = shard.hashes[shard.word[ends]]
+    for k in range(1, depth):
+        total = mix(total * _GOLD + shard.hashes[shard.word[ends - k]])
+    return total
 
 
-def frequent_pairs(shard: Shard, words: np.ndarray) -> np.ndarray:
-    """Places where a pair of frequent words ends."""
-    good = passing(words, shard.hashes)[shard.word]
-    ends = np.flatnonzero(good & (shard.run > 1))
-    return ends[good[ends - 1]]
+def enumerated(shard: Shard, bitmaps: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, a place of each state, endpos counts) of the automaton's states that pass the bitmaps, one for each of the first depths.
+
+    A phrase is looked at where both the one without its last and the one without its first word passed.
+    """
+    ends, state = np.arange(len(shard.word)), shard.word
+    good = np.ones(len(shard.word), bool)
+    n = np.bincount(state, minlength=len(shard.hashes))
+    at = np.empty(len(shard.hashes), np.int64)
+    at[state] = ends
+    for depth in range(1, longest + 1):
+        if depth > 1:
+            deep = (shard.run[ends] >= depth) & good[ends - 1]
+            ends, state = ends[deep], state[deep]
+            state, n, at = refined(state, ends, shard.word[ends - depth + 1], len(shard.hashes))
+        if depth <= len(bitmaps):
+            passed = passing(bitmaps[depth - 1], phrase_hashes(shard, at, depth))
+            here = passed[state]
+            ends, state = ends[here], state[here]
+            yield depth, at[passed], n[passed]
+        else:
+            yield depth, at, n
+        good = np.zeros(len(shard.word), bool)
+        good[ends] = True
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, list]]:
-    """Shards of rows (lang, text), with the names of their languages."""
-    for batch in batches:
-        for a, b in sliced(batch.column(1), SHARD):
-            named = batch.column(0).slice(a, b - a).dictionary_encode()
+    """Shards of rows (lang, text), with the names of their languages: as many batches as have SHARD bytes, cut where they have more."""
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[tuple[Shard, list]]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        langs, texts = (whole.column(k).combine_chunks() for k in range(2))
+        for a, b in sliced(texts, SHARD):
+            named = langs.slice(a, b - a).dictionary_encode()
             names = named.dictionary.to_pylist()
             kinds = find_words(pa.array(["=" + x for x in names]), np.ones(256, bool), lower=False).hashes
-            yield shard_of(named.indices, batch.column(1).slice(a, b - a), kinds), names
-
-
-def _counted(hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(n.astype(np.int64))], ["hash", "n"])
+            yield shard_of(named.indices, texts.slice(a, b - a), kinds), names
 
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, text) to counts of words by hash."""
-    for shard, _ in _shards(batches):
-        yield _counted(shard.hashes, np.bincount(shard.word, minlength=len(shard.hashes)))
+    held, size = [], 0
+    for batch in batches:
+        more = len(column_bytes(batch.column(1))[0])
+        if held and size + more > SHARD:
+            yield from made(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield from made(held)
 
 
-def _pair_counts(words):
-    """Rows (lang, text) to counts of pairs of frequent words by hash."""
+def _hash_counts(bitmaps, depth: int):
+    """Rows (lang, text) to counts of phrases of so many words by hash (32 bits: like ones pass the bitmap together)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, _ in _shards(batches):
-            ends = frequent_pairs(shard, words.value)
-            _, n, at = refined(shard.word[ends], ends, shard.word[ends - 1], len(shard.hashes))
-            yield _counted(pair_hashes(shard, at), n)
+            *_, (_, at, n) = enumerated(shard, [b.value for b in bitmaps], depth)
+            key = (phrase_hashes(shard, at, depth) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     return run
 
@@ -124,22 +151,7 @@ def phrase_texts(shard: Shard, texts: bytes, ends: np.ndarray, depth: int) -> li
     return [b" ".join(x).decode() for x in zip(*(column(ends - depth + 1 + j) for j in range(depth)))]
 
 
-def enumerated(shard: Shard, words: np.ndarray, pairs: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, a place of each state, endpos counts) of the automaton's states whose words and pairs pass the bitmaps."""
-    ends = np.flatnonzero(passing(words, shard.hashes)[shard.word])
-    both = frequent_pairs(shard, words)
-    live = np.zeros(len(shard.word), bool)
-    live[both[passing(pairs, pair_hashes(shard, both))]] = True
-    _, first, state, n = np.unique(shard.word[ends], return_index=True, return_inverse=True, return_counts=True)
-    at = ends[first]
-    for depth in range(1, longest + 1):
-        yield depth, at, n
-        deep = live[ends - depth + 1]  # the pair in front of what stands so far
-        ends, state = ends[deep], state[deep]
-        state, n, at = refined(state, ends, shard.word[ends - depth], len(shard.hashes))
-
-
-def _phrase_counts(words, pairs, longest: int):
+def _phrase_counts(bitmaps, longest: int):
     """Rows (lang, text) to counts of phrases; the empty phrase counts all words of its language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +159,7 @@ def _phrase_counts(words, pairs, longest: int):
             name, texts = pa.array(names, pa.string()), shard.data.tobytes()
             every = np.bincount(shard.lang, minlength=len(names))
             yield pa.RecordBatch.from_arrays([name, pa.array([""] * len(names)), pa.array(every.astype(np.int64))], ["lang", "phrase", "n"])
-            for depth, at, n in enumerated(shard, words.value, pairs.value, longest):
+            for depth, at, n in enumerated(shard, [b.value for b in bitmaps], longest):
                 for k in range(0, len(at), 1 << 16):
                     part = at[k : k + (1 << 16)]
                     columns = [name.take(pa.array(shard.lang[part])), pa.array(phrase_texts(shard, texts, part, depth)), pa.array(n[k : k + (1 << 16)].astype(np.int64))]
@@ -159,19 +171,23 @@ def _phrase_counts(words, pairs, longest: int):
 def bitmap(counts: DataFrame, least: int) -> np.ndarray:
     """The bitmap of hashes that occur so often; put together on Spark, so no more than its words reach the driver."""
     frequent = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    cells = frequent.groupBy(F.shiftrightunsigned("hash", 70 - BITMAP).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(hash & 63 as int)))").alias("bits")).toArrow()
+    cells = frequent.groupBy(F.shiftrightunsigned("hash", 38 - BITMAP).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, hash & 63))").alias("bits")).toArrow()
     out = np.zeros(1 << (BITMAP - 6), np.uint64)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
-    """(lang, phrase, n) of all phrases up to `longest` words that occur `least` times or more, and n of the empty one: all words."""
+def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, filters: int = 3) -> DataFrame:
+    """(lang, phrase, n) of all phrases up to `longest` words that occur `least` times or more, and n of the empty one: all words.
+
+    filters: depths that are counted by hash before, each by its own pass over the texts.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = spark.sparkContext.broadcast(bitmap(rows.mapInArrow(_word_counts, "hash long, n long"), least))
-    pairs = spark.sparkContext.broadcast(bitmap(rows.mapInArrow(_pair_counts(words), "hash long, n long"), least))
-    found = rows.mapInArrow(_phrase_counts(words, pairs, longest), "lang string, phrase string, n long")
+    bitmaps = []
+    for depth in range(1, min(filters, longest) + 1):
+        bitmaps.append(spark.sparkContext.broadcast(bitmap(rows.mapInArrow(_hash_counts(tuple(bitmaps), depth), "hash int, n long"), least)))
+    found = rows.mapInArrow(_phrase_counts(bitmaps, longest), "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
