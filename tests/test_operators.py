@@ -210,19 +210,6 @@ def test_clip_stays_inside(spark):
     assert got[0] == (0.25, 0.75) and got[1] == (0.0, 1.0) and got[2] is None and got[3] is None and got[4] == (0.5, 0.5) and got[5] == (0.0, 1.0)
 
 
-def test_flood_and_distance():
-    import numpy as np
-
-    barrier = np.zeros((16, 16), bool)
-    barrier[:, 5] = True
-    water = spatial.flood(barrier)
-    assert water[:, 6:].all() and not water[:, :6].any()
-    d = spatial.distance_map(barrier, 8.0)
-    assert d[3, 5] == 0 and d[3, 9] == pytest.approx(4.0) and spatial.distance_map(np.zeros((4, 4), bool), 7.0).min() == 7.0
-    ring = np.ones((16, 16), bool)
-    assert not spatial.flood(ring).any()
-
-
 def test_regions_join_diagonally(spark):
     tiles = spark.createDataFrame([("+055.000_+0010.000",), ("+055.250_+0010.250",), ("+055.500_+0011.000",)], "tile_id string")
     got = {r.tile_id: r.region_cluster for r in spatial.region_clusters(tiles).collect()}

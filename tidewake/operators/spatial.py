@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, grids
 from ..plans.config import EARTH_RADIUS_M
-from ..plans.stages import shared_folder
+from ..plans.stages import shared_folder, ship_code
 
 #: Tag values of the two way categories.
 SHORE_WATERWAYS, FRONT_STRUCTURES = ("riverbank", "dock", "canal"), ("pier", "breakwater", "groyne", "quay")
@@ -130,68 +130,36 @@ def environment_v1(anchors: DataFrame, ways: DataFrame, radius_m: float = 2048.0
     return out
 
 
-def flood(barrier: np.ndarray) -> np.ndarray:
-    """Cells joined to the centre without crossing a barrier; a barred centre moves to a free cell within four rings."""
-    n = len(barrier)
-    c = (n // 2, n // 2)
-    if barrier[c]:
-        free = [(max(abs(y), abs(x)), y, x) for y in range(-4, 5) for x in range(-4, 5) if 0 <= c[0] + y < n and 0 <= c[1] + x < n and not barrier[c[0] + y, c[1] + x]]
-        if not free:
-            return np.zeros_like(barrier)
-        _, y, x = min(free)
-        c = (c[0] + y, c[1] + x)
-    water = np.zeros_like(barrier)
-    water[c] = True
-    while True:  # one step in all four directions at a time
-        grown = water.copy()
-        grown[1:] |= water[:-1]
-        grown[:-1] |= water[1:]
-        grown[:, 1:] |= water[:, :-1]
-        grown[:, :-1] |= water[:, 1:]
-        grown &= ~barrier
-        if (grown == water).all():
-            return water
-        water = grown
-
-
-def distance_map(mask: np.ndarray, radius_m: float) -> np.ndarray:
-    """Metres from each cell to the nearest set one, by columns then rows (exact); the radius if none is set."""
-    n = len(mask)
-    if not mask.any():
-        return np.full((n, n), radius_m, np.float32)
-    k = np.arange(n)
-    column = np.where(mask[None, :, :], np.abs(k[:, None, None] - k[None, :, None]), 10 * n).min(1).astype(float)
-    square = (column[:, None, :] ** 2 + (k[None, :, None] - k[None, None, :]) ** 2).min(2)
-    return (np.sqrt(square) * 2 * radius_m / n).astype(np.float32)
-
-
 V2 = "sample_id string, water_ratio double, navigable_ratio double, natural_boundary_density double, manmade_boundary_density double, barrier_density double, anchor_in_water int, anchor_in_navigable int, anchor_on_barrier int, masks binary, distances binary"
+#: Masks and signed distance maps of version 2, in the order in which they are kept; grids worked on at once.
+MASKS, DISTANCES, GRIDS = ("land", "water", "navigable", "natural", "manmade", "barrier"), ("shore", "navigable"), 64
 
 
 def _rasters_v2(radius_m: float, size: int):
+    def marked(cells: pd.Series) -> np.ndarray:
+        out = np.zeros((len(cells), size * size), bool)
+        for own, at in zip(out, cells):
+            own[np.asarray(at, np.int64)] = True
+        return out.reshape(-1, size, size)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = size // 2
         for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                natural, manmade = np.zeros((2, size * size), bool)
-                natural[np.array(r.natural, np.int64)] = True
-                manmade[np.array(r.manmade, np.int64)] = True
-                natural, manmade = natural.reshape(size, size), manmade.reshape(size, size)
+            for k in range(0, len(frame), GRIDS):
+                part = frame.iloc[k : k + GRIDS]
+                natural, manmade = marked(part["natural"]), marked(part["manmade"])
                 barrier = natural | manmade
-                water = flood(barrier)
-                wide = barrier.copy()
-                wide[1:] |= barrier[:-1]
-                wide[:-1] |= barrier[1:]
-                wide[:, 1:] |= barrier[:, :-1]
-                wide[:, :-1] |= barrier[:, 1:]
-                nav = water & ~wide
-                nav[c, c] |= water[c, c]
-                shore, lane = distance_map(barrier, radius_m) * np.where(water, 1, -1), distance_map(~nav, radius_m) * np.where(nav, 1, -1)
-                share = lambda m: float(m.mean())
-                masks = np.packbits(np.stack([~water, water, nav, natural, manmade, barrier])).tobytes()
-                rows.append((r.sample_id, share(water), share(nav), share(natural), share(manmade), share(barrier), int(water[c, c]), int(nav[c, c]), int(barrier[c, c]), masks, np.stack([shore, lane]).astype(np.float32).tobytes()))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in V2.split(", ")])
+                water = grids.flooded(barrier)
+                nav = water & ~grids.beside(barrier)
+                nav[:, c, c] |= water[:, c, c]
+                shore = grids.distances_m(barrier, radius_m) * np.where(water, 1, -1)
+                lane = grids.distances_m(~nav, radius_m) * np.where(nav, 1, -1)
+                masks = np.packbits(np.stack([~water, water, nav, natural, manmade, barrier], 1).reshape(len(part), -1), axis=1)
+                distances = np.stack([shore, lane], 1).astype(np.float32)
+                shares = [m.reshape(len(part), -1).mean(1) for m in (water, nav, natural, manmade, barrier)]
+                centres = [m[:, c, c].astype(int) for m in (water, nav, barrier)]
+                rows = zip(part["sample_id"], *shares, *centres, (m.tobytes() for m in masks), (d.tobytes() for d in distances))
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in V2.split(", ")])
 
     return run
 
@@ -199,19 +167,17 @@ def _rasters_v2(radius_m: float, size: int):
 def environment_v2(anchors: DataFrame, ways: DataFrame, radius_m: float = 5000.0, size: int = 128, step_m: float = 32.0, deg: float = 0.25) -> DataFrame:
     """Boundary descriptors, masks and signed distance maps of each sample. ways are those of version 2.
 
-    Segments and cells are relational; the flood fill and distance maps run in numpy for one grid at a time.
+    Segments and cells are relational; floods and distance maps are made in numpy for a batch of grids at once.
     """
+    ship_code()
     parts = clipped_segments(anchors, ways, radius_m, deg)
-    stats = category_summary(parts)
     cells = raster_cells(parts, radius_m, size, step_m, flip=True).withColumn("cell", F.col("gy") * size + F.col("gx"))
     pick = lambda k: F.collect_list(F.when(F.col("category") == LABELS[2][k], F.col("cell")))
-    grids = anchors.select("sample_id").join(cells.groupBy("sample_id").agg(pick(0).alias("natural"), pick(1).alias("manmade")), "sample_id", "left")
+    grid = anchors.select("sample_id").join(cells.groupBy("sample_id").agg(pick(0).alias("natural"), pick(1).alias("manmade")), "sample_id", "left")
     empty = F.array().cast("array<int>")
-    rasters = grids.select("sample_id", F.coalesce("natural", empty).alias("natural"), F.coalesce("manmade", empty).alias("manmade")).mapInPandas(_rasters_v2(radius_m, size), V2)
-    out = anchors.join(rasters, "sample_id")
-    for short, name in zip(("natural", "manmade"), LABELS[2]):
-        own = stats.where(F.col("category") == name).select("sample_id", F.struct("min_dist_m", "total_length_m").alias(short))
-        out = out.join(own, "sample_id", "left")
+    rasters = grid.select("sample_id", F.coalesce("natural", empty).alias("natural"), F.coalesce("manmade", empty).alias("manmade")).mapInPandas(_rasters_v2(radius_m, size), V2)
+    both = category_summary(parts).groupBy("sample_id").agg(*[F.first(F.when(F.col("category") == name, F.struct("min_dist_m", "total_length_m")), ignorenulls=True).alias(k) for k, name in zip(("natural", "manmade"), LABELS[2])])
+    out = anchors.join(rasters, "sample_id").join(both, "sample_id", "left")
     shore, made = (F.coalesce(F.col(f"{k}.min_dist_m"), F.lit(radius_m)) for k in ("natural", "manmade"))
     out = out.withColumns({
         "nearest_shore_dist_m": F.round(shore, 3), "nearest_manmade_dist_m": F.round(made, 3), "nearest_barrier_dist_m": F.round(F.least(shore, made), 3),
@@ -224,6 +190,35 @@ def environment_v2(anchors: DataFrame, ways: DataFrame, radius_m: float = 5000.0
     return out.withColumns({f"scene_{s}": (F.col("scene_type") == s).cast("int") for s in ("open_water", "nearshore", "harbor", "constrained")})
 
 
+def mask_rows(env: DataFrame, size: int = 128) -> DataFrame:
+    """(sample_id, gy, mask, cells): each mask's row as a string of 0 and 1, rows without any cell left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for sample, packed in zip(frame["sample_id"], frame["masks"]):
+                bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(len(MASKS), size, size)
+                at = np.argwhere(bits.any(2))
+                yield pd.DataFrame([(sample, int(y), MASKS[m], "".join("01"[v] for v in bits[m, y])) for m, y in at], columns=["sample_id", "gy", "mask", "cells"])
+
+    ship_code()
+    return env.select("sample_id", "masks").mapInPandas(run, "sample_id string, gy int, mask string, cells string")
+
+
+def distances_at(env: DataFrame, every: int, size: int = 128) -> DataFrame:
+    """(sample_id, gy, gx, shore_m, navigable_m): signed distances at every so many cells, from half of it on."""
+    wanted = np.arange(every // 2, size, every)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for sample, raw in zip(frame["sample_id"], frame["distances"]):
+                maps = np.frombuffer(raw, np.float32).reshape(len(DISTANCES), size, size)[:, wanted][:, :, wanted]
+                y, x = np.meshgrid(wanted, wanted, indexing="ij")
+                yield pd.DataFrame({"sample_id": sample, "gy": y.ravel(), "gx": x.ravel(), "shore_m": maps[0].ravel(), "navigable_m": maps[1].ravel()})
+
+    ship_code()
+    return env.select("sample_id", "distances").mapInPandas(run, "sample_id string, gy int, gx int, shore_m double, navigable_m double")
+
+
 def scene_groups(env: DataFrame) -> DataFrame:
     """scene_group by distance, number and length of ways; tile_sample_count and density_group by samples in the tile."""
     front, shore = F.col("min_waterfront_dist_m"), F.col("min_shoreline_dist_m")

@@ -25,11 +25,11 @@ X, Y = "radians({lon} - anchor_lon) * cos(radians(anchor_lat)) * 6371000.0", "ra
 R = 2048.0
 
 
-def side(p: str, d: str, low: bool) -> str:
+def side(p: str, d: str, low: bool, r: float = R) -> str:
     inner, outer = ("least", "greatest") if low else ("greatest", "least")
     miss = "2.0" if low else "-1.0"
-    a, b = f"(-{R} - {p}) / nullif({d}, 0)", f"({R} - {p}) / nullif({d}, 0)"
-    return f"CASE WHEN {d} = 0 THEN CASE WHEN abs({p}) > {R} THEN {miss} ELSE {'0.0' if low else '1.0'} END ELSE {inner}({a}, {b}) END"
+    a, b = f"(-{r} - {p}) / nullif({d}, 0)", f"({r} - {p}) / nullif({d}, 0)"
+    return f"CASE WHEN {d} = 0 THEN CASE WHEN abs({p}) > {r} THEN {miss} ELSE {'0.0' if low else '1.0'} END ELSE {inner}({a}, {b}) END"
 
 
 MORE = {
@@ -141,10 +141,82 @@ def env_v1(spark, d):
     return env_of(spark, d).select("sample_id", "tile_id", *ENV.split(", "))
 
 
-@query()
+#: Version 2: the same by other names in a larger square, with rows that grow southwards; floods over runs of free cells.
+KIND2 = KIND.replace("shoreline", "natural").replace("waterfront", "manmade")
+R2, N2, EVERY = 5000.0, 128, 16
+MORE2 = {
+    **{k: MORE[k] for k in ("nodes", "anchors")},
+    "local2": MORE["local"].replace(KIND, KIND2), "pairs2": MORE["pairs"].replace("FROM local", "FROM local2"),
+    "cut2": f"SELECT *, greatest(0.0, {side('x', 'dx', True, R2)}, {side('y', 'dy', True, R2)}) AS t0, least(1.0, {side('x', 'dx', False, R2)}, {side('y', 'dy', False, R2)}) AS t1 FROM pairs2",
+    "parts2": MORE["parts"].replace("FROM cut", "FROM cut2"), "far2": MORE["far"].replace("FROM parts", "FROM parts2"),
+    "stats2": "SELECT sample_id, category, min(d) AS min_dist, sum(len) AS total FROM far2 GROUP BY 1, 2",
+    "cells2": f"""SELECT DISTINCT sample_id, category, gy, gx FROM (SELECT sample_id, category, CAST(floor(({R2} - (y0 + (y1 - y0) * (i / (m - 1)))) / {2 * R2} * {N2}) AS INT) AS gy, CAST(floor((x0 + (x1 - x0) * (i / (m - 1)) + {R2}) / {2 * R2} * {N2}) AS INT) AS gx
+      FROM (SELECT *, unnest(range(0, m)) AS i FROM (SELECT *, greatest(2, CAST(ceil(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / 32) AS BIGINT) + 1) AS m FROM parts2))) WHERE gy BETWEEN 0 AND {N2 - 1} AND gx BETWEEN 0 AND {N2 - 1}""",
+    "barrier": "SELECT DISTINCT sample_id, gy, gx FROM cells2",
+    "edges": f"SELECT sample_id, gy, gx FROM barrier UNION ALL SELECT sample_id, unnest(range(0, {N2})), {N2} FROM anchors",
+    "free": "SELECT sample_id, gy, a, b FROM (SELECT sample_id, gy, coalesce(lag(gx) OVER (PARTITION BY sample_id, gy ORDER BY gx), -1) + 1 AS a, gx - 1 AS b FROM edges) WHERE a <= b",
+    "starts2": f"""SELECT sample_id, y, x FROM (SELECT sample_id FROM anchors), (SELECT {N2 // 2} + dy AS y, {N2 // 2} + dx AS x, greatest(abs(dy), abs(dx)) AS ring FROM range(-4, 5) t(dy), range(-4, 5) u(dx))
+      WHERE (sample_id, y, x) NOT IN (SELECT sample_id, gy, gx FROM barrier) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ring, y, x) = 1""",
+    "water": """SELECT f.* FROM free f JOIN starts2 s ON s.sample_id = f.sample_id AND s.y = f.gy AND s.x BETWEEN f.a AND f.b
+      UNION SELECT f.* FROM water w JOIN free f ON f.sample_id = w.sample_id AND f.gy IN (w.gy - 1, w.gy + 1) AND f.a <= w.b AND f.b >= w.a""",
+    "wide": f"SELECT DISTINCT sample_id, gy + dy AS gy, gx + dx AS gx FROM barrier, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) o(dy, dx) WHERE gy + dy BETWEEN 0 AND {N2 - 1} AND gx + dx BETWEEN 0 AND {N2 - 1}",
+    "spots": f"SELECT sample_id, y, x FROM anchors, range({EVERY // 2}, {N2}, {EVERY}) t(y), range({EVERY // 2}, {N2}, {EVERY}) u(x)",
+    "off": f"SELECT w.*, EXISTS (SELECT 1 FROM water t WHERE t.sample_id = w.sample_id AND t.gy = w.gy AND w.gx BETWEEN t.a AND t.b) AS wet, w.gy = {N2 // 2} AND w.gx = {N2 // 2} AS mid FROM wide w",
+    "shut": "SELECT sample_id, gy, gx FROM off WHERE NOT (wet AND mid)",
+    "lost": "SELECT sample_id, gy, count(*) AS k, sum(gx) AS sx FROM off WHERE wet AND NOT mid GROUP BY 1, 2",
+    "rows2": """SELECT w.sample_id, w.gy, w.n AS water, w.sx AS sum_water, w.n - coalesce(l.k, 0) AS navigable, w.sx - coalesce(l.sx, 0) AS sum_navigable
+      FROM (SELECT sample_id, gy, CAST(sum(b - a + 1) AS BIGINT) AS n, CAST(sum((a + b) * (b - a + 1) / 2) AS BIGINT) AS sx FROM water GROUP BY 1, 2) w LEFT JOIN lost l USING (sample_id, gy)""",
+    "grid2": f"""SELECT a.sample_id, coalesce(w, 0) / {N2 * N2} AS water_ratio, coalesce(v, 0) / {N2 * N2} AS navigable_ratio, coalesce(nat, 0) / {N2 * N2} AS natural_boundary_density, coalesce(man, 0) / {N2 * N2} AS manmade_boundary_density, coalesce(bar, 0) / {N2 * N2} AS barrier_density,
+      CAST(s.sample_id IS NOT NULL AS INT) AS anchor_in_water, CAST(s.sample_id IS NOT NULL AS INT) AS anchor_in_navigable, CAST(c.sample_id IS NOT NULL AS INT) AS anchor_on_barrier
+      FROM anchors a LEFT JOIN (SELECT sample_id, sum(water) AS w, sum(navigable) AS v FROM rows2 GROUP BY 1) r USING (sample_id)
+      LEFT JOIN (SELECT sample_id, count(*) FILTER (category = 'natural') AS nat, count(*) FILTER (category = 'manmade') AS man FROM cells2 GROUP BY 1) k USING (sample_id) LEFT JOIN (SELECT sample_id, count(*) AS bar FROM barrier GROUP BY 1) b USING (sample_id)
+      LEFT JOIN (SELECT sample_id FROM starts2 WHERE y = {N2 // 2} AND x = {N2 // 2}) s USING (sample_id) LEFT JOIN (SELECT sample_id FROM barrier WHERE gy = {N2 // 2} AND gx = {N2 // 2}) c USING (sample_id)""",
+    "env2": f"""SELECT *, round(CASE WHEN manmade_boundary_density > 0.02 AND shore < 500 THEN 0 WHEN water_ratio < 0.45 OR navigable_ratio < 0.3 THEN 1 WHEN shore < 1200 THEN 2 ELSE 3 END) AS scene,
+      greatest(0.0, least(1.0, 0.25 * anchor_in_water + 0.35 * anchor_in_navigable + 0.2 * water_ratio + 0.2 * navigable_ratio)) AS score
+      FROM (SELECT g.*, round(coalesce(s.min_dist, {R2}), 3) AS shore, round(coalesce(m.min_dist, {R2}), 3) AS made, round(coalesce(s.total, 0), 3) AS natural_length, round(coalesce(m.total, 0), 3) AS manmade_length, s.min_dist IS NOT NULL AS has_n, m.min_dist IS NOT NULL AS has_m
+      FROM grid2 g LEFT JOIN (SELECT * FROM stats2 WHERE category = 'natural') s USING (sample_id) LEFT JOIN (SELECT * FROM stats2 WHERE category = 'manmade') m USING (sample_id))""",
+}
+
+
+def over2(body: str) -> str:
+    return chain.sql(body, "samples", **MORE2).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def env2_of(spark, d):
+    return stage(spark, "env2", d, lambda: spatial.environment_v2(anchors_of(spark, d), ways(spark, d, 2)))
+
+
+RATIOS = "water_ratio, navigable_ratio, natural_boundary_density, manmade_boundary_density, barrier_density, anchor_in_water, anchor_in_navigable, anchor_on_barrier"
+
+
+@query(over2(f"""SELECT sample_id, {RATIOS}, shore AS nearest_shore_dist_m, made AS nearest_manmade_dist_m, natural_length AS natural_boundary_length_m, manmade_length AS manmade_boundary_length_m,
+  CAST(has_n AS INT) AS has_natural_boundary, CAST(has_m AS INT) AS has_manmade_boundary, ['harbor', 'constrained', 'nearshore', 'open_water'][CAST(scene AS INT) + 1] AS scene_type, CAST(round(score * {5 * N2 * N2}) AS BIGINT) AS quality_units FROM env2"""))
 def env_v2(spark, d):
-    df = spatial.environment_v2(anchors_of(spark, d), ways(spark, d, 2))
-    return df.drop("masks", "distances", "hist_interp")
+    lengths = ("nearest_shore_dist_m", "nearest_manmade_dist_m", "natural_boundary_length_m", "manmade_boundary_length_m")
+    units = F.rint(F.col("env_quality_score") * (5 * N2 * N2)).cast("long")  # a cell more or less is one unit
+    return env2_of(spark, d).select("sample_id", *RATIOS.split(", "), *lengths, "has_natural_boundary", "has_manmade_boundary", "scene_type", units.alias("quality_units"))
+
+
+@query(over2("SELECT sample_id, CAST(gy AS INT) AS gy, water, sum_water, navigable, CAST(sum_navigable AS BIGINT) AS sum_navigable FROM rows2"))
+def env_v2_masks(spark, d):
+    at = F.filter(F.transform(F.split("cells", ""), lambda c, i: F.when(c == "1", i)), F.isnotnull)
+    rows = spatial.mask_rows(env2_of(spark, d)).where("mask in ('water', 'navigable')").withColumn("at", at)
+    of = lambda m, c: F.coalesce(F.sum(F.when(F.col("mask") == m, c)), F.lit(0)).cast("long")
+    total = F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.groupBy("sample_id", "gy").agg(of("water", F.size("at")).alias("water"), of("water", total).alias("sum_water"), of("navigable", F.size("at")).alias("navigable"), of("navigable", total).alias("sum_navigable"))
+
+
+NEAREST = f"(SELECT sample_id, y, x, min(pow(gy - y, 2) + pow(gx - x, 2)) AS d FROM spots JOIN {{cells}} USING (sample_id) GROUP BY 1, 2, 3)"
+
+
+@query(over2(f"""SELECT sample_id, CAST(y AS INT) AS gy, CAST(x AS INT) AS gx, CAST(coalesce(b.d, {N2 * N2 // 4}) * CASE WHEN wet THEN 1 ELSE -1 END AS BIGINT) AS shore, CAST(CASE WHEN nav THEN coalesce(s.d, {N2 * N2 // 4}) ELSE 0 END AS BIGINT) AS navigable
+  FROM (SELECT *, wet AND NOT EXISTS (SELECT 1 FROM shut WHERE shut.sample_id = p.sample_id AND shut.gy = p.y AND shut.gx = p.x) AS nav
+    FROM (SELECT *, EXISTS (SELECT 1 FROM water t WHERE t.sample_id = o.sample_id AND t.gy = o.y AND o.x BETWEEN t.a AND t.b) AS wet FROM spots o) p) q
+  LEFT JOIN {NEAREST.format(cells='barrier')} b USING (sample_id, y, x) LEFT JOIN {NEAREST.format(cells='shut')} s USING (sample_id, y, x)"""))
+def env_v2_distances(spark, d):
+    """Squared distances in cells, negative outside; where there is nothing, those of the radius."""
+    squared = lambda c: (F.signum(c) * F.rint(F.pow(F.col(c) / (2 * R2 / N2), 2))).cast("long")
+    return spatial.distances_at(env2_of(spark, d), EVERY).select("sample_id", "gy", "gx", squared("shore_m").alias("shore"), squared("navigable_m").alias("navigable"))
 
 
 @query(over("SELECT sample_id, scene_group FROM scenes", "scenes"))
