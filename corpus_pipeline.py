@@ -5,7 +5,8 @@ packed batches. A stage's result is written as Parquet and read again as the nex
 
 Every row is judged by its own text: rows with a null doc_id and several texts of one doc_id are rows like others. Where a
 verdict must be brought back to its row, that is by a key of id and text; equal rows have equal keys and verdicts. Empty
-tables stay empty in every stage, and extra columns pass through whatever their names.
+tables stay empty in every stage, and extra columns pass through whatever their names and kinds (packing, the last
+stage, returns none of them).
 """
 
 from __future__ import annotations
@@ -26,17 +27,26 @@ def _key() -> Column:
     return F.xxhash64(F.isnull("doc_id"), F.col("doc_id").cast("long"), F.isnull("text"), F.col("text").cast("string"))
 
 
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _row(docs: DataFrame) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.struct(*[_column(c) for c in docs.columns])
+
+
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """(key, row): each row whole beside its key, so that no column of its own can clash with anything."""
+    return docs.select(_key().alias("key"), _row(docs).alias("row"), *more)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", _key())
+    return docs.select(_key().alias("doc_id"), *[_column(c) for c in docs.columns if c != "doc_id"])
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose key isn't among the dropped; dropped: a written column `_key`, which is broadcast if it is short."""
-    return docs.withColumn("_key", _key()).join(bounded(dropped), "_key", "left_anti").drop("_key")
+    """The rows whose key isn't among the dropped; dropped: a written column `key`, which is broadcast if it is short."""
+    return _rows(docs).join(bounded(dropped), "key", "left_anti").select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,20 +57,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component: that of the smallest id, of rows without any only if there is no id.
 
-    Of repeated rows one stays, the first by the other columns. Rows without words stay, one of each id and text.
+    Of repeated rows one stays, the first by their text as JSON, which columns of any kind have. Rows without words stay, one of each id and text.
     """
     home = workspace(spark)
-    component = ngram_jaccard(_keyed(docs), k=5, percent=80).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = docs.select(_key().alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
-    each = written(ids.join(component, "_key"), f"{home}/each")
-    first = each.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_key")).alias("first")).select("first._key")
+    component = ngram_jaccard(_keyed(docs), k=5, percent=80).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = docs.select(_key().alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    each = written(ids.join(component, "key"), f"{home}/each")
+    first = each.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")).select("first.key")
     # what stays once: rows of dropped keys go, those of repeated ones are put aside
-    dropped = written(each.select("_key").join(first, "_key", "left_anti"), f"{home}/dropped")
-    repeated = written(each.where("times > 1").select("_key").join(first, "_key", "left_semi"), f"{home}/repeated")
+    dropped = written(each.select("key").join(first, "key", "left_anti"), f"{home}/dropped")
+    repeated = written(each.where("times > 1").select("key").join(first, "key", "left_semi"), f"{home}/repeated")
     once = _without(docs, written(dropped.unionAll(repeated), f"{home}/aside"))
-    order = F.struct(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))])
-    again = docs.withColumn("_key", _key()).join(bounded(repeated), "_key").groupBy("_key").agg(F.min_by(_row(docs), order).alias("row")).select("row.*")
-    return once.unionByName(again)
+    again = _rows(docs, F.to_json(_row(docs)).alias("order")).join(bounded(repeated), "key").groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return once.union(again)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +81,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without secrets that look live. Null and empty texts stay, as do repeated rows."""
     scanned = secret_scan(_keyed(docs), owner="source", repository="source", common_owners=3, common_repositories=5)
-    live = scanned.where("n_live > 0").select(F.col("doc_id").alias("_key")).distinct()
+    live = scanned.where("n_live > 0").select(F.col("doc_id").alias("key")).distinct()
     return _without(docs, written(live, f"{workspace(spark)}/live"))
 
 
