@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from . import brute
 
 
@@ -42,6 +44,52 @@ def test_pipeline(spark, documents, prose, tmp_path):
         assert [(r.batch, r.slot) for r in own] == [divmod(i, most) for i in range(len(own))]
 
 
+def stage_rows(frame):
+    """Rows as sorted JSON, nulls kept."""
+    return sorted(r.j for r in frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect())
+
+
+ODD = ("_key", "key", "row", "order", "component_id", "times", "first", "none", "kept", "n_live", "with.dot", "with`tick", "count(1)")
+
+
+def odd_documents(spark, rows):
+    """Rows (doc_id, text, source) with columns of the stages' own names, of maps in arrays, of maps by number and variants."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for k, name in enumerate(ODD):
+        df = df.select("*", F.concat(F.lit(f"{k}-"), F.coalesce("doc_id", F.lit(0))).alias(name))
+    maps = F.array(F.create_map(F.lit("a"), F.col("doc_id")), F.create_map(F.lit("b"), F.lit(1).cast("long")))
+    return df.select("*", maps.alias("maps"), F.create_map(F.lit(3), F.array("doc_id")).alias("by_number"), F.parse_json(F.lit('{"x": [1, null]}')).alias("variant"), F.struct("doc_id", F.lit(None).cast("int").alias("nothing")).alias("pair"))
+
+
+def test_columns_of_any_name_and_kind(spark, prose, tmp_path):
+    """Every stage returns whole rows, and run() goes through, as with three columns only."""
+    import corpus_pipeline
+
+    a, b, c, item = (prose(n, 9000) for n in (40, 50, 60, 30))
+    rows = [(1, a, "s"), (1, a, "s"), (2, a + " tail", "s"), (3, b, "t"), (None, c, None), (None, c, None), (4, f"{prose(33, 9000)} {item}", "s"), (5, f"{prose(35, 9000)} token: onlyhere1", "s"), (6, "too short", "s"), (7, None, "s")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd_documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = [{1, 2, 3, 4, 5, None}, {1, 3, 4, 5, None}, {1, 3, 5, None}, {1, 3, None}]
+    times = [8, 5, 4, 3]
+    for k, ((name, stage), want, n) in enumerate(zip(corpus_pipeline.STAGES, kept, times)):
+        before = set(stage_rows(docs))
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        got = stage_rows(docs)
+        assert set(got) <= before and len(got) == n and {r.doc_id for r in docs.select("doc_id").collect()} == want, name
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [(0, 60), (1, 40), (3, 50)]
+
+
+def test_empty_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd_documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and {"doc_id", "n_tokens", "bucket", "batch", "slot"} <= set(got.columns)
+
+
 def test_stages_keep_columns(spark, documents, prose, tmp_path):
     import corpus_pipeline
 
