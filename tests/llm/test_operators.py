@@ -137,6 +137,26 @@ def test_licenses(documents, prose):
         assert 0 <= r.score <= 1 and (r.doc_id != 6 or r.labels == "mit") and (r.doc_id not in (5, 7) or r.labels == "")
 
 
+def test_license_spans_are_verified(documents, prose):
+    """Votes count where they stand in order within about a template's length, however many there are elsewhere."""
+    words = licenses.TEMPLATES[0][1].split()
+    half = len(words) // 2
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    joint = "a copy of " * 400
+    changed = list(words)
+    for i in (5, 14, 15):
+        changed[i] = "other"
+    added = words[:9] + ["so"] * 4 + words[9:17] + ["they", "say"] + words[17:]
+    rows = [
+        (1, " ".join(words[:half]) + f" {joint} " + " ".join(words[half:])), (2, " filler ".join(grams)), (3, " and so on ".join(reversed(grams))), (4, " ".join(reversed(words))),
+        (5, " ".join(words[half:] + words[:half])), (6, " ".join(f"{prose(30)} {g}" for g in grams)), (10, " ".join(changed)), (11, f"{joint} {' '.join(words)} {joint}"), (12, " ".join(added)), (13, " ".join(words[:3] + words[5:])),
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(documents(rows)).collect()}
+    assert {i: r.labels for i, r in got.items()} == {i: "mit" if i >= 10 else "" for i, _ in rows}
+    n = len(grams)
+    assert got[11].score == 1 and got[10].score == pytest.approx((n - 7) / n) and got[13].score == pytest.approx((n - 4) / n) and got[12].score == pytest.approx((n - 4) / n)
+
+
 @pytest.mark.parametrize("block", [16 << 20, 200])
 def test_decontaminate(spark, documents, prose, block):
     items = [(i, prose(n, 30)) for i, n in enumerate((1, 3, 9, 10, 11, 25, 40, 10, 0))] + [(50, KNOWN), (51, KNOWN), (51, "Another, text of 51")]

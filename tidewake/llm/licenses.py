@@ -1,9 +1,10 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 All rolling three-word grams of all texts are joined with the grams of the templates. Each meeting votes for a diagonal,
-the offset between text and template. Diagonals close to each other are one span, which allows for added or missing
-words; a span counts if enough of the template's grams are in it. Phrases are templates that must be met in full on a
-single diagonal, so a vote for each of their grams proves the words one by one.
+the offset between text and template. Diagonals within a bounded width are one span, which allows for that many added or
+missing words and no more: a span's stretch of text is hardly longer than its template. A span is verified by the votes
+in it, each of which proves three words: the longest chain of them that goes forward both in the text and in the template
+must hold enough of the template's grams. Phrases are templates that must be met in full on a single diagonal.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ TEMPLATES = (
     ("cc-by", "creative commons attribution 4 0 international license"),
     ("reserved", "all rights reserved"),
 )
-#: Diagonals of one span lie at most this far apart, and so many percent of a template's grams make a span.
-NEAR, ENOUGH = 3, 60
+#: Diagonals of one span lie within this width, and so many percent of a template's grams, in order, make a span.
+WIDTH, ENOUGH = 6, 60
 
 
 def words_of(text: Column) -> Column:
@@ -53,12 +54,37 @@ def template_grams(spark: SparkSession) -> DataFrame:
     return listed.select("template", "label", "phrase", F.size("all").alias("grams"), F.inline("all").alias("t_at", "t_gram")).withColumn("hash", F.xxhash64("t_gram"))
 
 
+def in_order(votes: Column) -> Column:
+    """Length of the longest chain of votes (t_at, at) that rise in both; votes are sorted by t_at, then by falling at.
+
+    The array holds the least end of a chain of each length so far.
+    """
+
+    def add(ends: Column, vote: Column) -> Column:
+        n = F.size(F.filter(ends, lambda e: e < vote["at"]))
+        return F.concat(F.slice(ends, F.lit(1), n), F.array(vote["at"]), F.slice(ends, n + 2, F.size(ends)))
+
+    return F.size(F.aggregate(votes, F.array().cast("array<long>"), add))
+
+
+def noticed(diagonals: DataFrame) -> DataFrame:
+    """Spans of notices with the part of their grams that stands in order: from each diagonal on, those within the width."""
+    own = Window.partitionBy("doc_id", "text", "template").orderBy("diagonal").rangeBetween(0, WIDTH)
+    spans = diagonals.withColumn("near", F.collect_list(F.struct("diagonal", "met")).over(own))
+    found = F.flatten(F.transform("near", lambda d: F.transform(d["met"], lambda t: F.struct(t.alias("t_at"), (-d["diagonal"] - t).cast("long").alias("back")))))
+    spans = spans.withColumn("votes", F.array_sort(found)).drop("near")
+    enough = lambda n: n * 100 >= F.col("grams") * ENOUGH
+    spans = spans.where(enough(F.size(F.array_distinct(F.transform("votes", lambda v: v["t_at"])))))
+    ordered = in_order(F.transform("votes", lambda v: F.struct((-v["back"]).alias("at"))))
+    return spans.withColumn("n", ordered).where(enough(F.col("n"))).withColumn("part", F.col("n") / F.col("grams")).drop("votes", "n")
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """License phrases and notices in each whole text; reads doc_id and text, other columns are ignored.
 
     Returns a row per input row (repeated rows too): doc_id, n_words, n_base (places of phrases), first_word and last_word
     (smallest and largest start of these, null if none), base_labels and labels (distinct, sorted, comma-joined; labels
-    adds those of notices), score (the largest part of a template that was found, 0 if none).
+    adds those of notices), score (the largest part of a template that was found in order, 0 if none).
     Null and empty texts have no words. Rows with a null doc_id are scanned as well. An empty table gives no rows.
     Only the templates are broadcast.
     """
@@ -69,12 +95,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     votes = votes.select("doc_id", "text", "template", "label", "phrase", "grams", "t_at", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()  # repeated rows vote once
     key = ["doc_id", "text", "template", "label", "phrase", "grams"]
     diagonals = votes.groupBy(*key, "diagonal").agg(F.collect_set("t_at").alias("met"))
-    order = Window.partitionBy("doc_id", "text", "template").orderBy("diagonal")
-    near = F.when(F.col("phrase"), F.lit(0)).otherwise(F.lit(NEAR))
-    fresh = (F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int")
-    spans = diagonals.withColumn("fresh", F.coalesce(fresh, F.lit(1))).withColumn("span", F.sum("fresh").over(order))
-    spans = spans.groupBy(*key, "span").agg(F.min("diagonal").alias("start"), (F.size(F.array_distinct(F.flatten(F.collect_list("met")))) / F.first("grams")).alias("part"))
-    spans = spans.where(F.col("part") * 100 >= F.when(F.col("phrase"), 100).otherwise(ENOUGH))
+    whole = diagonals.where(F.col("phrase") & (F.size("met") == F.col("grams"))).withColumn("part", F.lit(1.0))
+    spans = whole.unionByName(noticed(diagonals.where("not phrase"))).withColumnRenamed("diagonal", "start")
     base = F.col("phrase")
     labels = spans.groupBy("doc_id", "text").agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..licenses import ENOUGH, NEAR, PHRASES, TEMPLATES, license_scan
+from ..licenses import ENOUGH, PHRASES, TEMPLATES, WIDTH, license_scan
 
 NAME = "op3_license_scan"
 
@@ -28,18 +28,20 @@ WITH d AS (
 ), v AS (
   SELECT id, template, label, phrase, grams, t_at, pos - t_at AS diagonal FROM x JOIN t USING (g)
 ), f AS (
-  SELECT id, template, diagonal,
-    CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY id, template ORDER BY diagonal) <= CASE WHEN phrase THEN 0 ELSE {NEAR} END THEN 0 ELSE 1 END AS fresh
-  FROM (SELECT DISTINCT id, template, phrase, diagonal FROM v)
-), s AS (
-  SELECT id, template, diagonal, sum(fresh) OVER (PARTITION BY id, template ORDER BY diagonal) AS span FROM f
+  SELECT id, template, label, phrase, grams, diagonal, count(*) AS n FROM (SELECT DISTINCT * FROM v) GROUP BY ALL
+), c AS (
+  SELECT f.id, f.template, f.label, f.grams, f.diagonal, list([u.diagonal + u.t_at] ORDER BY u.t_at, u.diagonal DESC) AS votes
+  FROM f JOIN (SELECT DISTINCT * FROM v) u ON u.id = f.id AND u.template = f.template AND u.diagonal BETWEEN f.diagonal AND f.diagonal + {WIDTH}
+  WHERE NOT f.phrase GROUP BY ALL HAVING count(DISTINCT u.t_at) * 100 >= f.grams * {ENOUGH}
 ), r AS (
-  SELECT id, template, label, phrase, span, min(diagonal) AS start, count(DISTINCT t_at) / any_value(grams) AS part
-  FROM v JOIN s USING (id, template, diagonal) GROUP BY id, template, label, phrase, span
+  SELECT id, label, phrase, diagonal AS start, 1.0 AS part FROM f WHERE phrase AND n = grams
+  UNION ALL
+  SELECT id, label, FALSE AS phrase, diagonal AS start,
+    len(list_reduce(list_prepend(CAST([] AS BIGINT[]), votes), lambda e, v: list_concat(list_concat(e[1:len(list_filter(e, lambda x: x < v[1]))], v), e[len(list_filter(e, lambda x: x < v[1])) + 2:]))) / grams AS part FROM c
 ), l AS (
   SELECT id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score
-  FROM r WHERE part * 100 >= CASE WHEN phrase THEN 100 ELSE {ENOUGH} END GROUP BY id
+  FROM r WHERE part * 100 >= {ENOUGH} GROUP BY id
 )
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
 FROM d LEFT JOIN l USING (id)
