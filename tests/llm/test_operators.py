@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.llm import decontaminate, jaccard, language_model, licenses, packing, pii, quality, secrets, tokens, toxicity
+from tidewake.llm import decontaminate, jaccard, language_model, licenses, packing, pii, quality, secrets, tokens, toxicity, words
 from tidewake.llm.components import connected_components
 
 from . import brute
@@ -266,6 +267,33 @@ def test_language_model_against_plain(documents, monkeypatch):
     assert differ[20] < 1e-3 and differ[-1] < 0.1, differ
 
 
+def test_language_model_sums_do_not_saturate(monkeypatch):
+    """20 million equal histories in one task: expectations go on adding up, where 32-bit sums stop at 2^23 or 2^24."""
+    import pyspark
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    texts, each = 10, 2_000_000
+    token = np.sort(words.find_words(pa.array(["a b c"])).hashes)
+    v = language_model.vocabulary(token, np.array([5, 3, 2]), np.full(1 << language_model.OTHER_BITS, 1e-3), 14.0)
+    column = pa.array(["a " * each] * texts)
+    (batch,) = language_model._gather(SimpleNamespace(value=(v, None, 10)), True)(iter([pa.RecordBatch.from_arrays([column], ["text"])]))
+    expected, right, n = (np.concatenate([np.frombuffer(t.as_py(), np.float32).reshape(3, -1)[k] for t in batch.column(2)]) for k in range(3))
+    most = n.argmax()
+    assert n[most] == pytest.approx(texts * (each - 2), rel=1e-5) and right.max() <= n[most]
+    table = language_model.Table(v)
+    assert np.abs(expected[most] / n[most] - 1 / (1 + np.exp(-table.odds.astype(float)))).min() < 1e-4
+
+
+def test_language_model_sums_in_a_tree(spark, documents, prose, monkeypatch):
+    """Sums over many tasks by groups of two are those of one task."""
+    docs = documents([(i, prose(9, 25)) for i in range(60)])
+    one = {r.doc_id: r.score for r in language_model.score_texts(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(language_model, "TREE", 2)
+    many = {r.doc_id: r.score for r in language_model.score_texts(docs.repartition(11, "doc_id")).collect()}
+    assert all(many[i] == pytest.approx(one[i], abs=1e-3) for i in one)
+
+
 def test_language_model_partitions(documents, prose):
     """A history of one place of the corpus weighs alike at every partition count."""
     rows = [(i, f"{prose(12, 25)} the end of line") for i in range(120)] + [(i, "zig zag zog " * 8) for i in (1001, 1002)]

@@ -188,12 +188,13 @@ def _gather(model, first_round: bool):
 
         v, weights, weight_bits = model.value
         table = Table(v)
-        expected = np.zeros(1 << weight_bits, np.float32)
-        counted = np.zeros(1 << weight_bits if first_round else 0)  # the number of choices, and 2^26 for each that goes right
+        size = 1 << weight_bits
+        expected, right, n = np.zeros(size), np.zeros(size if first_round else 0), np.zeros(size if first_round else 0)
         for batch in batches:
             for a, b in sliced(batch.column(0)):
                 token, bounds = tokens(find_words(batch.column(0).slice(a, b - a)))
                 rank, features = table.look_up(token)[1], histories(token, bounds)
+                counted = np.zeros(size if first_round else 0)  # the number of choices, and 2^26 for each that goes right
                 for at in range(0, len(token), BATCH):
                     cut = slice(at, at + BATCH)
                     steps = table.choices(token[cut], rank[cut])
@@ -204,12 +205,16 @@ def _gather(model, first_round: bool):
                             x = x + weights[place[0]] + weights[place[1]] + weights[place[2]]
                         p = 1 / (1 + np.exp(-x))
                         for k in range(FEATURES):
-                            np.add.at(expected, place[k], p)
+                            np.add.at(expected, place[k], p.astype(np.float64))
                         if first_round:
                             both = 1.0 + bit * float(1 << 26)
                             for k in range(FEATURES):
                                 np.add.at(counted, place[k], both)
-        total = np.stack([expected, counted // (1 << 26), counted % (1 << 26)] if first_round else [expected]).astype(np.float32)
+                if first_round:  # a slice has too few choices to reach 2^26
+                    more = np.flatnonzero(counted)
+                    right[more] += counted[more] // (1 << 26)
+                    n[more] += counted[more] % (1 << 26)
+        total = np.stack([expected, right, n] if first_round else [expected]).astype(np.float32)
         group = TaskContext.get().partitionId() // TREE
         parts = [np.ascontiguousarray(c).tobytes() for c in np.split(total, CHUNKS, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([group] * CHUNKS, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part", "total"])
@@ -228,13 +233,18 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sums(texts: DataFrame, v: tuple, weights: np.ndarray | None, weight_bits: int) -> np.ndarray:
-    """The sums of _gather over all texts, added up in two steps."""
+    """The sums of _gather over all texts, added up as a tree: no group has more than TREE parts of a chunk."""
     model = texts.sparkSession.sparkContext.broadcast((v, weights, weight_bits))
-    sums = texts.mapInArrow(_gather(model, weights is None), TOTAL).groupBy("chunk", "part").applyInPandas(_sum, TOTAL).withColumn("part", F.lit(0))
-    parts = {r.chunk: np.frombuffer(r.total, np.float32) for r in sums.groupBy("chunk").applyInPandas(_sum, TOTAL).collect()}
+    sums, parts = texts.mapInArrow(_gather(model, weights is None), TOTAL), texts.rdd.getNumPartitions()
+    while True:
+        sums, parts = sums.groupBy("chunk", "part").applyInPandas(_sum, TOTAL), -(-parts // TREE)
+        if parts <= 1:
+            break
+        sums = sums.withColumn("part", F.floor(F.col("part") / TREE).cast("int"))
+    found = {r.chunk: np.frombuffer(r.total, np.float32) for r in sums.collect()}
     model.unpersist()
     rows = 3 if weights is None else 1
-    return np.concatenate([parts[k].reshape(rows, -1) for k in range(CHUNKS)], 1).astype(float) if parts else np.zeros((rows, 1 << weight_bits))
+    return np.concatenate([found[k].reshape(rows, -1) for k in range(CHUNKS)], 1).astype(float) if found else np.zeros((rows, 1 << weight_bits))
 
 
 def train(texts: DataFrame, v: tuple, rounds: int, weight_bits: int) -> np.ndarray:
