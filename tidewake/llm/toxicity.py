@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import labelled_sample, prepare
 from .words import LOWER, column_bytes, sliced
 
 ORDERS = (3, 4, 5, 6)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int =
     """Weights of all hashed features and the bias, from at most `sample` labelled texts; zeros without labels."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = labelled_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample)
     texts = docs.join(F.broadcast(known), "doc_id").select("toxic", "text").repartition(TASKS)
     rates = texts.mapInArrow(_rates, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     summed = rates.where(f"feature = -1 or clean + toxic >= {int(least_texts)}").toArrow()
