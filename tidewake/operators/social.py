@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .tracks import along
+from .asof import asof_join
+from .tracks import SEGMENT, along
 
 STATE = ("lat", "lon", "sog", "cog", "heading")
 #: Metres of a degree of latitude, of longitude at the equator, in the plane that distances are taken in.
@@ -32,11 +33,20 @@ def _cells(radius_m: float, lat: str, lon: str, around: bool) -> Column:
 
 
 def snapshots(points: DataFrame, times: DataFrame, history: int = 30) -> DataFrame:
-    """State and trailing history of each row with enough of it, at the wanted times only."""
-    w = along().rowsBetween(-(history - 1), 0)
-    df = points.withColumns({"_i": F.row_number().over(along()), "_h": F.collect_list(F.struct(*STATE)).over(w)})
-    df = df.join(times.select("timestamp_utc").distinct(), "timestamp_utc", "left_semi").where(F.col("_i") >= history)
-    return df.select("timestamp_utc", "mmsi", "segment_id", "ship_type", *STATE, *[_field("_h", c).alias(f"hist_{c}") for c in STATE])
+    """State and trailing history of each row with enough of it, at the wanted times only.
+
+    Rows of a segment are numbered and lie in blocks of `history` rows, so a history is in two blocks at most: the wanted
+    ends look up their blocks by number, and lists are gathered for those alone.
+    """
+    numbered = points.select("timestamp_utc", *SEGMENT, "ship_type", *STATE, (F.row_number().over(along()) - 1).alias("_i")).withColumn("_block", F.floor(F.col("_i") / history))
+    ends = numbered.join(times.select("timestamp_utc").distinct(), "timestamp_utc", "left_semi").where(F.col("_i") >= history - 1)
+    wanted = ends.select(*SEGMENT, F.col("_i").alias("_end"), F.explode(F.array_distinct(F.array(F.floor((F.col("_i") - (history - 1)) / history), F.col("_block")))).alias("_block"))
+    held = numbered.join(wanted.select(*SEGMENT, "_block").distinct(), [*SEGMENT, "_block"], "left_semi")
+    blocks = held.groupBy(*SEGMENT, "_block").agg(F.array_sort(F.collect_list(F.struct("_i", *STATE))).alias("_rows"))
+    past = wanted.join(blocks, [*SEGMENT, "_block"]).groupBy(*SEGMENT, "_end").agg(F.array_sort(F.collect_list(F.struct("_block", "_rows"))).alias("_b"))
+    rows = F.flatten(F.transform("_b", lambda b: b["_rows"]))
+    past = past.select(*SEGMENT, F.col("_end").alias("_i"), F.filter(rows, lambda r: r["_i"].between(F.col("_end") - (history - 1), F.col("_end"))).alias("_h"))
+    return ends.join(past, [*SEGMENT, "_i"]).select("timestamp_utc", "mmsi", "segment_id", "ship_type", *STATE, *[_field("_h", c).alias(f"hist_{c}") for c in STATE])
 
 
 def _field(rows: str, name: str) -> Column:
@@ -104,10 +114,9 @@ def social_summary(df: DataFrame) -> DataFrame:
 
 
 def nearest_in_time(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """The row of each target's segment that is nearest to its time; ties go to the earlier one."""
-    df = targets.join(points.select("mmsi", "segment_id", "timestamp_utc", "lat", "lon"), ["mmsi", "segment_id"])
-    off = F.abs(F.unix_micros("timestamp_utc") - F.unix_micros("hist_end_ts"))
-    return df.groupBy("sample_id").agg(F.min_by(F.struct("timestamp_utc", "lat", "lon"), F.struct(off, "timestamp_utc")).alias("_p")).select("sample_id", "_p.*")
+    """The row of each target's segment that is nearest to its time; ties go to the earlier one. Targets without any are left out."""
+    df = asof_join(targets.select("sample_id", *SEGMENT, "hist_end_ts"), points, list(SEGMENT), "hist_end_ts", "timestamp_utc", ["lat", "lon"], "nearest")
+    return df.where("match is not null").select("sample_id", "match.*")
 
 
 def nearby_tracks(target: DataFrame, snaps: DataFrame, points: DataFrame, radius_m: float = 2000.0, last: int = 15) -> DataFrame:

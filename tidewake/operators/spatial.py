@@ -52,31 +52,57 @@ def recover_anchors(samples: DataFrame, points: DataFrame, deg: float = 0.25) ->
     return df.withColumn("anchor_lat", known).withColumn("tile_id", tile_id(F.col("anchor_lat"), F.col("anchor_lon"), deg))
 
 
-def ways_by_tile(ways: DataFrame, radius_m: float, deg: float = 0.25) -> DataFrame:
-    """Each way once for every tile whose square, widened by the radius, its box meets."""
-    low, high = (lambda c: F.array_min(F.transform("geom", lambda p: p[c]))), (lambda c: F.array_max(F.transform("geom", lambda p: p[c])))
+def way_segments(ways: DataFrame) -> DataFrame:
+    """(osm_id, category, subtype, la, lo, lb, lp): each way's segments between neighbouring nodes."""
+    pairs = F.transform(F.slice("geom", F.lit(2), F.greatest(F.size("geom") - 1, F.lit(0))), lambda q, i: F.struct(F.get("geom", i).alias("p"), q.alias("q")))
+    parts = ways.select("osm_id", "category", "subtype", F.explode(pairs).alias("_s"))
+    return parts.select("osm_id", "category", "subtype", F.col("_s.p.lat").alias("la"), F.col("_s.p.lon").alias("lo"), F.col("_s.q.lat").alias("lb"), F.col("_s.q.lon").alias("lp"))
+
+
+def by_cells(segments: DataFrame, radius_m: float, deg: float, y: str = "_y", x: str = "_x") -> DataFrame:
+    """Segments, one row for every cell of a grid that they come within the radius of (east, west, north or south).
+
+    The grid is walked column by column: the stretch of a segment beside a column's meridians bounds the rows it meets
+    there, so copies follow the cells crossed, not the segment's box.
+    """
     dy = radius_m * 1.1 / EARTH_RADIUS_M * 57.29578
-    df = ways.withColumns({"_y0": low("lat") - dy, "_y1": high("lat") + dy})
-    dx = dy / F.greatest(F.least(F.cos(F.radians("_y0")), F.cos(F.radians("_y1"))), F.lit(1e-6))
-    df = df.withColumns({"_x0": low("lon") - dx, "_x1": high("lon") + dx})
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / deg), F.floor(F.col(b) / deg)))
-    df = df.withColumn("_ty", cells("_y0", "_y1")).withColumn("_tx", cells("_x0", "_x1"))
-    return df.withColumn("tile_id", F.format_string("%+08.3f_%+09.3f", F.col("_ty") * F.lit(deg), F.col("_tx") * F.lit(deg))).drop("_y0", "_y1", "_x0", "_x1", "_ty", "_tx")
+    low, high = F.least("lo", "lp"), F.greatest("lo", "lp")
+    reach = F.lit(dy) / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs("la"), F.abs("lb")) + dy, F.lit(89.9)))), F.lit(1e-6))
+    df = segments.withColumn("_dx", reach)
+    df = df.withColumn(x, F.explode(F.sequence(F.floor((low - F.col("_dx")) / deg), F.floor((high + F.col("_dx")) / deg))))
+    # latitudes where the segment enters and leaves the widened column; a segment along a meridian is in it whole
+    share = lambda edge: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("lo")) / (F.col("lp") - F.col("lo"))))
+    at = lambda edge: F.when(F.col("lo") == F.col("lp"), None).otherwise(F.col("la") + share(edge) * (F.col("lb") - F.col("la")))
+    a, b = at(F.col(x) * deg - F.col("_dx")), at((F.col(x) + 1) * deg + F.col("_dx"))
+    south, north = F.least(F.coalesce(a, F.col("la")), F.coalesce(b, F.col("lb"))) - dy, F.greatest(F.coalesce(a, F.col("la")), F.coalesce(b, F.col("lb"))) + dy
+    return df.withColumn(y, F.explode(F.sequence(F.floor(south / deg), F.floor(north / deg)))).drop("_dx")
+
+
+#: A cell of more segments than this is divided into SPLIT by SPLIT cells.
+HOT, SPLIT = 2000, 8
 
 
 def clipped_segments(anchors: DataFrame, ways: DataFrame, radius_m: float, deg: float = 0.25) -> DataFrame:
     """(sample_id, osm_id, category, subtype, x0, y0, x1, y1): parts of way segments within the square about each anchor.
 
-    Anchors and ways meet by tile. A way's box is tested before its segments are taken apart.
+    Ways are taken apart first, and each segment is filed by the cells that it comes near; anchors look up their own cell.
+    Cells of many segments are divided, for anchors and segments alike, so a harbour's pairs are those of small cells.
     """
-    near = anchors.select("sample_id", "anchor_lat", "anchor_lon", "tile_id").join(ways_by_tile(ways, radius_m, deg), "tile_id")
-    x = lambda p: geo.local_x(p["lon"], F.col("anchor_lat"), F.col("anchor_lon"))
-    y = lambda p: geo.local_y(p["lat"], F.col("anchor_lat"))
-    near = near.withColumn("_xy", F.transform("geom", lambda p: F.struct(x(p).alias("x"), y(p).alias("y")))).drop("geom")
-    box = lambda f, c: f(F.transform("_xy", lambda p: p[c]))
-    near = near.where((box(F.array_min, "x") <= radius_m) & (box(F.array_max, "x") >= -radius_m) & (box(F.array_min, "y") <= radius_m) & (box(F.array_max, "y") >= -radius_m))
-    pairs = F.transform(F.slice("_xy", 2, F.greatest(F.size("_xy") - 1, F.lit(0))), lambda q, i: F.struct(F.get("_xy", i).alias("p"), q.alias("q")))
-    parts = near.withColumn("_s", F.explode(pairs)).select("sample_id", "osm_id", "category", "subtype", F.col("_s.p.x").alias("a"), F.col("_s.p.y").alias("b"), F.col("_s.q.x").alias("c"), F.col("_s.q.y").alias("d"))
+    segments = way_segments(ways)
+    filed = by_cells(segments, radius_m, deg)
+    hot = filed.groupBy("_y", "_x").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("_y", "_x", F.lit(True).alias("_hot"))
+    marked = filed.join(hot, ["_y", "_x"], "left")
+    fine = by_cells(marked.where("_hot"), radius_m, deg / SPLIT, "_v", "_u").where((F.floor(F.col("_v") / SPLIT) == F.col("_y")) & (F.floor(F.col("_u") / SPLIT) == F.col("_x")))
+    filed = marked.where("_hot is null").withColumns({"_v": F.lit(None).cast("long"), "_u": F.lit(None).cast("long")}).unionByName(fine).drop("_hot")
+    own = anchors.select("sample_id", "anchor_lat", "anchor_lon", F.floor(F.col("anchor_lat") / (deg / SPLIT)).alias("_v"), F.floor(F.col("anchor_lon") / (deg / SPLIT)).alias("_u"))
+    own = own.withColumns({"_y": F.floor(F.col("_v") / SPLIT), "_x": F.floor(F.col("_u") / SPLIT)}).join(hot, ["_y", "_x"], "left")
+    own = own.withColumns({c: F.when(F.col("_hot"), F.col(c)) for c in ("_v", "_u")}).drop("_hot")
+    none = F.lit(-(1 << 40)).cast("long")  # no cell's number
+    keyed = lambda df: df.withColumns({"_v": F.coalesce("_v", none), "_u": F.coalesce("_u", none)})
+    near = keyed(own).join(keyed(filed), ["_y", "_x", "_v", "_u"])
+    x = lambda c: geo.local_x(F.col(c), F.col("anchor_lat"), F.col("anchor_lon"))
+    y = lambda c: geo.local_y(F.col(c), F.col("anchor_lat"))
+    parts = near.select("sample_id", "osm_id", "category", "subtype", x("lo").alias("a"), y("la").alias("b"), x("lp").alias("c"), y("lb").alias("d"))
     enter, leave = geo.clip_square(F.col("a"), F.col("b"), F.col("c"), F.col("d"), radius_m)
     parts = parts.withColumns({"_t0": enter, "_t1": leave}).where("_t0 <= _t1")
     single = lambda p, q, t: (F.col(p) + F.col(t) * (F.col(q) - F.col(p))).cast("float").cast("double")
