@@ -18,16 +18,14 @@ ROW = ("timestamp_utc", "lat", "lon", "sog", "cog", "heading", "is_gap_imputed_p
 def make_windows(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Windows of hist + fut rows at every window_step-th row of a segment, as arrays in order of time.
 
-    Each row goes to the windows that it belongs to, so only windows that are returned are built.
+    Rows are gathered in blocks of a step, each row once, and a window is put together from its blocks and those after it.
     """
-    size = limits.hist_points + limits.fut_points
-    df = df.withColumns({"_i": F.row_number().over(along()) - 1, "_count": F.count("*").over(Window.partitionBy(*SEGMENT))})
-    step = limits.window_step
-    low = F.ceil(F.greatest(F.lit(0), F.col("_i") - (size - 1)) / step).cast("int") * step
-    high = F.floor(F.least(F.col("_i"), F.col("_count") - size) / step).cast("int") * step
-    df = df.where((F.col("_count") >= size) & (low <= high)).withColumn("_start", F.explode(F.sequence(low, high, F.lit(step))))
-    df = df.groupBy(*SEGMENT, F.col("_start").alias("_i")).agg(F.array_sort(F.collect_list(F.struct(*ROW))).alias("_w"))
-    return named_windows(df)
+    size, step = limits.hist_points + limits.fut_points, limits.window_step
+    df = df.withColumns({"_i": F.row_number().over(along()) - 1, "_count": F.count("*").over(Window.partitionBy(*SEGMENT))}).where(F.col("_count") >= size)
+    blocks = df.groupBy(*SEGMENT, F.floor(F.col("_i") / step).alias("_block")).agg(F.array_sort(F.collect_list(F.struct(*ROW))).alias("_rows"))
+    ahead = Window.partitionBy(*SEGMENT).orderBy("_block").rowsBetween(0, -(-size // step) - 1)
+    df = blocks.withColumn("_w", F.slice(F.flatten(F.collect_list("_rows").over(ahead)), 1, size)).where(F.size("_w") == size)
+    return named_windows(df.withColumn("_i", F.col("_block") * step))
 
 
 def named_windows(df: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ from ..plans.config import DEFAULT, KNOTS_PER_MPS, Thresholds
 SEGMENT = ("mmsi", "segment_id")
 
 
+def in_time() -> WindowSpec:
+    """Rows of a segment by microseconds, which frames of a range need; all windows of one stage share its sort."""
+    return Window.partitionBy(*SEGMENT).orderBy(F.unix_micros("timestamp_utc"))
+
+
 def along(*keys: str) -> WindowSpec:
     return Window.partitionBy(*(keys or SEGMENT)).orderBy("timestamp_utc")
 
@@ -24,8 +29,8 @@ def seconds(a: Column, b: Column) -> Column:
 
 
 def co_located(df: DataFrame) -> DataFrame:
-    """All rows of a vessel in one partition: the exchange that the windows below share."""
-    return df.repartition("mmsi")
+    """All rows of a vessel in one partition: the one exchange of the chain, kept by stage tables in buckets."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mmsi")
 
 
 def segment_tracks(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
@@ -57,10 +62,14 @@ def segment_summary(df: DataFrame) -> DataFrame:
 def longest_runs(df: DataFrame, flag: Column, name: str) -> DataFrame:
     """Per segment the longest time between first and last row of a run of rows whose flag is true; 0 if none."""
     df = df.select(*SEGMENT, "timestamp_utc", F.coalesce(flag, F.lit(False)).alias("_flag"))
-    turn = F.coalesce((F.col("_flag") != F.lag("_flag").over(along())).cast("int"), F.lit(0))
-    df = df.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(along()))
-    runs = df.groupBy(*SEGMENT, "_run").agg(F.when(F.first("_flag"), seconds(F.max("timestamp_utc"), F.min("timestamp_utc"))).otherwise(0.0).alias("_s"))
-    return runs.groupBy(*SEGMENT).agg(F.max("_s").alias(name))
+    df = df.withColumn("_turned", F.coalesce(F.col("_flag") != F.lag("_flag").over(in_time()), F.lit(True)))
+    return df.withColumn("_s", _since("_flag", "_turned")).groupBy(*SEGMENT).agg(F.max("_s").alias(name))
+
+
+def _since(flag: str, turned: str) -> Column:
+    """Seconds since the flag last turned, where it is true."""
+    began = F.last(F.when(F.col(turned), F.col("timestamp_utc")), ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(F.col(flag), seconds(F.col("timestamp_utc"), began)).otherwise(0.0)
 
 
 def low_displacement(limits: Thresholds = DEFAULT) -> Column:
@@ -69,7 +78,7 @@ def low_displacement(limits: Thresholds = DEFAULT) -> Column:
     Rows of a segment are at most segment_gap_s apart, so that row comes within so much after the window: the frame ends there.
     """
     first = limits.low_displacement_window_s * 1_000_000
-    w = Window.partitionBy(*SEGMENT).orderBy(F.unix_micros("timestamp_utc")).rangeBetween(first, first + int(limits.segment_gap_s * 1_000_000))
+    w = in_time().rangeBetween(first, first + int(limits.segment_gap_s * 1_000_000))
     later = F.first(F.struct("lat", "lon")).over(w)
     return F.coalesce(geo.haversine_m(F.col("lat"), F.col("lon"), later["lat"], later["lon"]) < limits.low_displacement_m, F.lit(False))
 
@@ -78,19 +87,22 @@ def anchored() -> Column:
     return F.coalesce(F.lower("nav_status").rlike("anchor|moored"), F.lit(False))
 
 
+def _with_runs(df: DataFrame, limits: Thresholds) -> DataFrame:
+    """_sa and _sl: seconds into an anchored or slow run; _still: hardly moved for a window's length. One sort for all."""
+    low = F.coalesce(F.col("sog") < limits.low_speed_knots, F.lit(False))
+    df = df.withColumns({"_anchor": anchored(), "_low": low})
+    turned = lambda c: F.coalesce(F.col(c) != F.lag(c).over(in_time()), F.lit(True))
+    df = df.withColumns({"_ta": turned("_anchor"), "_tl": turned("_low"), "_still": low_displacement(limits)})
+    return df.withColumns({"_sa": _since("_anchor", "_ta"), "_sl": _since("_low", "_tl")})
+
+
+def _excluded(anchor_s: Column, low_s: Column, still: Column, limits: Thresholds) -> Column:
+    return (anchor_s >= limits.anchor_run_s) | (low_s >= limits.low_speed_run_s) | still
+
+
 def segment_labels(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Per segment: size, span, displacement, longest anchored and slow runs, low displacement, and whether to exclude it."""
-    low = F.coalesce(F.col("sog") < limits.low_speed_knots, F.lit(False))
-    df = df.withColumns({"_anchor": anchored(), "_low": low, "_still": low_displacement(limits)})
-    # both kinds of runs from one window pass: a stretch ends where either flag turns, and neighbouring stretches of one run are
-    # told by the number of its turns
-    turn = lambda c: F.coalesce((F.col(c) != F.lag(c).over(along())).cast("int"), F.lit(0))
-    df = df.withColumns({"_ta": turn("_anchor"), "_tl": turn("_low")})
-    df = df.withColumns({"_ra": F.sum("_ta").over(along()), "_rl": F.sum("_tl").over(along())})
-    df = df.withColumns({
-        f"_s{k}": F.when(F.col(flag), seconds(F.col("timestamp_utc"), F.min("timestamp_utc").over(Window.partitionBy(*SEGMENT, f"_r{k}").orderBy("timestamp_utc")))).otherwise(0.0)
-        for k, flag in (("a", "_anchor"), ("l", "_low"))
-    })
+    df = _with_runs(df, limits)
     end = lambda f: f(F.struct("lat", "lon"), "timestamp_utc")
     per = df.groupBy(*SEGMENT).agg(
         F.count("*").alias("num_points"), F.min("timestamp_utc").alias("start_time"), F.max("timestamp_utc").alias("end_time"),
@@ -99,8 +111,14 @@ def segment_labels(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     )
     per = per.withColumn("duration_seconds", seconds(F.col("end_time"), F.col("start_time")))
     per = per.withColumn("end_to_end_displacement_m", geo.haversine_m(F.col("_a.lat"), F.col("_a.lon"), F.col("_b.lat"), F.col("_b.lon"))).drop("_a", "_b")
-    out = (F.col("longest_anchor_or_moored_seconds") >= limits.anchor_run_s) | (F.col("longest_low_speed_seconds") >= limits.low_speed_run_s) | F.col("has_low_displacement_20min_window")
-    return per.withColumn("exclude_from_underway_only", out)
+    return per.withColumn("exclude_from_underway_only", _excluded(F.col("longest_anchor_or_moored_seconds"), F.col("longest_low_speed_seconds"), F.col("has_low_displacement_20min_window"), limits))
+
+
+def underway(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
+    """Rows of segments that segment_labels doesn't exclude, by windows over the segment instead of a join with its labels."""
+    most = lambda c: F.max(c).over(Window.partitionBy(*SEGMENT))
+    out = _with_runs(df, limits).withColumn("_out", _excluded(most("_sa"), most("_sl"), most("_still"), limits))
+    return out.where("not _out").select(*df.columns)
 
 
 def underway_only(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -134,14 +152,18 @@ def _later(us: Column) -> Column:
 
 
 def fill_short_gaps(df: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    """Points every step inside gaps up to the short limit; other columns are those of the row before."""
-    df = with_gaps(df, limits).withColumns({"is_interpolated_obs": F.lit(False), "_n": F.lead(F.struct(*MOVING)).over(along())})
+    """Points every step inside gaps up to the short limit; other columns are those of the row before.
+
+    A row and the points after it come from one pass: number 0 is the row itself.
+    """
+    df = with_gaps(df, limits).withColumn("_n", F.lead(F.struct(*MOVING)).over(along()))
     us, dt = F.unix_micros("timestamp_utc"), seconds(F.col("_n.timestamp_utc"), F.col("timestamp_utc"))
     step = limits.step_s * 1_000_000
-    fill = df.where((dt > limits.step_s) & (dt <= limits.short_gap_s)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.ceil(dt / limits.step_s).cast("int") - 1)))
-    alpha = F.col("_k") * limits.step_s / dt
-    fill = fill.withColumns(_blend(alpha, limits) | {"timestamp_utc": _later(us + F.col("_k") * step), "gap_class_before": F.lit("short"), "is_interpolated_obs": F.lit(True)})
-    return df.drop("_n").unionByName(fill.drop("_n", "_k"))
+    last = F.when((dt > limits.step_s) & (dt <= limits.short_gap_s), F.ceil(dt / limits.step_s).cast("int") - 1).otherwise(0)
+    df = df.withColumn("_k", F.explode(F.sequence(F.lit(0), last)))
+    own, alpha = F.col("_k") == 0, F.col("_k") * limits.step_s / dt
+    between = _blend(alpha, limits) | {"timestamp_utc": _later(us + F.col("_k") * step), "gap_class_before": F.lit("short")}
+    return df.withColumns({c: F.when(own, F.col(c)).otherwise(v) for c, v in between.items()} | {"is_interpolated_obs": ~own}).drop("_n", "_k")
 
 
 def resplit(df: DataFrame, gap_s: float) -> DataFrame:

@@ -15,8 +15,7 @@ def clean_messages(raw: DataFrame, dialect: str | None = None, keep: str = "most
 
 
 def regular_tracks(clean: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    seg = tracks.segment_tracks(clean, limits)
-    moving = tracks.underway_only(seg, tracks.segment_labels(seg, limits))
+    moving = tracks.underway(tracks.segment_tracks(clean, limits), limits)
     return tracks.long_segments(tracks.reject_anomalies(tracks.resample(tracks.fill_short_gaps(moving, limits), limits), limits), limits)
 
 

@@ -31,15 +31,21 @@ def shared_folder(spark: SparkSession) -> str:
     return (root or tempfile.gettempdir() + "/tidewake-checkpoints").rstrip("/")
 
 
-def stage(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stage's table for a source, built on first use in this session."""
+def stage(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """The stage's table for a source, built on first use in this session.
+
+    by: a column by whose hash the table is bucketed, in as many buckets as there are shuffle partitions. Windows, groups
+    and further stages keyed by it then need no exchange. A frame already dealt by it is written as it lies.
+    """
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _written:
-        frame = build()
-        path = f"{shared_folder(spark)}/tidewake-stage-{name}-{uuid.uuid4().hex}"
-        frame.write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+        frame, tag = build(), f"{name}-{uuid.uuid4().hex}"
+        writer = frame.write.format("parquet").option("path", f"{shared_folder(spark)}/tidewake-stage-{tag}")
+        if by:
+            writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
+        _written[key] = "tidewake_stage_" + tag.replace("-", "_")
+        writer.saveAsTable(_written[key])
+    return spark.table(_written[key])
 
 
 def forget_stages() -> None:

@@ -27,36 +27,35 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         return tracks.co_located(ingest.speed_filter(deduped(spark, d)))
 
-    return stage(spark, "clean", d, build)
+    return stage(spark, "clean", d, build, "mmsi")
 
 
 def segmented(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         return tracks.segment_tracks(clean(spark, d))
 
-    return stage(spark, "segmented", d, build)
+    return stage(spark, "segmented", d, build, "mmsi")
 
 
 def underway(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
-        seg = segmented(spark, d)
-        return tracks.underway_only(seg, tracks.segment_labels(seg))
+        return tracks.underway(segmented(spark, d))
 
-    return stage(spark, "underway", d, build)
+    return stage(spark, "underway", d, build, "mmsi")
 
 
 def gapfilled(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         return tracks.fill_short_gaps(underway(spark, d))
 
-    return stage(spark, "gapfilled", d, build)
+    return stage(spark, "gapfilled", d, build, "mmsi")
 
 
 def resampled(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         return tracks.resample(gapfilled(spark, d))
 
-    return stage(spark, "resampled", d, build)
+    return stage(spark, "resampled", d, build, "mmsi")
 
 
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +66,7 @@ def long_enough(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         return tracks.long_segments(reviewed(spark, d))
 
-    return stage(spark, "long", d, build)
+    return stage(spark, "long", d, build, "mmsi")
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:

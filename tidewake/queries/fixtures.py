@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from ..plans.stages import stage
 
-#: Numbers are in scientific notation, which both engines read as doubles. Sixteen vessels in four groups that sail together. Every field has its sentinels, nulls, duplicates and jumps.
+#: Numbers are in scientific notation, which both engines read as doubles. Fleets of sixteen vessels in four groups that sail together,
+#: one fleet for each ten thousand events. Every field has its sentinels, nulls, duplicates and jumps.
 FIX = """
-  SELECT event_id, 219001000 + k AS mmsi, k, j, g, rn, epoch, v, dir,
-    5.5e1 + g * 5e-1 + j * 8e-3 + v * cos(dir) * (epoch - 1704067200) / 1.1119493e5 + 4e-3 * sin((epoch - 1704067200) / 9e2)
+  SELECT event_id, 219001000 + fleet * 16 + k AS mmsi, k, j, g, rn, epoch, v, dir,
+    5.5e1 - fleet % 20 * 3e0 + g * 5e-1 + j * 8e-3 + v * cos(dir) * (epoch - 1704067200) / 1.1119493e5 + 4e-3 * sin((epoch - 1704067200) / 9e2)
       + CASE WHEN g = 1 AND event_id % 31 = 0 THEN 3e-3 WHEN event_id % 307 = 0 THEN 5e-2 ELSE 0e0 END AS lat,
-    1e1 + g * 4e-1 + j * 3e-3 + v * sin(dir) * (epoch - 1704067200) / 6.34e4 AS lon
+    1e1 + CAST(floor(fleet / 20) AS BIGINT) % 40 * 3e0 + g * 4e-1 + j * 3e-3 + v * sin(dir) * (epoch - 1704067200) / 6.34e4 AS lon
   FROM (
-    SELECT event_id, k, rn, CAST(k % 4 AS BIGINT) AS j, CAST(floor(k / 4) AS BIGINT) AS g,
+    SELECT event_id, k, fleet, rn, CAST(k % 4 AS BIGINT) AS j, CAST(floor(k / 4) AS BIGINT) AS g,
       1704067200 + rn * 20 + (event_id % 3) * 5 + CAST(floor(rn / 31) AS BIGINT) * 80 + CAST(floor(rn / 97) AS BIGINT) * 700 + CAST(floor(rn / 433) AS BIGINT) * 160 AS epoch,
       CASE WHEN k = 15 THEN 5e-2 WHEN k < 4 THEN 6e0 WHEN k < 8 THEN 1.7e1 WHEN k < 12 THEN 8e0 ELSE 5e0 END AS v,
       CASE WHEN k < 4 THEN 6e-1 WHEN k < 8 THEN 2.1e0 WHEN k < 12 THEN 4e0 ELSE 5.2e0 END AS dir
-    FROM (SELECT event_id, user_id % 16 AS k, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) - 1 AS rn FROM {events}) e
+    FROM (SELECT event_id, vessel % 16 AS k, CAST(floor(vessel / 16) AS BIGINT) AS fleet, row_number() OVER (PARTITION BY vessel ORDER BY ts, event_id) - 1 AS rn
+      FROM (SELECT event_id, ts, user_id % (SELECT 16 * greatest(1, CAST(floor(count(*) / 1e4) AS BIGINT)) FROM {events}) AS vessel FROM {events}) q) e
   ) m
 """
 #: The fields as a source file of the first dialect has them, as text; every fiftieth message twice, once with less in it.
