@@ -335,3 +335,34 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stages_keep_their_partitioning(spark, tmp_path_factory):
+    """Windows over stage tables in buckets by vessel need no exchange, nor does the next stage."""
+    from tidewake.plans import stages
+
+    rows = [(m, T0 + dt.timedelta(seconds=20 * i), 55 + i / 2000, 10.0 + m, 9.0, 0.0, 0.0, "under way", "cargo", None, i) for m in range(6) for i in range(120)]
+    clean = spark.createDataFrame(rows, "mmsi long, timestamp_utc timestamp, lat double, lon double, sog double, cog double, heading double, nav_status string, ship_type string, shiptype_soft_cap_knots double, _ingest_order long")
+    source = str(tmp_path_factory.mktemp("kept"))
+    kept = lambda name, df: stages.stage(spark, name, source, lambda: df, "mmsi")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    steps = (tracks.segment_tracks, tracks.underway, tracks.fill_short_gaps, tracks.resample, tracks.reject_anomalies, tracks.long_segments, samples.make_windows)
+    df = kept("clean", tracks.co_located(clean))
+    assert exchanges(tracks.segment_labels(tracks.segment_tracks(df))) == 0
+    for step in steps:
+        assert exchanges(step(df)) == 0, step.__name__
+        df = kept(step.__name__, step(df))
+    assert df.count() == 6 * 13
+
+
+def test_underway_is_underway_only(spark):
+    """Rows of segments that labels don't exclude, by windows or by a join."""
+    import random
+
+    chance, rows = random.Random(9), []
+    for m in range(12):
+        slow = chance.choice([0.1, 9.0, 9.0])
+        rows += [(m, T0 + dt.timedelta(seconds=20 * i), 55 + i * slow / 20000, 10.0, chance.choice([slow, slow, None]), chance.choice(["at anchor", "under way", "under way"]) if m % 3 else "under way", None, i) for i in range(90)]
+    df = tracks.segment_tracks(spark.createDataFrame(rows, "mmsi long, timestamp_utc timestamp, lat double, lon double, sog double, nav_status string, shiptype_soft_cap_knots double, _ingest_order long"))
+    a, b = tracks.underway(df), tracks.underway_only(df, tracks.segment_labels(df))
+    assert a.columns == df.columns and sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())) and 0 < a.count() < df.count()

@@ -50,9 +50,9 @@ def flooded(barrier: np.ndarray) -> np.ndarray:
     begins = free.copy()
     begins[:, :, 1:] &= ~free[:, :, :-1]
     run = np.cumsum(begins.ravel()).reshape(free.shape) - 1
-    both = free[:, 1:] & free[:, :-1]
-    pairs = np.unique(np.stack([run[:, :-1][both], run[:, 1:][both]]), axis=1) if both.any() else np.zeros((2, 0), np.int64)
-    root = joined(int(begins.sum()), *pairs)
+    # an overlap begins where both rows are free and a run begins in one of them
+    overlap = free[:, 1:] & free[:, :-1] & (begins[:, 1:] | begins[:, :-1])
+    root = joined(int(begins.sum()), run[:, :-1][overlap], run[:, 1:][overlap])
     start, any_free = starts_of(barrier)
     if not len(root):
         return np.zeros_like(free)

@@ -221,10 +221,12 @@ def mask_rows(env: DataFrame, size: int = 128) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for sample, packed in zip(frame["sample_id"], frame["masks"]):
-                bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(len(MASKS), size, size)
-                at = np.argwhere(bits.any(2))
-                yield pd.DataFrame([(sample, int(y), MASKS[m], "".join("01"[v] for v in bits[m, y])) for m, y in at], columns=["sample_id", "gy", "mask", "cells"])
+            for k in range(0, len(frame), GRIDS):
+                part = frame.iloc[k : k + GRIDS]
+                bits = np.unpackbits(np.stack([np.frombuffer(p, np.uint8) for p in part["masks"]]), axis=1).reshape(len(part), len(MASKS), size, size)
+                grid, mask, y = np.nonzero(bits.any(3))
+                cells = (bits[grid, mask, y] + 48).view(f"S{size}").ravel().astype(str)
+                yield pd.DataFrame({"sample_id": part["sample_id"].to_numpy()[grid], "gy": y, "mask": np.array(MASKS)[mask], "cells": cells})
 
     ship_code()
     return env.select("sample_id", "masks").mapInPandas(run, "sample_id string, gy int, mask string, cells string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reports, spatial
-from ..plans.stages import stage
+from ..plans.stages import shared_folder, stage
 from ..registry import query
+from ..sources import rasters
 from . import chain
 from .fixtures import settled
 
@@ -251,3 +254,16 @@ def scene_pivot(spark, d):
 @query(over(f"SELECT CAST(least(29, floor(least({2 * R}, greatest(0, min_shoreline_dist_m)) / ({2 * R} / 30))) AS INT) AS bin, count(*) AS n FROM env GROUP BY 1", "env"))
 def distance_histogram(spark, d):
     return reports.histogram(env_of(spark, d), "min_shoreline_dist_m", 0.0, 2 * R, 30)
+
+
+@query(over2("SELECT sample_id, CAST(sum(water) AS BIGINT) AS water, CAST(sum(navigable) AS BIGINT) AS navigable FROM rows2 GROUP BY 1"))
+def raster_shards(spark, d):
+    """Version 2's rasters written as shards and read back."""
+    def build():
+        path = f"{shared_folder(spark)}/tidewake-shards-{uuid.uuid4().hex}"
+        rasters.write_rasters(env2_of(spark, d).select("sample_id", "masks", "distances"), path)
+        return spatial.mask_rows(rasters.read_rasters(spark, path))
+
+    ones = F.length(F.translate("cells", "0", ""))
+    of = lambda m: F.coalesce(F.sum(F.when(F.col("mask") == m, ones)), F.lit(0)).cast("long").alias(m)
+    return stage(spark, "shards", d, build).where("mask in ('water', 'navigable')").groupBy("sample_id").agg(of("water"), of("navigable"))
