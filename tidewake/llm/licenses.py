@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, workspace, written
 
 K = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -94,7 +94,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     votes = rolling.join(F.broadcast(template_grams(docs.sparkSession)), "hash").where("gram = t_gram")
     votes = votes.select("doc_id", "text", "template", "label", "phrase", "grams", "t_at", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()  # repeated rows vote once
     key = ["doc_id", "text", "template", "label", "phrase", "grams"]
-    diagonals = votes.groupBy(*key, "diagonal").agg(F.collect_set("t_at").alias("met"))
+    # written: few rows, used twice
+    diagonals = written(votes.groupBy(*key, "diagonal").agg(F.collect_set("t_at").alias("met")), f"{workspace(docs.sparkSession)}/diagonals")
     whole = diagonals.where(F.col("phrase") & (F.size("met") == F.col("grams"))).withColumn("part", F.lit(1.0))
     spans = whole.unionByName(noticed(diagonals.where("not phrase"))).withColumnRenamed("diagonal", "start")
     base = F.col("phrase")
