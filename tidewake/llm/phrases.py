@@ -12,6 +12,7 @@ fixed size, which may let others pass but never holds back a frequent one. What
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ WORD = ~(SEPARATOR | np.isin(_B, list(b" \t")))
 SHARD = 6 << 20
 #: Bits of the bitmaps, as a power of two: 8 MB each.
 BITMAP = 26
+#: Rows of a batch of counts, and phrases that a task adds up before it sends them.
+ROWS, HELD = 1 << 16, 1 << 20
 #: Salted groups that a language's best phrases are first taken from.
 SALTS = 64
 
@@ -152,18 +155,30 @@ def phrase_texts(shard: Shard, texts: bytes, ends: np.ndarray, depth: int) -> li
 
 
 def _phrase_counts(bitmaps, longest: int):
-    """Rows (lang, text) to counts of phrases; the empty phrase counts all words of its language."""
+    """Rows (lang, text) to counts of phrases, those of a task's shards added up; the empty phrase counts all words of its language."""
+
+    def out(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            phrases, n = list(counts), list(counts.values())
+            for k in range(0, len(n), ROWS):
+                part = pa.array(phrases[k : k + ROWS], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n[k : k + ROWS], pa.int64())], ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[str, Counter] = defaultdict(Counter)
         for shard, names in _shards(batches):
-            name, texts = pa.array(names, pa.string()), shard.data.tobytes()
-            every = np.bincount(shard.lang, minlength=len(names))
-            yield pa.RecordBatch.from_arrays([name, pa.array([""] * len(names)), pa.array(every.astype(np.int64))], ["lang", "phrase", "n"])
+            texts = shard.data.tobytes()
+            for lang, n in zip(names, np.bincount(shard.lang, minlength=len(names)).tolist()):
+                held[lang][""] += n
             for depth, at, n in enumerated(shard, [b.value for b in bitmaps], longest):
-                for k in range(0, len(at), 1 << 16):
-                    part = at[k : k + (1 << 16)]
-                    columns = [name.take(pa.array(shard.lang[part])), pa.array(phrase_texts(shard, texts, part, depth)), pa.array(n[k : k + (1 << 16)].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+                for k in range(0, len(at), ROWS):
+                    part = at[k : k + ROWS]
+                    for lang, phrase, m in zip(shard.lang[part].tolist(), phrase_texts(shard, texts, part, depth), n[k : k + ROWS].tolist()):
+                        held[names[lang]][phrase] += m
+            if sum(map(len, held.values())) > HELD:
+                yield from out(held)
+                held.clear()
+        yield from out(held)
 
     return run
 
