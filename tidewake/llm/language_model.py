@@ -41,7 +41,7 @@ LEAST_BITS, MOST_BITS, TOKENS_BITS = 20, 24, 27
 DAMP = 1.0
 BATCH, ROUNDS, CHUNKS, TREE = 1 << 15, 2, 64, 64
 FEATURES = 3
-_ODD, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+_ODD, _STEP = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +53,14 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def histories(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Three feature hashes for each token, by the two tokens before it in its text."""
+    """Three feature hashes (of 32 bits) for each token, by the two tokens before it in its text."""
     last, skip = np.zeros(len(token), np.uint64), np.zeros(len(token), np.uint64)
     last[1:], skip[2:] = token[:-1], token[:-2]
     last[bounds[:-1]] = skip[bounds[:-1]] = 1
     second = bounds[:-1] + 1
     skip[second[second < bounds[1:]]] = 1
     one, two = mix(last ^ np.uint64(0xA1)), mix(skip ^ np.uint64(0xB2))
-    return np.stack([one, two, mix(one + (two << np.uint64(1)))])
+    return np.stack([(x >> np.uint64(32)).astype(np.uint32) for x in (one, two, mix(one + (two << np.uint64(1))))])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,10 @@ class Table:
 
 def slots(features: np.ndarray, node: np.ndarray, weight_bits: int) -> np.ndarray:
     """Three places in the weight table for each choice."""
-    return ((features ^ node.astype(np.uint64) * _STEP) * _ODD >> np.uint64(64 - weight_bits)).astype(np.int64)
+    place = features.astype(np.uint32, copy=False) ^ (node.astype(np.uint32) * _STEP)
+    place *= _ODD
+    place >>= np.uint32(32 - weight_bits)
+    return place.astype(np.int64)
 
 
 def _gather(model, first_round: bool):
@@ -189,12 +192,13 @@ def _gather(model, first_round: bool):
         v, weights, weight_bits = model.value
         table = Table(v)
         size = 1 << weight_bits
-        expected, right, n = np.zeros(size), np.zeros(size if first_round else 0), np.zeros(size if first_round else 0)
+        # one array takes both sums: real parts what is expected, imaginary ones the number of choices and 2^26 for each that goes right
+        sums = np.zeros(size, np.complex128 if first_round else np.float64)
+        right, n = np.zeros((2, size if first_round else 0))
         for batch in batches:
             for a, b in sliced(batch.column(0)):
                 token, bounds = tokens(find_words(batch.column(0).slice(a, b - a)))
                 rank, features = table.look_up(token)[1], histories(token, bounds)
-                counted = np.zeros(size if first_round else 0)  # the number of choices, and 2^26 for each that goes right
                 for at in range(0, len(token), BATCH):
                     cut = slice(at, at + BATCH)
                     steps = table.choices(token[cut], rank[cut])
@@ -203,17 +207,17 @@ def _gather(model, first_round: bool):
                         place, x = slots(own[:, which], node, weight_bits), table.odds[node]
                         if weights is not None:
                             x = x + weights[place[0]] + weights[place[1]] + weights[place[2]]
-                        p = 1 / (1 + np.exp(-x))
-                        for k in range(FEATURES):
-                            np.add.at(expected, place[k], p.astype(np.float64))
+                        p = (1 / (1 + np.exp(-x))).astype(np.float64)
                         if first_round:
-                            both = 1.0 + bit * float(1 << 26)
-                            for k in range(FEATURES):
-                                np.add.at(counted, place[k], both)
+                            p = p + 1j * (1.0 + bit * float(1 << 26))
+                        for k in range(FEATURES):
+                            np.add.at(sums, place[k], p)
                 if first_round:  # a slice has too few choices to reach 2^26
-                    more = np.flatnonzero(counted)
-                    right[more] += counted[more] // (1 << 26)
-                    n[more] += counted[more] % (1 << 26)
+                    more = np.flatnonzero(sums.imag)
+                    right[more] += sums.imag[more] // (1 << 26)
+                    n[more] += sums.imag[more] % (1 << 26)
+                    sums.imag[more] = 0
+        expected = sums.real
         total = np.stack([expected, right, n] if first_round else [expected]).astype(np.float32)
         group = TaskContext.get().partitionId() // TREE
         parts = [np.ascontiguousarray(c).tobytes() for c in np.split(total, CHUNKS, 1)]
@@ -294,16 +298,22 @@ def _score(model):
                 gain = gains(table, weights, weight_bits, token, rank, histories(token, bounds))
                 base = np.where(n > 0, np.log10((n + 0.1) / table.total), 0)
                 add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has at least its end
-                other, counts = [], []
-                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    rare, m = np.unique(token[x:y][n[x:y] == 0], return_counts=True)
-                    other.append(signed(rare))
-                    counts.append(m)
+                # tokens beyond the table with their counts, text by text
+                rare = np.flatnonzero(n == 0)
+                owner = np.searchsorted(bounds, rare, "right") - 1
+                order = np.lexsort((token[rare], owner))
+                rare, owner = token[rare][order], owner[order]
+                fresh = np.ones(len(rare), bool)
+                fresh[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
+                start = np.flatnonzero(fresh)
+                lists = pa.array(np.searchsorted(owner[start], np.arange(b - a + 1)).astype(np.int32))
+                other = pa.ListArray.from_arrays(lists, pa.array(signed(rare[start])))
+                counts = pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(start, len(rare)))))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(signed(sequence_hashes(words.hashes, words.first))),
                         pa.array(np.diff(bounds)), pa.array(add((n > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(gain) / np.log(10)),
-                        pa.array(other, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())),
+                        other, counts,
                     ],
                     [c.split()[0] for c in SCORED.split(", ")],
                 )
