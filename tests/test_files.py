@@ -124,3 +124,25 @@ def test_headers_with_the_engine_reader(spark, tmp_path):
     (tmp_path / "b.csv").write_text("MMSI,SOG\n2,6\n")
     rows = lambda df: sorted(tuple(map(str, r)) for r in df.select("# Timestamp", "MMSI", "SOG", F.col("source_file")).collect())
     assert rows(archives.read_archives(spark, str(tmp_path))) == rows(readers.read_raw(spark, str(tmp_path)))
+
+
+def test_written_zip(spark, tmp_path):
+    """A zip of all tasks' rows comes back, with quotes, commas, nulls as empty texts."""
+    rows = [(str(i), None if i % 3 else 'say "x", y') for i in range(50)]
+    archives.write_zip(spark.createDataFrame(rows, "a string, b string").repartition(3), str(tmp_path / "z"))
+    assert len(list((tmp_path / "z").glob("*.zip"))) == 3 and not list((tmp_path / "z").glob("_*"))
+    assert sorted((r.a, r.b) for r in archives.read_archives(spark, str(tmp_path / "z")).collect()) == sorted((a, b or "") for a, b in rows)
+
+
+def test_column_sets(spark, tmp_path):
+    from tidewake.sources import writers
+
+    rows = spark.sql("select 's1' as sample_id, 'test' as split, 1L as mmsi, 'g' as segment_id, timestamp '2024-01-01' as hist_end_ts, timestamp '2024-01-02' as pred_end_ts, 1.5D as anchor_lat, 2.5D as anchor_lon, 't' as tile_id, 9 as other")
+    lines = lambda path: sorted(x for f in Path(path).rglob("*.csv") for x in f.read_text().splitlines())
+    writers.write_anchors(rows, str(tmp_path / "anchors"))
+    assert lines(tmp_path / "anchors" / "all") == ["s1,test,1,g,2024-01-01T00:00:00+00:00,2024-01-02T00:00:00+00:00,1.5,2.5,t", ",".join(writers.ANCHOR)]
+    assert lines(tmp_path / "anchors" / "by_split" / "split=test") == ["s1,1,g,2024-01-01T00:00:00+00:00,2024-01-02T00:00:00+00:00,1.5,2.5,t", ",".join(c for c in writers.ANCHOR if c != "split")]
+    for frame, n in ((rows, 2), (rows.limit(0), 1)):
+        writers.write_metadata(frame, str(tmp_path / "meta"))
+        got = lines(tmp_path / "meta")
+        assert len(got) == n and ",".join(writers.METADATA) in got

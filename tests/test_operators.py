@@ -366,3 +366,34 @@ def test_underway_is_underway_only(spark):
     df = tracks.segment_tracks(spark.createDataFrame(rows, "mmsi long, timestamp_utc timestamp, lat double, lon double, sog double, nav_status string, shiptype_soft_cap_knots double, _ingest_order long"))
     a, b = tracks.underway(df), tracks.underway_only(df, tracks.segment_labels(df))
     assert a.columns == df.columns and sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())) and 0 < a.count() < df.count()
+
+
+def test_last_anchor_counts(spark):
+    points = spark.createDataFrame([(1, "a", T0, 1.0, 2.0, 5), (1, "a", T0, 3.0, 0.0, 9), (1, "a", T0, 2.0, 9.0, 7)], "mmsi long, segment_id string, timestamp_utc timestamp, lat double, lon double, line int")
+    wanted = spark.createDataFrame([("s", 1, "a", T0)], "sample_id string, mmsi long, segment_id string, hist_end_ts timestamp")
+    assert spatial.recover_anchors(wanted, points, order=("line",)).first()[4:6] == (3.0, 0.0)
+    with pytest.raises(Exception, match="no anchor"):
+        spatial.recover_anchors(wanted.withColumn("segment_id", F.lit("b")), points).collect()
+
+
+def test_configuration(tmp_path):
+    from tidewake.plans import config
+
+    given = "thresholds:\n  segmentation_gap_seconds: 900\n  core_interp_ratio_hist_max: 0.5\nship_type_caps:\n  tug: 15\nother: [1, 2]\n"
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(given)
+    (tmp_path / "c.json").write_text('{"thresholds": {"segmentation_gap_seconds": 900, "core_interp_ratio_hist_max": 0.5}, "ship_type_caps": {"tug": 15}}')
+    a, b = config.load_thresholds(str(tmp_path / "c.yaml")), config.load_thresholds(str(tmp_path / "c.json"))
+    assert a == b and a.segment_gap_s == 900.0 and a.core_interp_hist == 0.5 and a.caps["tug"] == 15.0 and a.caps["cargo"] == 35.0 and a.hist_points == 30
+    (tmp_path / "empty.yaml").write_text("")
+    assert config.load_thresholds(str(tmp_path / "empty.yaml")) == config.DEFAULT
+    with pytest.raises(KeyError):
+        config.thresholds_of({"thresholds": {"segmentation_gap": 1}})
+    assert set(config.NAMES.values()) <= set(config.Thresholds.__dataclass_fields__)
+
+
+def test_spaced_json(spark):
+    from tidewake.functions import text
+
+    df = spark.sql("""select array(1.5D, null, -2.0D) as a, array('x, y', 'say "z"', null) as b, array(array(1, 2), array()) as c, cast(array() as array<int>) as d, cast(null as array<int>) as e""")
+    assert tuple(df.select(*[text.spaced_json(F.col(c)) for c in "abcde"]).first()) == ("[1.5, null, -2.0]", '["x, y", "say \\"z\\"", null]', "[[1,2], []]", "[]", None)

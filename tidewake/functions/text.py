@@ -117,3 +117,9 @@ def compact_json(c: Column) -> Column:
 def recompact(c: Column, kind: str = "array<double>") -> Column:
     """JSON text with any spacing in the compact form."""
     return compact_json(F.from_json(c, kind))
+
+
+def spaced_json(c: Column) -> Column:
+    """An array as JSON with a space after each comma between its items, as the social tables have it."""
+    item = lambda v: F.to_json(F.array(v), {"ignoreNullFields": "false"})
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: F.substr(item(v), F.lit(2), F.length(item(v)) - 2)), ", "), F.lit("]"))

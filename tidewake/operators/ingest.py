@@ -65,6 +65,11 @@ def missing_count() -> Column:
     return sum((F.col(c).isNull().cast("int") for c in DATA), F.lit(0))
 
 
+def exact_rows(df: DataFrame, order: str = "_ingest_order") -> DataFrame:
+    """One row of those that are equal in all columns but the ingest order, of which it has the latest."""
+    return df.groupBy(*[c for c in df.columns if c != order]).agg(F.max(order).alias(order)).select(*df.columns)
+
+
 def dedup_messages(df: DataFrame, keep: str = "most_missing", exact: bool = False, order: str = "_ingest_order") -> DataFrame:
     """One row per vessel and time.
 
@@ -72,7 +77,7 @@ def dedup_messages(df: DataFrame, keep: str = "most_missing", exact: bool = Fals
     in ingest order. exact first drops rows that are equal in all data columns.
     """
     if exact:
-        df = df.groupBy(*[c for c in df.columns if c != order]).agg(F.max(order).alias(order)).select(*df.columns)
+        df = exact_rows(df, order)
     missing = missing_count().desc() if keep == "most_missing" else missing_count().asc()
     rank = F.row_number().over(Window.partitionBy("mmsi", "timestamp_utc").orderBy(missing, F.col(order).desc()))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

@@ -63,7 +63,7 @@ def label_samples(windows: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame
     sides = {"hist_gap_ok": F.array_max(F.slice(deltas, 1, h - 1)) <= limits.max_gap_s, "fut_gap_ok": F.array_max(F.slice(deltas, h + 1, f - 1)) <= limits.max_gap_s}
     ratios = {f"{name}_{side}": ratio(part(column)) for name, column in (("interp_ratio", "gap_imputed"), ("grid_interp_ratio", "grid_interp")) for side, part in (("hist", hist), ("fut", fut), ("total", F.col))}
     df = df.withColumns(sides | ratios | {"hist_displacement_m": displacement("hist_x", "hist_y"), "fut_displacement_m": displacement("fut_x", "fut_y")})
-    full = F.col("hist_gap_ok") & F.col("fut_gap_ok") & (F.col("hist_displacement_m") >= limits.min_displacement_m) & (F.col("fut_displacement_m") >= limits.min_displacement_m)
+    full = F.col("hist_gap_ok") & F.col("fut_gap_ok") & (F.col("hist_displacement_m") >= limits.min_displacement_m) & (F.col("fut_displacement_m") >= limits.min_fut_displacement_m)
     core = F.col("full_eligible") & (F.col("interp_ratio_hist") <= limits.core_interp_hist) & (F.col("interp_ratio_fut") <= limits.core_interp_fut) & (F.col("interp_ratio_total") <= limits.core_interp_total)
     df = df.withColumn("full_eligible", full).withColumn("core_eligible", core)
     return df.select(

@@ -44,9 +44,13 @@ def tile_id(lat: Column, lon: Column, deg: float = 0.25) -> Column:
     return F.format_string("%+08.3f_%+09.3f", tile_corner(lat, deg).cast("double"), tile_corner(lon, deg).cast("double"))
 
 
-def recover_anchors(samples: DataFrame, points: DataFrame, deg: float = 0.25) -> DataFrame:
-    """anchor_lat, anchor_lon and tile_id of each sample from the point at the end of its history; an error if one is missing."""
-    at = points.select("mmsi", "segment_id", F.col("timestamp_utc").alias("hist_end_ts"), F.col("lat").alias("anchor_lat"), F.col("lon").alias("anchor_lon")).dropDuplicates(["mmsi", "segment_id", "hist_end_ts"])
+def recover_anchors(samples: DataFrame, points: DataFrame, deg: float = 0.25, order: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
+    """anchor_lat, anchor_lon and tile_id of each sample from the point at the end of its history; an error if one is missing.
+
+    Of several points of one segment and time the last by `order` counts (such as the number of a row in its file).
+    """
+    last = F.max_by(F.struct("lat", "lon"), F.struct(*order)).alias("_at")
+    at = points.groupBy("mmsi", "segment_id", F.col("timestamp_utc").alias("hist_end_ts")).agg(last).select("mmsi", "segment_id", "hist_end_ts", F.col("_at.lat").alias("anchor_lat"), F.col("_at.lon").alias("anchor_lon"))
     df = samples.join(at, ["mmsi", "segment_id", "hist_end_ts"], "left")
     known = F.coalesce("anchor_lat", F.raise_error(F.concat(F.lit("no anchor for "), "sample_id")).cast("double"))
     return df.withColumn("anchor_lat", known).withColumn("tile_id", tile_id(F.col("anchor_lat"), F.col("anchor_lon"), deg))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ingest
+from ..plans.stages import shared_folder, stage
 from ..registry import query
+from ..sources import archives
 from . import chain
 from .fixtures import raw_messages, settled
 
@@ -34,11 +38,28 @@ def dedup_documented(spark, d):
     return settled(chain.deduped(spark, d, keep="fewest_missing"), keep=COLUMNS)
 
 
-@query(chain.sql(f"SELECT count(*) AS rows_before, count(DISTINCT (mmsi, us, lat, lon, sog, cog, heading, nav_status, ship_type)) AS rows_exact, count(DISTINCT (mmsi, us)) AS rows_after, count(DISTINCT mmsi) AS vessels FROM filtered", "filtered"))
+@query(chain.sql(f"""SELECT 'before' AS step, count(*) AS n, count(DISTINCT mmsi) AS vessels FROM filtered UNION ALL SELECT 'exact', count(*), count(DISTINCT mmsi) FROM (SELECT DISTINCT mmsi, us, {chain.DATA} FROM filtered)
+  UNION ALL SELECT 'after', count(*), count(DISTINCT mmsi) FROM (SELECT DISTINCT mmsi, us FROM filtered)""", "filtered"))
 def exact_dedup(spark, d):
+    """Rows and vessels after each step; a fiftieth of the rows comes a second time, as it is, which exact rows drop."""
     df = chain.filtered(spark, d)
-    own = [c for c in ("mmsi", "timestamp_utc", "lat", "lon", "sog", "cog", "heading", "nav_status", "ship_type")]
-    return df.agg(F.count("*").alias("rows_before"), F.count_distinct(F.struct(*own)).alias("rows_exact"), F.count_distinct(F.struct("mmsi", "timestamp_utc")).alias("rows_after"), F.count_distinct("mmsi").alias("vessels"))
+    twice = df.unionByName(df.where("_ingest_order % 50 = 0").withColumn("_ingest_order", F.col("_ingest_order") + 1))
+    steps = {"before": df, "exact": ingest.exact_rows(twice), "after": ingest.dedup_messages(twice, exact=True)}
+    counts = [f.agg(F.lit(name).alias("step"), F.count("*").alias("n"), F.count_distinct("mmsi").alias("vessels")) for name, f in steps.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(chain.sql(f"SELECT {ALL} FROM std", "std"))
+def archived_messages(spark, d):
+    """The raw messages as gzip files and as members of zip files, read back as archives and standardised."""
+    def build():
+        raw, path = raw_messages(spark, d), f"{shared_folder(spark)}/tidewake-archives-{uuid.uuid4().hex}"
+        raw.where("_ingest_order % 2 = 0").write.option("header", True).option("compression", "gzip").csv(path + "/gzip")
+        archives.write_zip(raw.where("_ingest_order % 2 = 1"), path + "/zip")
+        found = archives.read_archives(spark, path, [c for c in raw.columns])
+        return ingest.standardize(found.withColumn("_ingest_order", F.col("_ingest_order").cast("long")))
+
+    return settled(stage(spark, "archived", d, build), keep=COLUMNS)
 
 
 @query(chain.sql("SELECT mmsi, us AS timestamp_utc, sog, ship_class, cap AS soft_cap FROM clean", "clean"))

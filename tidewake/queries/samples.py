@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.arrays import at, total
 from ..operators import samples
+from ..plans.config import thresholds_of
 from ..registry import query
 from . import chain
 from .fixtures import settled
@@ -98,3 +99,10 @@ def kinematics(spark, d):
     df = samples.kinematics(chain.labelled(spark, d))
     part = lambda k, f: total(F.transform("hist", lambda r: f(r[k])))
     return df.select("sample_id", F.round(part(2, lambda v: v), 5).alias("sum_vx"), F.round(part(3, F.abs), 5).alias("sum_abs_vy"), F.round(part(4, F.abs), 5).alias("sum_abs_ax"))
+
+
+@query(chain.sql("SELECT segment_id, count(*) AS windows FROM ordered WHERE i % 10 = 0 AND i + 45 <= n GROUP BY 1", "ordered"))
+def configured_windows(spark, d):
+    """Windows by thresholds of a configuration file's form: 30 and 15 rows at every tenth."""
+    limits = thresholds_of({"thresholds": {"sliding_window_fut_points": 15, "sliding_window_step_points": 10}})
+    return samples.make_windows(chain.long_enough(spark, d), limits).groupBy("segment_id").agg(F.count("*").alias("windows"))

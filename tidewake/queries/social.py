@@ -87,3 +87,16 @@ def nearby_tracks(spark, d):
 def augmented_samples(spark, d):
     df = social.left_one_to_one(social_of(spark, d), env_of(spark, d), ["sample_id"], required=True)
     return df.select("sample_id", "neighbor_count_total", F.array_join("neighbor_mmsi", ",").alias("ids"))
+
+
+@query(over("SELECT sample_id, '[' || replace(ids, ',', ', ') || ']' AS ids_json FROM full_social", "full_social"))
+def spaced_neighbours(spark, d):
+    return social_of(spark, d).select("sample_id", text.spaced_json(F.col("neighbor_mmsi")).alias("ids_json"))
+
+
+@query(over(f"SELECT s.sample_id, {SPLIT} AS split, n AS neighbor_count_total, CAST(n >= 3 AS INT) AS interaction_candidate, tier AS quality_tier FROM full_social s", "full_social"))
+def social_with_metadata(spark, d):
+    """Interaction features with the samples' metadata, one to one by sample and split."""
+    meta = chain.labelled(spark, d).select("sample_id", "mmsi", "quality_tier").withColumn("split", text.split_of(F.col("mmsi")))
+    df = social.left_one_to_one(social_of(spark, d).drop("quality_tier"), meta, ["sample_id", "split"], required=True)
+    return df.select("sample_id", "split", "neighbor_count_total", "interaction_candidate", "quality_tier")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import utc_text
 from ..operators.spatial import LABELS
 
 
@@ -21,6 +22,35 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*plain).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
+#: Columns of the candidates' metadata and of the anchors' file.
+METADATA = (
+    "sample_id", "hash_value", "split", "mmsi", "segment_id", "sample_step", "ship_group", "speed_bin", "motion_bin", "quality_score", "difficulty_score", "avg_speed_knots", "hist_median_speed_knots", "hist_speed_cv",
+    "hist_efficiency", "fut_efficiency", "future_linearity", "hist_nonzero_ratio", "fut_nonzero_ratio", "hist_pause_ratio", "fut_pause_ratio", "bridge_turn_deg", "hist_turn_mean_abs_deg", "fut_turn_mean_abs_deg",
+    "hist_turn_max_abs_deg", "fut_turn_max_abs_deg", "hist_step_outlier_ratio", "fut_step_outlier_ratio", "interp_ratio_hist", "interp_ratio_fut", "interp_ratio_total", "hist_interp_true_ratio", "fut_interp_true_ratio",
+    "hist_cog_motion_mae_deg", "hist_heading_cog_mae_deg", "hist_displacement_m", "fut_displacement_m", "future_path_length_m", "hard_filter_margin",
+)
+ANCHOR = ("sample_id", "split", "mmsi", "segment_id", "hist_end_ts", "pred_end_ts", "anchor_lat", "anchor_lon", "tile_id")
+
+
+def _plain_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, which an empty table has as well; times as ISO text in UTC."""
+    times = {c: utc_text(F.col(c)) for c, kind in df.dtypes if kind.startswith("timestamp")}
+    df = df.withColumns(times)
+    (df.coalesce(1) if df.isEmpty() else df).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_metadata(candidates: DataFrame, path: str) -> None:
+    """The candidates' metadata, those columns in that order; a column that is missing is empty."""
+    _plain_csv(candidates.select(*[F.col(c) if c in candidates.columns else F.lit(None).cast("string").alias(c) for c in METADATA]), path)
+
+
+def write_anchors(anchors: DataFrame, path: str) -> None:
+    """Anchors of all samples, in `all`, and of each split, in folders `split=`."""
+    own = anchors.select(*ANCHOR)
+    _plain_csv(own, f"{path}/all")
+    own.withColumns({c: utc_text(F.col(c)) for c in ("hist_end_ts", "pred_end_ts")}).write.mode("overwrite").partitionBy("split").option("header", True).csv(f"{path}/by_split")
+
+
 def write_export(versions: DataFrame, path: str) -> None:
     """The tree version=/split=."""
     versions.write.mode("overwrite").partitionBy("version", "split").parquet(path)
