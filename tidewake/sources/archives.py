@@ -85,7 +85,7 @@ class Reader(DataSourceReader):
             return
         source = partition.name or partition.file.rsplit("/", 1)[-1]
         with stream(files, partition) as f:
-            read = pacsv.ReadOptions(block_size=BLOCK, column_names=own, skip_rows=1)
+            read = pacsv.ReadOptions(use_threads=False, block_size=BLOCK, column_names=own, skip_rows=1)
             text = pacsv.ConvertOptions(column_types={c: pa.string() for c in own}, strings_can_be_null=False)
             parse = pacsv.ParseOptions(newlines_in_values=False, invalid_row_handler=lambda row: "skip")
             wrapped = f if isinstance(f, pa.NativeFile) else pa.PythonFile(f, "r")
