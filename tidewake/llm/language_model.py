@@ -39,7 +39,7 @@ OTHER_BITS = 12
 LEAST_BITS, MOST_BITS, TOKENS_BITS = 20, 24, 27
 #: Counts that both sides of a weight's ratio get, so that a weight seen once moves little.
 DAMP = 1.0
-BATCH, ROUNDS, CHUNKS, TREE = 1 << 15, 2, 64, 64
+BATCH, ROUNDS, CHUNKS, TREE = 1 << 16, 2, 64, 64
 FEATURES = 3
 _ODD, _STEP = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 
@@ -142,6 +142,8 @@ class Table:
         bucket = (self.token >> self.shift).astype(np.int64)
         self.first = np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << (64 - int(self.shift))))).astype(np.int32)
         self.fullest = int(np.diff(self.first).max())
+        #: What a choice costs by the unigram rates alone: of the left side (bit 0), then of the right.
+        self.loss = np.logaddexp(0, np.stack([self.odds, -self.odds]))
 
     def look_up(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ranks of tokens, both 0 for those that aren't in the table."""
@@ -278,10 +280,9 @@ def gains(table: Table, weights: np.ndarray, weight_bits: int, token: np.ndarray
         own, more = features[:, cut][:, order], np.zeros(len(order))
         for which, node, bit in steps:
             place = slots(own[:, which], node, weight_bits)
-            side = np.where(bit > 0, np.float32(-1), np.float32(1))
-            plain = side * table.odds[node]
-            x = plain + side * (weights[place[0]] + weights[place[1]] + weights[place[2]])
-            more[which] += np.log((1 + np.exp(np.minimum(plain, 80))) / (1 + np.exp(np.minimum(x, 80))))
+            x = table.odds[node] + weights[place[0]] + weights[place[1]] + weights[place[2]]
+            np.negative(x, out=x, where=bit > 0)
+            more[which] += table.loss[bit, node] - np.log(1 + np.exp(np.minimum(x, 80)))
         out[at + order] = more
     return out
 
