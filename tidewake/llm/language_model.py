@@ -171,10 +171,14 @@ class Table:
         for j, m in enumerate(np.searchsorted(-depth, -np.arange(int(depth.max(initial=0))), "left").tolist()):
             after = code[:m] >> (depth[:m] - j - 1)
             yield slice(0, m), base[:m] + (after >> 1), after & 1
+        length = self.length[cls]
         for j in range(self.nodes.shape[1]):
-            some = np.flatnonzero(self.length[cls] > j)
-            if len(some):
-                yield some, self.nodes[cls[some], j], self.bits[cls[some], j]
+            some = np.flatnonzero(length > j)
+            if len(some) == len(cls):  # a slice spares copies
+                yield slice(0, len(cls)), self.nodes[:, j][cls], self.bits[:, j][cls]
+            elif len(some):
+                own = cls[some]
+                yield some, self.nodes[:, j][own], self.bits[:, j][own]
 
 
 def slots(features: np.ndarray, node: np.ndarray, weight_bits: int) -> np.ndarray:
