@@ -11,7 +11,7 @@ sys.path.insert(0, sys.argv[1])
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
-from tidewake.llm import decontaminate, jaccard, language_model, packing, quality, tokens, toxicity
+from tidewake.llm import conversations, decontaminate, factorisation, jaccard, language_model, packing, phrases, quality, tokens, toxicity
 import public_tokenizers
 docs = spark.createDataFrame([(i, f"some words of text number {i % 3} in a row of ten words or more") for i in range(12)], "doc_id long, text string")
 labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
@@ -21,6 +21,9 @@ for frame in (
     packing.pack(docs, F.length("text")), language_model.score_texts(docs), toxicity.toxicity(docs, labels), quality.quality_rules(docs),
 ):
     assert len(frame.collect()) == 12
+talks = spark.createDataFrame([(i % 4, i, "user", "Yes.") for i in range(12)], "conv_id long, turn long, role string, text string")
+assert conversations.repair_conversations(talks).count() == 4 and factorisation.quality_scores(docs, labels.withColumnRenamed("toxic", "quality")).count() == 12
+assert phrases.collocations(docs.withColumn("lang", F.lit("en")), least=3).count() > 0
 print("all ran")
 '''
 
