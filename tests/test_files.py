@@ -146,3 +146,23 @@ def test_column_sets(spark, tmp_path):
         writers.write_metadata(frame, str(tmp_path / "meta"))
         got = lines(tmp_path / "meta")
         assert len(got) == n and ",".join(writers.METADATA) in got
+
+
+def test_rasters_made_in_ranges(spark, tmp_path):
+    """Rasters are made once, from rows that lie in their ranges already; one column is read without the other."""
+    made, path = spark.sparkContext.accumulator(0), str(tmp_path / "shards")
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            wide = [bytes([len(i)]) * 64 for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary()), pa.array([w * 2 for w in wide], pa.binary())], ["sample_id", "masks", "distances"])
+
+    ids = spark.range(300).select(F.format_string("s%04d", "id").alias("sample_id"))
+    rasters.write_rasters(ids.repartition(6), path, rows=40, make=lambda df: df.mapInArrow(run, "sample_id string, masks binary, distances binary"))
+    shards = rasters.manifest(path)
+    assert made.value == 300 == sum(s[3] for s in shards) and all(a[2] < b[1] for a, b in zip(shards, shards[1:]))
+    back = rasters.read_rasters(spark, path, columns=("distances",))
+    assert back.columns == ["sample_id", "distances"] and {bytes(r.distances) for r in back.collect()} == {bytes([5]) * 128} and back.count() == 300
+    with pytest.raises(PySparkException, match="no rasters"):
+        rasters.read_rasters(spark, path, columns=("depths",)).collect()

@@ -84,3 +84,26 @@ def test_rasters_of_version_2(spark):
     assert at["a", 2, 2].navigable_m == pytest.approx((wall - 3) * 312.5) and at["a", 2, 30].navigable_m == 0
     one = env.where("sample_id = 'a'").first()
     assert one.water_ratio == pytest.approx(wall / size) and one.scene_type == "nearshore" and one.nearest_shore_dist_m == pytest.approx(1000, abs=1)
+
+
+def test_rasters_are_made_after_all_joins(spark):
+    """Wide rows aren't shuffled: no exchange above the step that makes them; distances and masks asked for come without kept maps."""
+    size, chance = 32, np.random.default_rng(4)
+    anchors = spark.createDataFrame([(f"s{i}", 55.0 + i / 50, 10.0, [True, False]) for i in range(70)], "sample_id string, anchor_lat double, anchor_lon double, flags array<boolean>").withColumn("tile_id", spatial.tile_id(F.col("anchor_lat"), F.col("anchor_lon")))
+    nodes = [[(55.0 + k / 100 + chance.uniform(-0.02, 0.02), 10.0 + chance.uniform(-0.05, 0.05)) for _ in range(4)] for k in range(40)]
+    ways = spark.createDataFrame([(k, ("natural_boundary", "manmade_boundary")[k % 2], "s", n) for k, n in enumerate(nodes)], "osm_id long, category string, subtype string, geom array<struct<lat double, lon double>>")
+    plan = spatial.environment_v2(anchors, ways, 5000.0, size, 32.0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(word in plan[: plan.index("MapInArrow")] for word in ("Exchange", "Join", "Sort"))
+    outlines = spatial.outlines_v2(anchors, ways, 5000.0, size, 32.0).cache()
+    env = spatial.scenes_v2(spatial.with_rasters(outlines, 5000.0, size)).cache()
+    assert env.columns == spatial.environment_v2(anchors, ways, 5000.0, size, 32.0).columns and env.where("barrier_density > 0").count() > 20
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(spatial.distances_of(outlines, 4, 5000.0, size)) == rows(spatial.distances_at(env, 4, size))
+    sums = {}
+    for r in spatial.mask_rows(env, size).where("mask in ('water', 'natural')").collect():
+        at = [i for i, c in enumerate(r.cells) if c == "1"]
+        sums.setdefault((r.sample_id, r.gy), {})[r["mask"]] = (len(at), sum(at))
+    got = {(r.sample_id, r.gy): ((r.water, r.sum_water), (r.natural, r.sum_natural)) for r in spatial.mask_sums(outlines, ("water", "natural"), 5000.0, size).collect()}
+    assert got == {k: (v.get("water", (0, 0)), v.get("natural", (0, 0))) for k, v in sums.items()}
+    cells = {r.sample_id: (r.water, r.natural) for r in spatial.mask_cells(env, ("water", "natural"), size).collect()}
+    assert cells == {s: tuple(sum(v.get(m, (0, 0))[0] for (own, _), v in sums.items() if own == s) for m in ("water", "natural")) for s in cells} and len(cells) == 70

@@ -124,3 +124,15 @@ def test_copies_follow_the_cells_crossed(spark):
     ways = spark.createDataFrame([(1, "c", "s", long_way), (2, "c", "s", [(0.0, 0.0), (50.0, 50.0)])], "osm_id long, category string, subtype string, geom array<struct<lat double, lon double>>")
     copies = {r.osm_id: (r["count"], r.cells) for r in spatial.by_cells(spatial.way_segments(ways), 2048.0, 0.25).groupBy("osm_id").agg(F.count("*").alias("count"), F.count_distinct("_y", "_x").alias("cells")).collect()}
     assert copies[1][0] < 2 * n and 200 <= copies[2][1] == copies[2][0] < 900
+
+
+def test_ways_are_filed_where_anchors_are(spark):
+    """Near a pole a radius spans every meridian: only cells with anchors are listed, and a way beyond them costs nothing."""
+    anchors = spark.createDataFrame([("a", 89.93, 10.0), ("b", 55.0, 10.0)], "sample_id string, anchor_lat double, anchor_lon double")
+    nodes = [(i, [(95.0 + i, 1.0), (95.1 + i, 1.1)]) for i in range(50)] + [(100, [(89.93, 15.0), (89.931, 15.0)]), (101, [(55.0, 10.001), (55.001, 10.001)])]
+    ways = spark.createDataFrame([(i, "c", "s", n) for i, n in nodes], "osm_id long, category string, subtype string, geom array<struct<lat double, lon double>>")
+    cells = spark.createDataFrame([(359, 40), (220, 40)], "_y long, _x long")
+    filed = spatial.by_cells(spatial.way_segments(ways), 2048.0, 0.25, occupied=cells)
+    assert sorted((r.osm_id, r._y, r._x) for r in filed.collect()) == [(100, 359, 40), (101, 220, 40)]
+    got = spatial.clipped_segments(anchors, ways, 2048.0).select("sample_id", "osm_id").collect()
+    assert sorted(map(tuple, got)) == [("a", 100), ("b", 101)]

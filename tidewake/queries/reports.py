@@ -237,7 +237,7 @@ def _wide(sql: str) -> str:
   CAST(count(*) FILTER (category = 'waterfront') AS INT) AS has_manmade_boundary FROM anchors LEFT JOIN stats USING (sample_id) GROUP BY 1, 2""", "stats")))
 def env_v2_boundaries(spark, d):
     names = ("nearest_shore_dist_m", "nearest_manmade_dist_m", "nearest_barrier_dist_m", "natural_boundary_length_m", "manmade_boundary_length_m", "has_natural_boundary", "has_manmade_boundary")
-    return spatial.environment_v2(maps.anchors_of(spark, d), maps.ways(spark, d, 2)).select("sample_id", "tile_id", *names)
+    return maps.outlines_of(spark, d).select("sample_id", "tile_id", *names)
 
 
 @query(met.over("SELECT sample_id, string_agg(n_segment_id, ',' ORDER BY nr) AS segments, string_agg(CAST(round(dist) AS BIGINT), ',' ORDER BY nr) AS distances, string_agg(coalesce(CAST(CAST(round(vx * 10) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY nr) AS speeds FROM near WHERE nr <= 8 GROUP BY 1", "near"))

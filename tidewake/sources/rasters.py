@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,7 +140,7 @@ class Reader(DataSourceReader):
 
 
 class RasterShards(DataSource):
-    """Options: path, id (one id only), rows (of a shard)."""
+    """Options: path, id (one id only), columns (comma-joined, those read), rows (of a shard)."""
 
     @classmethod
     def name(cls) -> str:
@@ -148,7 +148,11 @@ class RasterShards(DataSource):
 
     def schema(self) -> StructType:
         known = _manifest(self.options["path"])
-        return StructType([StructField(known["key"], StringType()), *(StructField(c, BinaryType()) for c in known["columns"])])
+        wanted = self.options.get("columns")
+        names = known["columns"] if wanted is None else wanted.split(",")
+        if missing := set(names) - set(known["columns"]):
+            raise ValueError(f"no rasters {sorted(missing)}")
+        return StructType([StructField(known["key"], StringType()), *(StructField(c, BinaryType()) for c in names)])
 
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.options["path"], schema.names[0], schema.names[1:], self.options.get("id"))
@@ -162,16 +166,24 @@ def _registered(spark: SparkSession) -> None:
     spark.dataSource.register(RasterShards)
 
 
-def write_rasters(df: DataFrame, path: str, key: str = "sample_id", rows: int = ROWS) -> None:
-    """The key and all binary columns as shards, in ranges of the key, so that one id is in one shard. Adds to what is there."""
-    _registered(df.sparkSession)
-    binary = [c for c, kind in df.dtypes if kind == "binary"]
-    df = df.select(key, *binary).repartitionByRange(key).sortWithinPartitions(key)
-    df.write.format(FORMAT).option("path", path).option("rows", rows).mode("append").save()
+def write_rasters(df: DataFrame, path: str, key: str = "sample_id", rows: int = ROWS, make: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """The key and all binary columns as shards, in ranges of the key, so that one id is in one shard. Adds to what is there.
+
+    make: adds the binary columns to df's rows in their order, once these lie in ranges; rasters are then neither made twice
+    (ranges are found by a sample) nor shuffled and sorted.
+    """
+    spark = df.sparkSession
+    _registered(spark)
+    pick = lambda df: df.select(key, *[c for c, kind in df.dtypes if kind == "binary"])
+    # as many ranges as asked for: by the size of rows without rasters they would be joined up
+    ranged = (df if make else pick(df)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    out = pick(make(ranged)) if make else ranged
+    out.write.format(FORMAT).option("path", path).option("rows", rows).mode("append").save()
 
 
-def read_rasters(spark: SparkSession, path: str, sample_id: str | None = None) -> DataFrame:
-    """All rasters, or those of one id, for which only its shard is read."""
+def read_rasters(spark: SparkSession, path: str, sample_id: str | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """All rasters, or those of one id, for which only its shard is read; of all columns or those named, others stay packed."""
     _registered(spark)
     reader = spark.read.format(FORMAT).option("path", path)
+    reader = reader if columns is None else reader.option("columns", ",".join(columns))
     return (reader if sample_id is None else reader.option("id", sample_id)).load()
