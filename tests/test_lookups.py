@@ -136,3 +136,19 @@ def test_ways_are_filed_where_anchors_are(spark):
     assert sorted((r.osm_id, r._y, r._x) for r in filed.collect()) == [(100, 359, 40), (101, 220, 40)]
     got = spatial.clipped_segments(anchors, ways, 2048.0).select("sample_id", "osm_id").collect()
     assert sorted(map(tuple, got)) == [("a", 100), ("b", 101)]
+
+
+def test_states_are_snapshots_without_histories(spark):
+    """The same rows, numbers and neighbours, but neither step nor column for what lies before."""
+    rows = [(m, f"{m}_a", at(20 * i), "cargo", 55 + m / 200, 10 + i / 1000, 9.0, 90.0, None) for m in range(1, 5) for i in range(28 + m)]
+    points = spark.createDataFrame(rows, "mmsi long, segment_id string, timestamp_utc timestamp, ship_type string, lat double, lon double, sog double, cog double, heading double")
+    targets = spark.createDataFrame([(f"t{m}_{i}", m, f"{m}_a", at(20 * i)) for m in (2, 3, 4) for i in (28, 29, 30)], "sample_id string, mmsi long, segment_id string, hist_end_ts timestamp")
+    times = targets.select(F.col("hist_end_ts").alias("timestamp_utc"))
+    whole, short = social.snapshots(points, times), social.states(points, times)
+    own = [c for c in whole.columns if not c.startswith("hist_")]
+    assert short.columns == own and sorted(short.collect()) == sorted(whole.select(*own).collect()) and short.count() == 5
+    assert "collect_list" not in short._jdf.queryExecution().executedPlan().toString()
+    full, met = social.social_features(targets, whole), social.social_features(targets, short)
+    assert [c for c in full.columns if "_hist_" not in c or c.startswith("target_")] == [c for c in met.columns if c not in ("neighbor_hist_sog",)]
+    text = lambda df: sorted(r.j for r in df.select(F.to_json(F.struct(*met.columns)).alias("j")).collect())
+    assert text(full) == text(met) and met.where("neighbor_count_used > 0").count() > 3

@@ -32,14 +32,27 @@ def _cells(radius_m: float, lat: str, lon: str, around: bool) -> Column:
     return F.array(*[F.struct((band + y).alias("band"), (column(band + y) + x).alias("column")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
 
 
+def _numbered(points: DataFrame, history: int) -> DataFrame:
+    return points.select("timestamp_utc", *SEGMENT, "ship_type", *STATE, (F.row_number().over(along()) - 1).alias("_i")).withColumn("_block", F.floor(F.col("_i") / history))
+
+
+def _at_times(numbered: DataFrame, times: DataFrame, history: int) -> DataFrame:
+    return numbered.join(times.select("timestamp_utc").distinct(), "timestamp_utc", "left_semi").where(F.col("_i") >= history - 1)
+
+
+def states(points: DataFrame, times: DataFrame, history: int = 30) -> DataFrame:
+    """The rows of snapshots without their histories, for which nothing is gathered."""
+    return _at_times(_numbered(points, history), times, history).select("timestamp_utc", *SEGMENT, "ship_type", *STATE)
+
+
 def snapshots(points: DataFrame, times: DataFrame, history: int = 30) -> DataFrame:
     """State and trailing history of each row with enough of it, at the wanted times only.
 
     Rows of a segment are numbered and lie in blocks of `history` rows, so a history is in two blocks at most: the wanted
     ends look up their blocks by number, and lists are gathered for those alone.
     """
-    numbered = points.select("timestamp_utc", *SEGMENT, "ship_type", *STATE, (F.row_number().over(along()) - 1).alias("_i")).withColumn("_block", F.floor(F.col("_i") / history))
-    ends = numbered.join(times.select("timestamp_utc").distinct(), "timestamp_utc", "left_semi").where(F.col("_i") >= history - 1)
+    numbered = _numbered(points, history)
+    ends = _at_times(numbered, times, history)
     wanted = ends.select(*SEGMENT, F.col("_i").alias("_end"), F.explode(F.array_distinct(F.array(F.floor((F.col("_i") - (history - 1)) / history), F.col("_block")))).alias("_block"))
     held = numbered.join(wanted.select(*SEGMENT, "_block").distinct(), [*SEGMENT, "_block"], "left_semi")
     blocks = held.groupBy(*SEGMENT, "_block").agg(F.array_sort(F.collect_list(F.struct("_i", *STATE))).alias("_rows"))
@@ -83,16 +96,22 @@ def density_bin(n: Column) -> Column:
 
 
 def social_features(targets: DataFrame, snaps: DataFrame, radius_m: float = 3000.0, k: int = 8, flag_from: int = 3) -> DataFrame:
-    """Each target with its state, neighbour arrays in order of distance and their summary; empty where there is no state."""
-    same = ("timestamp_utc", "n_mmsi", "n_segment_id")
-    past = snaps.select("timestamp_utc", F.col("mmsi").alias("n_mmsi"), F.col("segment_id").alias("n_segment_id"), *[F.col(f"hist_{c}").alias(f"n_hist_{c}") for c in STATE])
-    near = nearest(neighbours(targets, snaps, radius_m), k).join(past, list(same))
+    """Each target with its state, neighbour arrays in order of distance and their summary; empty where there is no state.
+
+    snaps of states have no histories, and then neighbours have none: nothing of the kind is joined, gathered or kept.
+    """
+    same, histories = ("timestamp_utc", "n_mmsi", "n_segment_id"), "hist_lat" in snaps.columns
+    near = nearest(neighbours(targets, snaps, radius_m), k)
+    if histories:
+        near = near.join(snaps.select("timestamp_utc", F.col("mmsi").alias("n_mmsi"), F.col("segment_id").alias("n_segment_id"), *[F.col(f"hist_{c}").alias(f"n_hist_{c}") for c in STATE]), list(same))
     rel_x = F.transform("n_hist_lon", lambda v: geo.planar_x(v, F.col("lat"), F.col("lon")))
     rel_y = F.transform("n_hist_lat", lambda v: geo.planar_y(v, F.col("lat")))
     fields = {
         "mmsi": F.col("n_mmsi"), "segment_id": F.col("n_segment_id"), "ship_type": F.col("n_ship_type"), "distance_m": F.col("distance_m"), "rel_hist_x": rel_x, "rel_hist_y": rel_y, "hist_sog": F.col("n_hist_sog"),
         "hist_cog": F.col("n_hist_cog"), "hist_heading": F.col("n_hist_heading"), "rel_vx_mps": F.col("rel_vx"), "rel_vy_mps": F.col("rel_vy"), "cpa_m": F.col("cpa_m"), "tcpa_s": F.col("tcpa_s"),
     }
+    if not histories:
+        fields = {n: c for n, c in fields.items() if "hist_" not in n}
     rows = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("rank"), *[c.alias(n) for n, c in fields.items()])))
     each = near.groupBy("sample_id").agg(rows.alias("_r"), F.first("total").alias("_total"), F.min("distance_m").alias("min_neighbor_distance_m"), F.avg("distance_m").alias("mean_neighbor_distance_m"), F.min("cpa_m").alias("min_cpa_m"), F.min(F.abs("tcpa_s")).alias("min_abs_tcpa_s"))
     each = each.select("sample_id", *[_field("_r", n).alias(f"neighbor_{n}") for n in fields], "_total", *each.columns[3:])
