@@ -55,7 +55,7 @@ def sample_steps(spark, d):
 
 @query(chain.sql("SELECT sample_id, strftime(make_timestamp(hist_end), '%Y-%m-%dT%H:%M:%S+00:00') AS hist_end_utc FROM samples", "samples"))
 def utc_times(spark, d):
-    return chain.labelled(spark, d).select("sample_id", text.utc_text(F.col("hist_end_ts")).alias("hist_end_utc"))
+    return chain.labels(spark, d, "sample_id", "hist_end_ts").select("sample_id", text.utc_text(F.col("hist_end_ts")).alias("hist_end_utc"))
 
 
 @query(chain.sql("SELECT p.sample_id, round(a.lat + degrees(p.y / 6371000.0), 6) AS lat, round(a.lon + degrees(p.x / (6371000.0 * cos(radians(a.lat)))), 6) AS lon FROM placed p JOIN points a ON a.sample_id = p.sample_id AND a.step = 29 WHERE p.step = 59", "placed"))
@@ -242,7 +242,7 @@ def env_v2_boundaries(spark, d):
 
 @query(met.over("SELECT sample_id, string_agg(n_segment_id, ',' ORDER BY nr) AS segments, string_agg(CAST(round(dist) AS BIGINT), ',' ORDER BY nr) AS distances, string_agg(coalesce(CAST(CAST(round(vx * 10) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY nr) AS speeds FROM near WHERE nr <= 8 GROUP BY 1", "near"))
 def neighbour_arrays(spark, d):
-    df = met.social_of(spark, d).where("neighbor_count_used > 0")
+    df = met.met_of(spark, d).where("neighbor_count_used > 0")
     whole = lambda c, k: F.array_join(F.transform(c, lambda v: F.coalesce(F.round(v * k).cast("long").cast("string"), F.lit("-"))), ",")
     return df.select("sample_id", F.array_join("neighbor_segment_id", ",").alias("segments"), whole("neighbor_distance_m", 1).alias("distances"), whole("neighbor_rel_vx_mps", 10).alias("speeds"))
 
