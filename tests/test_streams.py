@@ -82,3 +82,16 @@ def test_windows(spark, tmp_path):
     assert got.columns == want.columns
     text = lambda df: sorted(r.j for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect())
     assert text(got) == text(want) and want.count() == 1 + 12 + 2
+
+
+def test_state_is_spread_as_shuffles_are(spark, tmp_path, monkeypatch):
+    """Unless told otherwise a stream has as many partitions of state as the session has of shuffles, not a fixed few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        rows = [(m, at(10 * i), i, 55.0, 10.0, 9.0, 35.0, "x") for m in (1, 2) for i in range(3)]
+        frames = [spark.createDataFrame(b, MESSAGE) for b in (rows, *closing(rows))]
+        got = runs.fed(spark, frames, streams.segment_stream, str(tmp_path / "rows")).where("mmsi > 0")
+        assert got.count() == 6 and len([p for p in (tmp_path / "rows" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]) == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

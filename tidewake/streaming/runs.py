@@ -24,10 +24,10 @@ def state_in_rocksdb(spark: SparkSession, partitions: int):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def fed(spark: SparkSession, batches: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], home: str, partitions: int = 4) -> DataFrame:
+def fed(spark: SparkSession, batches: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], home: str, partitions: int | None = None) -> DataFrame:
     """The plan's rows over a folder that gets one batch after the other; the stream stops and restarts from its checkpoint after each."""
     source, schema = f"{home}/source", None
-    with state_in_rocksdb(spark, partitions):
+    with state_in_rocksdb(spark, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))):
         for batch in batches:
             schema = schema or batch.schema
             batch.write.mode("append").parquet(source)
