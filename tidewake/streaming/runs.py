@@ -25,9 +25,14 @@ def state_in_rocksdb(spark: SparkSession, partitions: int):
 
 
 def fed(spark: SparkSession, batches: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], home: str, partitions: int | None = None) -> DataFrame:
-    """The plan's rows over a folder that gets one batch after the other; the stream stops and restarts from its checkpoint after each."""
+    """The plan's rows over a folder that gets one batch after the other; the stream stops and restarts from its checkpoint after each.
+
+    partitions: of the state; by default as many as shuffles have, but no more than two a core, as each starts a worker in
+    every batch.
+    """
+    partitions = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     source, schema = f"{home}/source", None
-    with state_in_rocksdb(spark, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))):
+    with state_in_rocksdb(spark, partitions):
         for batch in batches:
             schema = schema or batch.schema
             batch.write.mode("append").parquet(source)
