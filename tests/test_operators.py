@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import geo, text
 from tidewake.operators import ingest, samples, selection, social, spatial, tracks
+from tidewake.plans import stages
 from tidewake.sources import readers, writers
 from tidewake.streaming import messages
 
@@ -37,6 +38,24 @@ def test_standardize_and_filter(spark):
     assert set(kept) == {0, 1, 2, 6, 7} and kept[7].heading is None
 
 
+def test_each_text_is_parsed_once(spark):
+    df = ingest.speed_filter(ingest.dedup_messages(ingest.basic_filter(ingest.standardize(raw(spark, {}, {"Draught": " ", "IMO": "", "Length": "NaN", "Width": "None"})))))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(Latitude#") == 2  # the text is looked at, then cast
+    assert plan.count("trim(SOG#") == 2 and plan.count("trim(# Timestamp#") == 1
+    row = ingest.standardize(raw(spark, {"Draught": " ", "IMO": "", "Length": "NaN", "Width": "None"})).first()
+    assert (row.draught, row.imo, row.length, row.width) == (None, None, None, None)
+
+
+def test_stages_are_compiled(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), stages.short_methods(spark):
+        assert int(spark.conf.get(name)) == 8000
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
 def test_codes(spark):
     df = spark.createDataFrame([("70",), ("89",), ("65",), ("30",), ("52",), ("33",), ("36",), ("99",), ("70.0",), (" ",), (None,)], "c string")
     assert [r[0] for r in df.select(text.ship_type_of_code(F.col("c"))).collect()] == ["cargo", "tanker", "passenger", "fishing", "tug", "service", "unknown", "unknown", "70.0", None, None]
