@@ -56,6 +56,14 @@ def test_stages_are_compiled(spark):
     assert spark.conf.get(name) == before
 
 
+def test_kinematics(spark):
+    df = spark.createDataFrame([("a", [0.0, 1.0, 3.0, 7.0], [0.0, -1.0, None, 4.0], [1.0], [2.0]), ("b", [], [], [], [])], "sample_id string, hist_x array<double>, hist_y array<double>, fut_x array<double>, fut_y array<double>")
+    got = {r.sample_id: r for r in samples.kinematics(df).collect()}
+    assert got["a"].hist == [[0, 0, 0, 0, 0, 0], [1, -1, 1, -1, 1, -1], [3, None, 2, None, 1, None], [7, 4, 4, None, 2, None]] and got["a"].fut == [[1, 2]] and got["b"].hist == []
+    plan = samples.kinematics(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 2  # none within another, which would be made anew for each element
+
+
 def test_codes(spark):
     df = spark.createDataFrame([("70",), ("89",), ("65",), ("30",), ("52",), ("33",), ("36",), ("99",), ("70.0",), (" ",), (None,)], "c string")
     assert [r[0] for r in df.select(text.ship_type_of_code(F.col("c"))).collect()] == ["cargo", "tanker", "passenger", "fishing", "tug", "service", "unknown", "unknown", "70.0", None, None]
