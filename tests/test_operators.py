@@ -5,12 +5,14 @@ import hashlib
 import json
 import math
 import statistics
+import sys
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidewake.functions import geo, text
+from tidewake.functions import arrays, geo, text
 from tidewake.operators import ingest, samples, selection, social, spatial, tracks
 from tidewake.plans import stages
 from tidewake.sources import readers, writers
@@ -64,6 +66,24 @@ def test_kinematics(spark):
     assert plan.count("transform(") == 2  # none within another, which would be made anew for each element
 
 
+def test_array_statistics(spark):
+    df = spark.createDataFrame([([4.0, 1.0, 3.0],), ([2.0, None, 1.0],), ([5.0],), ([],)], "c array<double>")
+    spread = df.select(arrays.pstdev(F.col("c")).alias("s"))
+    assert [r[0] for r in spread.collect()] == [pytest.approx(statistics.pstdev([4, 1, 3])), None, 0.0, 0.0]
+    assert [r[0] for r in df.select(arrays.median(F.col("c"))).collect()] == [3.0, 2.0, 5.0, 0.0]
+    assert spread._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2  # the mean isn't taken for each element
+    x, y = F.array(F.lit(3.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(5.0))
+    assert [r[0] for r in df.limit(1).select(selection.steps(x, y, True)[0]).collect()] == [[5.0, 1.0]]
+
+
+def test_hashes_are_shipped(spark):
+    package = sys.modules["tidewake"]
+    if "tidewake" in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.unregister_pickle_by_value(package)
+    selection.with_stable_hashes(spark.createDataFrame([("a",)], "sample_id string"))
+    assert "tidewake" in cloudpickle.list_registry_pickle_by_value()
+
+
 def test_codes(spark):
     df = spark.createDataFrame([("70",), ("89",), ("65",), ("30",), ("52",), ("33",), ("36",), ("99",), ("70.0",), (" ",), (None,)], "c string")
     assert [r[0] for r in df.select(text.ship_type_of_code(F.col("c"))).collect()] == ["cargo", "tanker", "passenger", "fishing", "tug", "service", "unknown", "unknown", "70.0", None, None]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..functions.arrays import at, displacement, mean, median, pstdev, total
 from ..plans.config import KNOTS_PER_MPS
-from ..plans.stages import shared_folder
+from ..plans.stages import shared_folder, ship_code
 
 #: Limits of the quality-first subset, quota weights, bin edges of the two builders.
 LIMITS = {
@@ -69,8 +69,10 @@ def angle_error(a: Column, b: Column) -> Column:
 def steps(x: Column, y: Column, origin: bool) -> tuple[Column, Column]:
     """Lengths and bearings of the steps of a path, the first one from the origin if asked."""
     if origin:
-        x, y = F.concat(F.array(F.lit(0.0)), x), F.concat(F.array(F.lit(0.0)), y)
-    pairs = F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda v, i: F.struct((v - F.get(x, i)).alias("dx"), (F.get(y, i + 1) - F.get(y, i)).alias("dy")))
+        before = lambda c, i: F.when(i == 0, 0.0).otherwise(F.get(c, i - 1))
+        pairs = F.transform(x, lambda v, i: F.struct((v - before(x, i)).alias("dx"), (F.get(y, i) - before(y, i)).alias("dy")))
+    else:
+        pairs = F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda v, i: F.struct((v - F.get(x, i)).alias("dx"), (F.get(y, i + 1) - F.get(y, i)).alias("dy")))
     return F.transform(pairs, lambda p: F.hypot(p["dx"], p["dy"])), F.transform(pairs, lambda p: F.degrees(F.atan2(p["dy"], p["dx"])))
 
 
@@ -373,6 +375,7 @@ def select_representative(candidates: DataFrame, order: list[Column], target: in
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return choose_nested(_placed(group, n), target, per_vessel, per_segment, step_gap)
 
+    ship_code()
     return pools.groupBy("split").applyInPandas(run, "split string, sample_id string")
 
 
@@ -418,5 +421,6 @@ def stable_hash_pandas(ids: pd.Series) -> pd.Series:
 
 def with_stable_hashes(df: DataFrame, column: str = "sample_id") -> DataFrame:
     """hash_blake and hash_frame: the two hash families that order the released selections, unsigned, as decimals of 20 digits."""
+    ship_code()
     blake, frame = F.pandas_udf(stable_hash_blake, "decimal(20,0)"), F.pandas_udf(stable_hash_pandas, "decimal(20,0)")
     return df.withColumns({"hash_blake": blake(column), "hash_frame": frame(column)})
