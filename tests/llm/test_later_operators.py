@@ -107,6 +107,27 @@ def test_bitmaps_let_all_frequent_pass(spark, monkeypatch):
     assert sorted(tuple(r) for r in phrases.collocations(docs, least=4).collect()) == brute.collocations(rows, 4, 5, 2000)
 
 
+def test_counts_are_sent_once_a_core(spark, monkeypatch):
+    """Splits of the input add to the rows that are shuffled no more than cores do, unless the counts held are too many."""
+    docs = spark.createDataFrame([("en", " ".join(f"w{k}" for k in range(300)))] * 80, "lang string, text string")
+    phrases.prepare(spark)
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for held in (phrases.HELD, 100):
+            monkeypatch.setattr(phrases, "HELD", held)
+            counts = phrases.phrase_counts(docs.repartition(40), 80)
+            found = {r.phrase: r.n for r in counts.collect()}
+            assert len(found) == 1 + sum(300 - k for k in range(5)) and {found.pop("")} == {80 * 300} and set(found.values()) == {80}
+            if held > 100:
+                node = counts._jdf.queryExecution().executedPlan()
+                while node.nodeName() != "MapInArrow":
+                    node = node.children().apply(0)
+                assert node.metrics().apply("pythonNumRowsReceived").value() <= spark.sparkContext.defaultParallelism * (len(found) + 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
 def test_scores_beyond_64_bits(spark):
     """The score's products are decimals: 1000 a n of 10^24 stays exact."""
     a, n, l, r = 10**9 + 7, 10**12 + 39, 10**9 + 9, 10**9 + 21
