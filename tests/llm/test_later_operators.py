@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +130,31 @@ def test_counts_are_sent_once_a_core(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
 
 
+def test_room_of_hash_counts():
+    """A worker that counts pairs, nearly all different, takes a bounded room however many there are."""
+    words = np.array([f"w{k}" for k in range(30_000)])
+    texts = [" ".join(words[np.random.default_rng(k).integers(0, len(words), 1000)]) for k in range(3000)]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"] * 500, "text": texts[k : k + 500]}) for k in range(0, len(texts), 500)]
+    every = SimpleNamespace(value=np.full(1 << (phrases.BITMAP - 6), 2**64 - 1, np.uint64))
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in phrases._hash_counts((every, every), 2)(iter(batches)))
+        room = tracemalloc.get_traced_memory()[1] + pa.default_memory_pool().max_memory()
+    finally:
+        tracemalloc.stop()
+    assert found > 2_900_000
+    assert room < 160 << 20, f"{room >> 20} MB"
+
+
+def test_sums_of_packed_counts():
+    """Like hashes' counts are added up; what passes 32 bits stays at the largest number that fits, which is frequent."""
+    hashes = np.array([7, 9, 7, 2**31, 9], np.uint64) << np.uint64(32) | np.uint64(5)
+    n = np.array([1, 2**32 - 3, 2, 2**40, 7])
+    sums = phrases.hash_sums([phrases.packed(hashes[:2], n[:2]), phrases.packed(hashes[2:], n[2:])])
+    assert [(int(x) >> 32, int(x) & (2**32 - 1)) for x in sums] == [(7, 3), (9, 2**32 - 1), (2**31, 2**32 - 1)]
+    assert not len(phrases.hash_sums([phrases.packed(hashes[:0], n[:0])]))
+
+
 def test_scores_beyond_64_bits(spark):
     """The score's products are decimals: 1000 a n of 10^24 stays exact."""
     a, n, l, r = 10**9 + 7, 10**12 + 39, 10**9 + 9, 10**9 + 21
